@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import line_dedup as _lines
+from codeloom.llm import packing as _packing
+from codeloom.llm import quality as _quality
 from codeloom.llm.common import table
 
 
@@ -14,8 +16,17 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _quality.classify(docs, _quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_line_dedup": op4_line_dedup}
+    return {f.__name__: f for f in (op2_best_fit_packing, op4_line_dedup, op5_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
