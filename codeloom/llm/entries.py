@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from codeloom.llm import line_dedup as _lines
 from codeloom.llm import packing as _packing
 from codeloom.llm import quality as _quality
+from codeloom.llm import secrets as _secrets
 from codeloom.llm.common import table
 
 
@@ -25,8 +26,13 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality.classify(docs, _quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _secrets.scan(docs, _secrets.fit(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op4_line_dedup, op5_quality_classifier)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op4_line_dedup, op5_quality_classifier, op9_secret_scans)}
 
 
 def oracle_sql() -> dict[str, str]:
