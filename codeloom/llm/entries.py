@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import line_dedup as _lines
+from codeloom.llm import near_dedup as _near
 from codeloom.llm import packing as _packing
 from codeloom.llm import quality as _quality
 from codeloom.llm import secrets as _secrets
@@ -31,8 +32,12 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _secrets.scan(docs, _secrets.fit(docs))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op4_line_dedup, op5_quality_classifier, op9_secret_scans)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op4_line_dedup, op5_quality_classifier, op9_secret_scans, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
