@@ -15,16 +15,26 @@ from codeloom.llm import packing as _packing
 from codeloom.llm import pieces as _pieces
 from codeloom.llm import quality as _quality
 from codeloom.llm import secrets as _secrets
+from codeloom.llm import suffix_dedup as _suffix
+from codeloom.llm import topk as _topk
 from codeloom.llm.common import table
 
 #: A merge model with byte fallback, at the same place on every machine.
 MODEL = os.environ.get("CODELOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suffix.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _packing.pack(table(spark, sf_dir, "documents"))
 
@@ -57,8 +67,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op4_line_dedup, op5_quality_classifier, op6_sentencepiece, op7_language_id, op8_fingerprints, op9_secret_scans, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_exact_top_k, op4_line_dedup, op5_quality_classifier, op6_sentencepiece, op7_language_id, op8_fingerprints, op9_secret_scans, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": _lines.oracle(), "op8_fingerprints": _prints.oracle()}
+    return {"op1_suffix_dedup": _suffix.oracle(), "op3_exact_top_k": _topk.oracle(), "op4_line_dedup": _lines.oracle(), "op8_fingerprints": _prints.oracle()}
