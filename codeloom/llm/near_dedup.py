@@ -10,10 +10,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeloom.llm.common import WordHashes, drop, mix, row_key, save, shingles
 
 SLOTS = 1 << 20  # of the fixed-size filters that are broadcast
+BAG = 64
 
 
 def order_minhash(h: np.ndarray, k: int, picks: int, sketches: int) -> np.ndarray:
@@ -50,19 +52,33 @@ def order_minhash(h: np.ndarray, k: int, picks: int, sketches: int) -> np.ndarra
     return out
 
 
+def bag(h: np.ndarray) -> np.ndarray:
+    """Counts of a document's words in BAG classes, up to 255 each. Where one document has more of a class than another, words have to
+    be edited, so the sum of what either has more bounds the edit distance from below."""
+    return np.minimum(np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=BAG), 255).astype(np.uint8)
+
+
+@F.arrow_udf(T.BooleanType())
+def _may_be_close(a: pa.Array, b: pa.Array, bound: pa.Array) -> pa.Array:
+    x, y = (np.frombuffer(b"".join(z.to_pylist()), np.uint8).reshape(-1, BAG).astype(np.int16) for z in (a, b))
+    d = x - y
+    return pa.array(np.maximum(np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1)) <= bound.to_numpy())
+
+
 def _sketched(k: int, picks: int, sketches: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            n, same, sk, tokens = [], [], [], []
+            n, same, sk, bags, tokens = [], [], [], [], []
             for text in batch["text"].to_pylist():
                 h = hashes.of((text or "").split())
                 n.append(len(h))
                 raw = h.tobytes()
                 same.append(xxhash.xxh3_128_digest(raw))
                 sk.append(order_minhash(h, k, picks, sketches).view(np.int64))
+                bags.append(bag(h).tobytes())
                 tokens.append(h.astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["key"], pa.array(n, pa.int32()), pa.array(same, pa.binary()), pa.array(sk, pa.list_(pa.int64())), pa.array(tokens, pa.binary())], ["id", "key", "n", "same", "sketch", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["key"], pa.array(n, pa.int32()), pa.array(same, pa.binary()), pa.array(sk, pa.list_(pa.int64())), pa.array(bags, pa.binary()), pa.array(tokens, pa.binary())], ["id", "key", "n", "same", "sketch", "bag", "tokens"])
 
     return run
 
@@ -77,12 +93,12 @@ def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], width: np.ndarray) -> np
     if not len(live):
         return out
     rows = int(la[live].max())
-    a = np.full((len(live), rows), -1, np.int64)
-    b = np.full((len(live), rows + 2 * w + 1), -2, np.int64)
+    a = np.full((len(live), rows), -1, np.int32)
+    b = np.full((len(live), rows + 2 * w + 1), -2, np.int32)
     for r, p in enumerate(live):
         a[r, : la[p]] = pairs[p][0]
-        y = pairs[p][1]
-        b[r, w : w + len(y)] = y[: b.shape[1] - w]
+        y = pairs[p][1][: b.shape[1] - w]
+        b[r, w : w + len(y)] = y
     offs = np.arange(2 * w + 1, dtype=np.int32)
     d = np.broadcast_to(np.where(offs >= w, offs - w, far), (len(live), 2 * w + 1)).astype(np.int32)
     for i in range(rows + 1):
@@ -106,7 +122,7 @@ def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], width: np.ndarray) -> np
 def edit_close(pairs: list[tuple[np.ndarray, np.ndarray]], least: float, cells: int = 400_000) -> np.ndarray:
     """Which pairs of word sequences are alike: edit distance at most (1 - least) of the longer length.
 
-    Common ends are cut off first. A narrow band settles most pairs; the others are aligned in a band as wide as the bound.
+    Common ends are cut off first. A narrow band settles most pairs; the others are aligned in wider and wider bands, up to the bound.
     """
     bound = np.array([math.floor((1 - least) * max(len(a), len(b)) + 1e-9) for a, b in pairs])
     cut = []
@@ -115,21 +131,25 @@ def edit_close(pairs: list[tuple[np.ndarray, np.ndarray]], least: float, cells:
         x = int(np.argmin(np.append(a[:m] == b[:m], False)))
         m -= x
         y = int(np.argmin(np.append((a[len(a) - m :] == b[len(b) - m :])[::-1], False)))
-        cut.append((a[x : len(a) - y], b[x : len(b) - y]))
+        cut.append(tuple((z[x : len(z) - y] >> np.uint32(1)).astype(np.int32) for z in (a, b)))
     size = np.array([max(len(a), len(b)) for a, b in cut])
     close = size <= bound
-    for narrow in (True, False):
-        todo = np.flatnonzero(~close & (bound > 0))
-        width = np.minimum(bound, 12) if narrow else bound
-        todo = todo[np.argsort(size[todo], kind="stable")] if narrow else todo[bound[todo] > 12]
+    todo, band = np.flatnonzero(~close & (bound > 0)), 12
+    while len(todo):
+        width = np.minimum(bound, band)
+        todo = todo[np.lexsort((size[todo], width[todo]))]
         at = 0
         while at < len(todo):
-            end = at + 1
-            while end < len(todo) and (end + 1 - at) * (2 * int(width[todo[at : end + 1]].max()) + 1) <= cells and end - at < 2000:
+            end, most = at, 0
+            while end < len(todo):
+                w, most = int(width[todo[end]]), max(most, int(size[todo[end]]))
+                if end > at and (end + 1 - at) * max(2 * w + 1, most // 4) > cells:
+                    break
                 end += 1
             pick = todo[at:end]
             close[pick] = _banded([cut[p] for p in pick], width[pick]) <= width[pick]
             at = end
+        todo, band = todo[~close[todo] & (bound[todo] > band)], 3 * band
     return close
 
 
@@ -176,15 +196,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
 
     Documents are near-duplicates if the edit distance of their words is at most (1 - least) of the longer one's length; a group is
     what such pairs connect. Texts that are equal word for word are one node. Nodes that share any Order MinHash sketch are
-    candidates. In each bucket the least node is aligned with all others, which joins most groups with one alignment per node; then
-    all pairs of a bucket that are still in different groups are aligned too, so the groups are those of all candidate pairs.
+    candidates. In each bucket the least node is compared with all others, which joins most groups with one alignment per node; then
+    all pairs of a bucket that are still in different groups are compared too, so the groups are those of all candidate pairs. A pair
+    is aligned unless its lengths or counts of words already show it to be too far apart.
 
     group is the least id of the group; keep marks one row in each, the first by id (null last). Texts without words (null, empty)
     are in no group. Repeated rows are copies. Texts are compared whole. key identifies rows by id and text.
     """
     slim = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).where("text is not null")
     id_type = slim.schema["id"].dataType.simpleString()
-    made = save(slim.mapInArrow(_sketched(k, picks, sketches), f"id {id_type}, key struct<a:bigint,b:bigint>, n int, same binary, sketch array<bigint>, tokens binary").where("n > 0"), "sketched")
+    made = save(slim.mapInArrow(_sketched(k, picks, sketches), f"id {id_type}, key struct<a:bigint,b:bigint>, n int, same binary, sketch array<bigint>, bag binary, tokens binary").where("n > 0"), "sketched")
     nodes = made.groupBy("same").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     in_bucket = Window.partitionBy("bucket")
     lead = F.min(F.struct("same", "n")).over(in_bucket)
@@ -193,23 +214,29 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     def fits(p: str, q: str) -> Column:
         return F.abs(F.col(p) - F.col(q)) <= F.floor((1 - least) * F.greatest(p, q) + 1e-9)
 
+    def may_be_close(pairs: DataFrame) -> DataFrame:
+        bound = F.floor((1 - least) * F.greatest("na", "nb") + 1e-9)
+        return pairs.where(_may_be_close("bag_a", "bag_b", bound)).select("a", "b").distinct()
+
     needed = _slots(buckets, F.col("same"))
-    tokens = save(made.select("same", "tokens").withColumn("__slot", _slot(F.col("same"))).join(needed, "__slot", "left_semi").drop("__slot").dropDuplicates(["same"]), "tokens")
+    tokens = save(made.select("same", "bag", "tokens").withColumn("__slot", _slot(F.col("same"))).join(needed, "__slot", "left_semi").drop("__slot").dropDuplicates(["same"]), "tokens")
+    bags = tokens.select("same", "bag")
 
     def close(pairs: DataFrame) -> DataFrame:
         full = pairs.join(tokens.select(F.col("same").alias("a"), F.col("tokens").alias("ta")), "a").join(tokens.select(F.col("same").alias("b"), F.col("tokens").alias("tb")), "b")
         return save(full.select("a", "b", "ta", "tb").mapInArrow(_verified(least), "a binary, b binary"), "close")
 
-    star = buckets.where(F.col("same") != F.col("lead.same")).select(F.col("lead.same").alias("a"), F.col("same").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb")).where(fits("na", "nb")).select("a", "b").distinct()
+    star = buckets.where(F.col("same") != F.col("lead.same")).select(F.col("lead.same").alias("a"), F.col("same").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb")).where(fits("na", "nb")).distinct()
+    star = save(may_be_close(star.join(bags.toDF("a", "bag_a"), "a").join(bags.toDF("b", "bag_b"), "b")), "star")
     first = close(star)
     labels = components(first)
     placed = buckets.join(labels, buckets.same == labels.node, "left").select("bucket", "same", "n", F.coalesce("label", "same").alias("label"))
-    split = placed.withColumn("most", F.max("label").over(in_bucket)).withColumn("few", F.min("label").over(in_bucket)).where("most <> few").drop("most", "few")
-    p, q = split.select("bucket", F.col("same").alias("a"), F.col("n").alias("na"), F.col("label").alias("pa")), split.select("bucket", F.col("same").alias("b"), F.col("n").alias("nb"), F.col("label").alias("pb"))
-    rest = p.join(q, "bucket").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & fits("na", "nb")).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    split = placed.withColumn("most", F.max("label").over(in_bucket)).withColumn("few", F.min("label").over(in_bucket)).where("most <> few").select("bucket", "same", "n", "label").join(bags, "same")
+    p, q = (split.select("bucket", F.col("same").alias(x), F.col("n").alias("n" + x), F.col("label").alias("label_" + x), F.col("bag").alias("bag_" + x)) for x in "ab")
+    rest = may_be_close(p.join(q, "bucket").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & fits("na", "nb"))).join(star, ["a", "b"], "left_anti")
     second = close(rest)
     labels = components(first.unionByName(second))
-    for x in (buckets, tokens, first, second):
+    for x in (buckets, tokens, star, first, second):
         drop(x)
     rows = made.select("id", "key", "same")
     copies = rows.groupBy("same").count().where("count > 1").select("same", F.lit(1).alias("copy"))
