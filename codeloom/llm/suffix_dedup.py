@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,11 +26,11 @@ class Streams:
         self.fs.create_dir(self.path, recursive=True)
 
     def write(self, name: str, a: np.ndarray) -> None:
-        with self.fs.open_output_stream(f"{self.path}/{name}", buffer_size=1 << 20) as out:
-            out.write(a.tobytes())
+        with self.fs.open_output_stream(f"{self.path}/{name}", compression=None) as out:
+            out.write(memoryview(np.ascontiguousarray(a)).cast("B"))
 
     def read(self, name: str, dtype) -> np.ndarray:
-        with self.fs.open_input_stream(f"{self.path}/{name}", buffer_size=1 << 20) as f:
+        with self.fs.open_input_stream(f"{self.path}/{name}", compression=None) as f:
             return np.frombuffer(f.read(), dtype)
 
     def close(self) -> None:
@@ -92,52 +91,54 @@ def collection_bwt(symbols: np.ndarray, lengths: np.ndarray, folder: str) -> tup
         first_column = files.read("column0", np.int32) if longest else np.zeros(m, np.int32)
         files.write("bwt", np.where(lengths > 0, first_column, -1).astype(np.int32))  # -1: an end mark comes before
         files.write("lcp", np.zeros(m, np.int16))
-        files.write("rest", np.zeros(m, np.int32))
-        head = np.full(m, -1, np.int64)  # the first symbol of the suffix in each place
-        doc, size, at = np.arange(m, dtype=np.int32), np.zeros(m, np.int16), np.arange(m)
+        files.write("order", np.full(m, -1, np.int64))  # the first symbol of each suffix and the place of its rest
+        at, low = np.arange(m), np.int64((1 << 32) - 1)
         for j in range(longest):
             live = np.flatnonzero(lengths > j)
             if not len(live):
                 break
-            bwt, lcp, rest = files.read("bwt", np.int32), files.read("lcp", np.int16), files.read("rest", np.int32)
+            bwt, lcp, key = files.read("bwt", np.int32), files.read("lcp", np.int16), files.read("order", np.int64)
             old = len(bwt)
-            c, s = bwt[at[live]].astype(np.int64), at[live]
-            order = np.lexsort((s, c))
-            live, c, s = live[order], c[order], s[order]
-            # Rows are in order of (first symbol, place of the rest); end marks, whose rests mean nothing, come first.
-            key = (head << 32) | rest
-            key[:m] = -1
-            slot = np.searchsorted(key, (c << 32) | s) + np.arange(len(c))
-            new = old + len(c)
+            own = bwt[at[live]].astype(np.int64) << 32 | at[live]
+            order = np.argsort(own)
+            live, own = live[order], own[order]
+            slot = np.searchsorted(key, own) + np.arange(len(own))
+            new = old + len(own)
             fresh = np.zeros(new, bool)
             fresh[slot] = True
             moved = np.flatnonzero(~fresh)  # where each old row is now
-            def merged(was: np.ndarray, now: np.ndarray, dtype) -> np.ndarray:
-                out = np.empty(new, dtype)
+
+            def merged(was: np.ndarray, now: np.ndarray | int) -> np.ndarray:
+                out = np.empty(new, was.dtype)
                 out[moved], out[slot] = was, now
                 return out
 
-            head = merged(head, c, np.int64)
-            doc, size = merged(doc, live, np.int32), merged(size, j + 1, np.int16)
-            before = merged(rest, s, np.int64)  # rests, as places of the round before
-            out = merged(lcp, 0, np.int16)
-            touched = np.union1d(slot, np.minimum(slot + 1, new - 1))
-            touched = touched[touched > 0]
-            touched = touched[touched >= m]
-            same = head[touched] == head[touched - 1]
+            key, out = merged(key, own), merged(lcp, 0)
+            fresh[1:] |= fresh[:-1]
+            touched = np.flatnonzero(fresh)  # new rows and the ones after them
+            touched = touched[touched >= max(m, 1)]
+            here, there = key[touched], key[touched - 1]
+            same = here >> 32 == there >> 32
             out[touched[~same]] = 0
-            t = touched[same]
-            if len(t):
-                out[t] = 1 + RangeMin(lcp).of(before[t - 1] + 1, before[t])
+            if same.any():
+                out[touched[same]] = 1 + RangeMin(lcp).of((there[same] & low) + 1, here[same] & low)
+            nxt = np.full(len(live), -1, np.int32)
             if j + 1 < longest:
-                nxt = files.read(f"column{j + 1}", np.int32)[live]
-                nxt = np.where(lengths[live] > j + 1, nxt, -1)
-            else:
-                nxt = np.full(len(live), -1)
-            files.write("bwt", merged(bwt, nxt, np.int32))
+                more = lengths[live] > j + 1
+                nxt[more] = files.read(f"column{j + 1}", np.int32)[live[more]]
+            files.write("bwt", merged(bwt, nxt))
             files.write("lcp", out)
-            files.write("rest", moved[before].astype(np.int32))
+            key[m:] = key[m:] & ~low | moved[key[m:] & low]
+            files.write("order", key)
             at[live] = slot
+        key, n = files.read("order", np.int64), len(files.read("bwt", np.int32))
+        longer = np.full(n, -1, np.int64)  # the place of the suffix one longer
+        longer[key[m:] & low] = np.arange(m, n)
+        doc, size, rows, docs, j = np.empty(n, np.int32), np.empty(n, np.int16), np.arange(m), np.arange(m), 0
+        while len(rows):
+            doc[rows], size[rows] = docs, j
+            rows = longer[rows]
+            docs, rows, j = docs[rows >= 0], rows[rows >= 0], j + 1
         return doc, size, files.read("lcp", np.int16)
     finally:
         files.close()
@@ -162,102 +163,137 @@ def anchors(h: np.ndarray, least: int) -> np.ndarray:
     return np.flatnonzero(g == sliding(np.concatenate([edge, low, edge]), np.maximum))
 
 
-def _contexts(h: np.ndarray, p: np.ndarray, least: int):
-    """Per anchor, its context to the left and to the right: (hash, anchor, where the segment that it stands for begins and ends).
+def _joined(batch: pa.RecordBatch, at_once: int = 200_000) -> Iterator[tuple]:
+    """The documents of a batch end to end, a mark between them: (rows of the batch, words, where documents begin and end)."""
+    rows, words, begin, end = [], [], [], []
+    for i, text in enumerate(batch["text"].to_pylist()):
+        rows.append(i)
+        begin.append(len(words))
+        words += text.split()
+        end.append(len(words))
+        words.append(" ")
+        if len(words) >= at_once:
+            yield rows, words, np.array(begin), np.array(end)
+            rows, words, begin, end = [], [], [], []
+    if rows:
+        yield rows, words, np.array(begin), np.array(end)
+
+
+def _contexts(h: np.ndarray, begin: np.ndarray, end: np.ndarray, least: int):
+    """Of documents end to end: contexts of GRAM + half words, with up to `half` words on either side, that passages have to share.
 
-    A passage of `least` words around an anchor holds half of the other words on one side of it at least.
+    (document, its hash, the hash of all with the sides, where it begins, words to its left, words to its right). A passage of `least`
+    words around an anchor holds half of its other words on one side of the anchor at least, so it holds a context whole.
     """
-    half, n = (least - GRAM) // 2, len(h)
-    sides = []
-    for left in (True, False):
-        q = p[p >= half] if left else p[p + GRAM + half <= n]
-        b = q - half if left else q
-        x = np.zeros(len(q), np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(GRAM + half):
-                x = x * np.uint64(0x9E3779B97F4A7C15) + h[b + j]
-            x = mix(x + np.uint64(left))
-        begin = q - (least - GRAM) if left else q - half
-        end = q + GRAM + (least - GRAM - half) if left else q + least
-        sides.append((x, q, np.maximum(begin, 0), np.minimum(end, n)))
-    return tuple(np.concatenate(z) for z in zip(*sides))
+    half = (least - GRAM) // 2
+    size, side = GRAM + half, least - GRAM - half
+    p = anchors(h, least)
+    place = np.concatenate([p - half, p])
+    left = np.concatenate([np.ones(len(p), bool), np.zeros(len(p), bool)])
+    of = np.searchsorted(begin, np.concatenate([p, p]), "right") - 1
+    ok = (place >= begin[of]) & (place + size <= end[of])
+    place, left, of = place[ok], left[ok], of[ok]
+    a, b = np.minimum(place - begin[of], side), np.minimum(end[of] - place - size, side)
+    ok = a + b >= side
+    place, left, of, a, b = place[ok], left[ok], of[ok], a[ok], b[ok]
+    padded = np.concatenate([np.zeros(side, np.uint64), h, np.zeros(side, np.uint64)])
+    powers = mix(np.arange(1, size + 2 * side + 1, dtype=np.uint64)) | np.uint64(1)
+    key, whole = np.empty(len(place), np.uint64), np.empty(len(place), np.uint64)
+    offs = np.arange(size + 2 * side)
+    with np.errstate(over="ignore"):
+        for part in np.array_split(np.arange(len(place)), len(place) // 20_000 + 1):
+            w = mix(padded[place[part, None] + offs]) * powers
+            inside = w[:, side : side + size].sum(1)
+            w[offs < (side - a[part])[:, None]] = 0
+            w[offs >= (side + size + b[part])[:, None]] = 0
+            key[part] = mix(inside + left[part])
+            whole[part] = mix(w.sum(1) + (a[part] * 64 + b[part]).astype(np.uint64))
+    return of, key, whole, place - begin[of], a, b
 
 
 def _keys(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            keys, docs, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for doc, text in zip(batch["doc"].to_pylist(), batch["text"].to_pylist()):
-                h = hashes.of(text.split())
-                x, _, b, _ = _contexts(h, anchors(h, least), least)
-                keys.append(x)
-                places.append(b)
-                docs.append(np.full(len(x), doc, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(places).astype(np.int32))], ["key", "doc", "begin"])
+            names = batch["doc"].to_numpy()
+            for rows, words, begin, end in _joined(batch):
+                of, key, whole, place, a, b = _contexts(hashes.of(words), begin, end, least)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(names[np.array(rows)][of]), pa.array(place.astype(np.int32)), pa.array((a << 8 | b).astype(np.int16))], ["key", "whole", "doc", "place", "sides"])
 
     return run
 
 
 def _segments(least: int):
+    """The words beside each wanted context, as their lower 32 bits, with the context's key between them."""
+    size = GRAM + (least - GRAM) // 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for doc, text, wanted in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), batch["keys"].to_pylist()):
-                h = hashes.of(text.split())
-                x, _, b, e = _contexts(h, anchors(h, least), least)
-                x = x.view(np.int64)
-                for i in np.flatnonzero(np.isin(x, wanted)).tolist():
-                    if e[i] - b[i] >= least:
-                        for o, v in zip(out, (int(x[i]), doc, int(b[i]), h[b[i] : e[i]].tobytes())):
-                            o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["key", "doc", "begin", "words"])
+            out: list[list] = [[], [], [], [], [], []]
+            for doc, text, wanted in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), batch["wanted"].to_pylist()):
+                h = hashes.of(text.split()).astype(np.uint32)
+                for x in wanted:
+                    p, a, b = x["place"], x["sides"] >> 8, x["sides"] & 255
+                    for o, v in zip(out, (x["key"], x["whole"], doc, p - a, h[p - a : p].tobytes(), h[p + size : p + size + b].tobytes())):
+                        o.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], ["key", "whole", "doc", "begin", "left", "right"])
 
     return run
 
 
 def _repeats(least: int, folder: str):
-    """Of one collection of segments, the stretches of `least`-word windows that occur at more than one place."""
+    """Of one collection of segments, the stretches of `least`-word windows that occur at more than one place.
+
+    The context of a segment is one symbol, so a window that holds it is side + 1 symbols long, wherever it begins."""
+    side, size = least - GRAM - (least - GRAM) // 2, GRAM + (least - GRAM) // 2
     empty = pa.table({"doc": pa.array([], pa.int64()), "start": pa.array([], pa.int32()), "end": pa.array([], pa.int32())})
 
     def run(t: pa.Table) -> pa.Table:
         if not t.num_rows:
             return empty
-        coded = pc.dictionary_encode(t["words"].combine_chunks())
-        if isinstance(coded, pa.ChunkedArray):
-            coded = coded.combine_chunks()
-        of, texts = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        docs, begin = np.unique(t["doc"].to_numpy(), return_inverse=True)[1], t["begin"].to_numpy()
-        place = docs.astype(np.int64) << 32 | begin
-        m = len(texts)
+        contents = np.stack([t["key"].to_numpy(), t["whole"].to_numpy()], 1)
+        _, first, of = np.unique(contents, axis=0, return_index=True, return_inverse=True)
+        of = of.ravel()
+        docs, begin = np.unique(t["doc"].to_numpy(), return_inverse=True)[1], t["begin"].to_numpy().astype(np.int64)
+        spot = docs.astype(np.int64) << 32 | begin
+        m = len(first)
         low, high = np.full(m, np.iinfo(np.int64).max), np.full(m, -1)
-        np.minimum.at(low, of, place)
-        np.maximum.at(high, of, place)
-        lengths = np.array([len(x) // 8 for x in texts])
-        flat, ids = np.unique(np.frombuffer(b"".join(texts), np.uint64), return_inverse=True)
-        symbols = np.full((m, int(lengths.max())), -1, np.int32)
-        row = np.repeat(np.arange(m), lengths)
-        column = np.repeat(np.cumsum(lengths), lengths) - 1 - np.arange(len(ids))
-        symbols[row, column] = ids
-        doc, size, lcp = collection_bwt(symbols, lengths, folder)
-        off = lengths[doc] - size
-        run_of = np.cumsum(lcp < least) - 1
-        start = np.flatnonzero(lcp < least)
-        least_place, most_place = np.minimum.reduceat(low[doc] + off, start), np.maximum.reduceat(high[doc] + off, start)
-        hit = (size >= least) & (least_place != most_place)[run_of]
+        np.minimum.at(low, of, spot)
+        np.maximum.at(high, of, spot)
+        some = t.take(pa.array(first)).combine_chunks()
+        lefts, rights = some["left"].to_pylist(), some["right"].to_pylist()
+        a, b = np.array([len(x) // 4 for x in lefts]), np.array([len(x) // 4 for x in rights])
+        words, ids = np.unique(np.frombuffer(b"".join(lefts + rights), np.uint32), return_inverse=True)
+        lengths = a + b + 1
+        symbols = np.full((m, 2 * side + 1), -1, np.int32)
+
+        def put(count: np.ndarray, ids: np.ndarray, last: np.ndarray) -> None:
+            row = np.repeat(np.arange(m), count)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            symbols[row, last[row] - nth] = ids
+
+        put(a, ids[: a.sum()], lengths - 1)
+        put(b, ids[a.sum() :], b - 1)
+        symbols[np.arange(m), b] = len(words) + np.unique(some["key"].to_numpy(), return_inverse=True)[1]
+        doc, length, lcp = collection_bwt(symbols, lengths, folder)
+        off = lengths[doc] - length
+        start = np.flatnonzero(lcp < side + 1)
+        run_of = np.cumsum(lcp < side + 1) - 1
+        least_spot, most_spot = np.minimum.reduceat(low[doc] + off, start), np.maximum.reduceat(high[doc] + off, start)
+        hit = (length >= side + 1) & (off <= a[doc]) & (least_spot != most_spot)[run_of]
         if not hit.any():
             return empty
         d, o = doc[hit], off[hit]
         order = np.lexsort((o, d))
         d, o = d[order].astype(np.int64), o[order].astype(np.int64)
-        new = np.concatenate([[True], (d[1:] != d[:-1]) | (o[1:] > o[:-1] + least)])
+        new = np.concatenate([[True], d[1:] != d[:-1]])  # within a segment all windows overlap
         ends = np.concatenate([np.flatnonzero(new)[1:], [len(d)]]) - 1
-        stretch = pa.table({"segment": d[new], "from": o[new], "to": o[ends] + least})
-        placed = pa.table({"segment": of.astype(np.int64), "doc": t["doc"].combine_chunks(), "begin": begin})
-        both = placed.join(stretch, "segment", join_type="inner")
-        b = both["begin"].to_numpy()
-        return pa.table({"doc": both["doc"].combine_chunks(), "start": (b + both["from"].to_numpy()).astype(np.int32), "end": (b + both["to"].to_numpy()).astype(np.int32)})
+        from_, to = np.full(m, -1), np.full(m, -1)
+        from_[d[new]], to[d[new]] = o[new], o[ends] + least
+        has = from_[of] >= 0
+        return pa.table({"doc": t["doc"].combine_chunks().filter(pa.array(has)), "start": (begin + from_[of])[has].astype(np.int32), "end": (begin + to[of])[has].astype(np.int32)})
 
     return run
 
@@ -268,10 +304,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Words are runs without white space, and must agree exactly (by 64-bit hash); elsewhere is another place of any document, the same
     one included. Stretches that overlap or touch are joined.
 
-    Two equal passages of `least` words choose an anchor alike, so they share the hash of its left or of its right context. Contexts
-    that occur once are done with. The text around the others is gathered by context into collections of about per_collection segments,
-    each small enough for column-wise construction of its BWT and common prefixes; rounds are as many as a segment has words, at
-    any size of the corpus. Equal segments go in once. So only anchors and the segments of repeated contexts are shuffled.
+    Two equal passages of `least` words choose an anchor alike, so they share its left or its right context, of 29 words if least is
+    50. Contexts that occur once are done with. Where all occurrences of a context agree in what surrounds it, all windows around it are
+    repeats. The other contexts are gathered, with the words beside them, into collections of about per_collection segments, for
+    column-wise construction of their BWT and common prefixes; as all windows in question hold a context whole, it is one symbol. Rounds
+    are as many as a segment has symbols, at any size of the corpus. Equal segments go in once. Beside 64-bit hashes of contexts, words
+    are compared by 32 bits there.
 
     Null, empty and short texts have no rows. Rows equal in id and text are one document. A null id is kept. Long texts are searched
     whole. Other columns are not used.
@@ -280,17 +318,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         raise ValueError(f"passages of fewer than {GRAM + 2} words are not supported")
     spark = docs.sparkSession
     slim = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col)["a"].alias("doc"))
-    keys = slim.select("doc", "text").mapInArrow(_keys(least), "key bigint, doc bigint, begin int")
-    w, place = Window.partitionBy("key"), F.struct("doc", "begin")
-    again = keys.select("key", "doc", "begin", F.min(place).over(w).alias("low"), F.max(place).over(w).alias("high")).where("low <> high")
-    wanted = save(again.groupBy("doc").agg(F.collect_set("key").alias("keys")), "wanted")
-    slots = F.broadcast(wanted.select(F.pmod(F.xxhash64("doc"), F.lit(SLOTS)).alias("slot")).distinct())
-    some = slim.withColumn("slot", F.pmod(F.xxhash64("doc"), F.lit(SLOTS))).join(slots, "slot", "left_semi").join(wanted, "doc").select("doc", "text", "keys")
-    collections = max(1, wanted.agg(F.sum(F.size("keys"))).first()[0] or 0) // per_collection + 1
-    segments = some.mapInArrow(_segments(least), "key bigint, doc bigint, begin int, words binary").withColumn("collection", F.pmod(F.xxhash64("key"), F.lit(collections)))
+    keys = slim.select("doc", "text").mapInArrow(_keys(least), "key bigint, whole bigint, doc bigint, place int, sides smallint")
+    w, spot = Window.partitionBy("key"), F.struct("doc", "place")
+    of_key = keys.select("key", "whole", "doc", "place", "sides", F.min(spot).over(w).alias("low"), F.max(spot).over(w).alias("high"), F.min("whole").over(w).alias("one"), F.max("whole").over(w).alias("other"))
+    again = save(of_key.where("low <> high").select("key", "whole", "doc", "place", "sides", (F.col("one") != F.col("other")).alias("mixed")), "again")
+    size, left, right = GRAM + (least - GRAM) // 2, F.shiftright("sides", 8), F.col("sides").bitwiseAND(255)
+    alike = again.where("not mixed").select("doc", (F.col("place") - left).cast("int").alias("start"), (F.col("place") + size + right).cast("int").alias("end"))
+    wanted = again.where("mixed").groupBy("doc").agg(F.collect_list(F.struct("key", "whole", "place", "sides")).alias("wanted"))
+    slots = F.broadcast(again.where("mixed").select(F.pmod(F.xxhash64("doc"), F.lit(SLOTS)).alias("slot")).distinct())
+    some = slim.withColumn("slot", F.pmod(F.xxhash64("doc"), F.lit(SLOTS))).join(slots, "slot", "left_semi").join(wanted, "doc").select("doc", "text", "wanted")
+    collections = again.where("mixed").count() // per_collection + 1
+    segments = some.mapInArrow(_segments(least), "key bigint, whole bigint, doc bigint, begin int, left binary, right binary").withColumn("collection", F.pmod(F.xxhash64("key"), F.lit(collections)))
     folder = f"{shared_dir(spark)}/codeloom/collections"
-    found = save(segments.select("collection", "doc", "begin", "words").groupBy("collection").applyInArrow(_repeats(least, folder), "doc bigint, start int, end int").distinct(), "stretches")
-    drop(wanted)
+    mixed = segments.groupBy("collection").applyInArrow(_repeats(least, folder), "doc bigint, start int, end int")
+    found = save(alike.unionByName(mixed), "stretches")
+    drop(again)
     by = Window.partitionBy("doc").orderBy("start", "end")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     joined = found.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(by)).groupBy("doc", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
