@@ -21,9 +21,8 @@ _NONE = 1 << 60
 
 
 def _hash(base: int, a: int, b: int, c: int) -> int:
-    x = (base ^ (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9)) & _MASK
-    x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & _MASK
-    return (x ^ x >> 32) * 0x94D049BB133111EB & _MASK
+    x = base * (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9) & _MASK
+    return (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & _MASK
 
 
 class Pieces:
@@ -47,6 +46,8 @@ class Pieces:
                 self.byte_ids[b], self.bytes[i] = i, bytes([b])
         # Where no piece can reach across a mark, words on either side are merged apart, which lets them be remembered.
         self.breaks_at_newline = not any("\n" in p and len(p) > 1 for p in self.ids)
+        #: Letters that stand side by side in some piece; where others meet, nothing can merge.
+        self.meet = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("pieces across spaces are not supported")
 
@@ -60,7 +61,7 @@ class Pieces:
         symbols = [SPACE if c == " " else _LITERAL if c == SPACE else c for c in unit] if SPACE in unit else list(unit.replace(" ", SPACE))
         if len(symbols) > 1:
             under = int(drop * (1 << 64))
-            base = xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), key) if under else 0
+            base = xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), key) | 1 if under else 0
             symbols = self._short(symbols, under, base) if len(symbols) <= 48 else self._long(symbols, under, base)
         out, get = [], self.ids.get
         for s in symbols:
@@ -77,9 +78,11 @@ class Pieces:
         at = list(range(len(s) + 1))
         while ranks and (best := min(ranks)) != _NONE:
             i = ranks.index(best)
-            if under and _hash(base, at[i], at[i + 1], at[i + 2]) < under:
-                ranks[i] = _NONE
-                continue
+            if under:
+                x = base * (at[i] * 0x9E3779B97F4A7C15 + at[i + 1] * 0xC2B2AE3D27D4EB4F + at[i + 2] * 0x165667B19E3779F9) & _MASK
+                if (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & _MASK < under:
+                    ranks[i] = _NONE
+                    continue
             s[i] = new = s[i] + s.pop(i + 1)
             del at[i + 1], ranks[i]
             if i < len(ranks):
@@ -117,6 +120,7 @@ class Pieces:
         return text[1:] if text[:1] == " " else text
 
 
+_ENDS = ".,;:!?\"')#$%&*"
 _UNITS, _UNITS_AND_LINES = re.compile(r" +[^ ]*|[^ ]+"), re.compile(r" +[^ \n]*|\n|[^ \n]+")
 
 
@@ -130,7 +134,11 @@ class Memory(dict):
     def __missing__(self, unit: str) -> bytes:
         if (ids := self.last.get(unit)) is None:
             pieces, drop, key = self.args
-            ids = array("i", pieces.merge(unit, drop, key)).tobytes()
+            word = unit.rstrip(_ENDS)
+            if word and len(word) < len(unit) and unit[len(word) - 1 : len(word) + 1] not in pieces.meet and word[-1] != " ":
+                ids = self[word] + self[unit[len(word) :]]  # the marks after a word are a unit of their own
+            else:
+                ids = array("i", pieces.merge(unit, drop, key)).tobytes()
         if len(unit) < 64:
             if len(self) >= self.most:
                 self.last = dict(self)
