@@ -94,7 +94,9 @@ class Rust(Walker):
         end = self.find(self.close[p] + 1 if self.text(p) == "(" else p, "{ ;")
         if end < 0:
             return k + 1
-        last = self.close[end] if self.text(end) == "{" else end
+        if self.text(end) == ";":
+            return end + 1  # a signature alone
+        last = self.close[end]
         first = self.start(k)
         line, column = self.at(first)
         parent = owner if kind == "method" else self.g.file_id if owner is None else owner

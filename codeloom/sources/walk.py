@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import subprocess
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.sources import ignore
@@ -24,24 +25,28 @@ def paths(root: str) -> list[str]:
     return out
 
 
-def decoded(content: Column) -> Column:
-    """Bytes as UTF-8, what isn't becoming U+FFFD."""
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for path in batch["file_path"].to_pylist():
+            try:
+                with open(path, "rb") as f:
+                    rows.append((path, f.read().decode("utf-8", "replace"), os.stat(path).st_mtime))
+            except OSError:
+                continue  # it went while the walk was on
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64()))], ["file_path", "content", "mtime"])
 
-    @F.arrow_udf("string")
-    def f(a: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else x.decode("utf-8", "replace") for x in a.to_pylist()], pa.string())
 
-    return f(content)
-
-
-def files(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path, content, content_hash, mtime) of a repository's source files; paths are absolute. Executors read the files."""
+def files(spark: SparkSession, root: str, per_task: int = 200) -> DataFrame:
+    """(file_path, content, content_hash, mtime) of a repository's source files; paths are absolute. Executors read the files, which
+    have to lie where all of them can; bytes that aren't UTF-8 become U+FFFD. (Spark's own file source would leave out names that begin
+    with an underscore, such as __init__.py.)"""
     root = os.path.abspath(root)
-    found = [os.path.join(root, p) for p in paths(root)]
+    found = [(os.path.join(root, p),) for p in paths(root)]
     if not found:
         return spark.createDataFrame([], "file_path string, content string, content_hash string, mtime double")
-    raw = spark.read.format("binaryFile").load([f"file://{p}" for p in found])
-    text = raw.select(F.regexp_replace("path", "^file:/*", "/").alias("file_path"), decoded(F.col("content")).alias("content"), F.col("modificationTime").cast("double").alias("mtime"))
+    named = spark.createDataFrame(found, "file_path string").repartition(-(-len(found) // per_task), "file_path")
+    text = named.mapInArrow(_read, "file_path string, content string, mtime double")
     return text.select("file_path", "content", F.substring(F.sha2("content", 256), 1, 16).alias("content_hash"), "mtime")
 
 
