@@ -35,40 +35,57 @@ class Block:
         self.norm = float((x * x).sum(1).max(initial=0))
 
 
+def _rowwise(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of the pairs (a[i], b[j]), summed up from differences."""
+    return np.concatenate([((a[p] - b[r]) ** 2).sum(1) for p, r in zip(np.array_split(i, len(i) // 50_000 + 1), np.array_split(j, len(j) // 50_000 + 1))])
+
+
 def nearest(q: Block, d: Block, limit: np.ndarray, k: int, itself: bool, at_once: int = 256):
     """(query, neighbour, squared distance) of up to k neighbours in d of each row of q, none beyond limit, ties by id.
 
-    Bounds are taken coarse to fine, then a product of vectors, each with room for rounding; distances are then summed up from
-    differences, for what is left.
+    Bounds are taken coarse to fine, all with room for rounding. A level that leaves more than half of the pairs in costs more than it
+    saves, so against this block it isn't tried again, and all pairs of the rows at hand are put through a product of vectors, which also
+    tightens their limits. The distances of what is left are summed up from differences.
     """
-    out, slack = [], 1e-9 * (q.norm + d.norm + 1)
+    out, slack, tried = [], 1e-9 * (q.norm + d.norm + 1), len(d.levels)
     rank = np.empty(len(d.ids), np.int64)
     rank[sorted(range(len(d.ids)), key=lambda i: (d.ids[i] is None, d.ids[i], i))] = np.arange(len(d.ids))
     for b in range(0, len(q.x), at_once):
         x, most = q.x[b : b + at_once], limit[b : b + at_once].copy()
-        coarse = _squares(q.levels[0][b : b + at_once], d.levels[0]) if d.levels else _squares(x, d.x)
-        if itself:
-            coarse[np.arange(len(x)), np.arange(b, b + len(x))] = np.inf
-        if np.isinf(most).any() and len(d.x) > k:  # the exact distances of those that look nearest give a first limit
-            try_ = np.argpartition(coarse, k - 1, axis=1)[:, :k]
-            most = np.minimum(most, ((x[:, None] - d.x[try_]) ** 2).sum(2).max(1) if not itself else np.where(np.isinf(np.take_along_axis(coarse, try_, 1)).any(1), np.inf, ((x[:, None] - d.x[try_]) ** 2).sum(2).max(1)))
-        i, j = np.nonzero(coarse <= most[:, None] + slack)
-        keep = np.isfinite(coarse[i, j])
-        i, j = i[keep], j[keep]
-        for stats in [(s, t) for s, t in zip(q.levels[1:], d.levels[1:])] + [(q.x, d.x)]:
-            if len(i) > 0.1 * coarse.size:
-                v = _squares(stats[0][b : b + at_once], stats[1])[i, j]
+        mine = np.arange(len(x))
+        left = None
+        for level in range(tried):
+            s, t = q.levels[level][b : b + at_once], d.levels[level]
+            if left is None:
+                bound = _squares(s, t)
+                if itself:
+                    bound[mine, b + mine] = np.inf
+                if np.isinf(most).any() and len(d.x) > k:  # those that look nearest give a first limit
+                    like = np.argpartition(bound, k - 1, axis=1)[:, :k]
+                    most = np.minimum(most, np.where(np.isinf(np.take_along_axis(bound, like, 1)).any(1), np.inf, ((x[:, None] - d.x[like]) ** 2).sum(2).max(1)))
+                near = bound <= np.where(np.isinf(most), np.finfo(float).max, most)[:, None] + slack
+                if near.mean() > 0.5:
+                    tried = level
+                    break
+                left = np.nonzero(near)
             else:
-                v = np.concatenate([((stats[0][b + p] - stats[1][r]) ** 2).sum(1) for p, r in zip(np.array_split(i, len(i) // 100_000 + 1), np.array_split(j, len(j) // 100_000 + 1))])
-            near = v <= most[i] + slack
-            i, j = i[near], j[near]
-        exact = np.concatenate([((x[p] - d.x[r]) ** 2).sum(1) for p, r in zip(np.array_split(i, len(i) // 100_000 + 1), np.array_split(j, len(j) // 100_000 + 1))])
-        near = exact <= most[i]
+                near = _rowwise(s, t, *left) <= most[left[0]] + slack
+                left = left[0][near], left[1][near]
+        if left is None:
+            bound = _squares(x, d.x)
+            if itself:
+                bound[mine, b + mine] = np.inf
+            if len(d.x) > k:
+                most = np.minimum(most, np.partition(bound, k - 1, axis=1)[:, k - 1] + slack)
+            left = np.nonzero(bound <= np.where(np.isinf(most), np.finfo(float).max, most)[:, None] + slack)
+        i, j = left
+        exact = _rowwise(x, d.x, i, j)
+        near = exact <= most[i] + slack
+        near &= exact <= limit[b + i]
         i, j, exact = i[near], j[near], exact[near]
         order = np.lexsort((rank[j], exact, i))
         i, j, exact = i[order], j[order], exact[order]
-        first = np.searchsorted(i, i)
-        top = np.arange(len(i)) - first < k
+        top = np.arange(len(i)) - np.searchsorted(i, i) < k
         out.append((i[top] + b, j[top], exact[top]))
     return tuple(np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
