@@ -18,6 +18,7 @@ SPACE = "▁"
 _MASK = (1 << 64) - 1
 _LITERAL = "\0" + SPACE  # a U+2581 of the text itself, which no piece may take for a space
 _NONE = 1 << 60
+_K1, _K2, _K3, _K4 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9))
 
 
 def _hash(base: int, a: int, b: int, c: int) -> int:
@@ -48,6 +49,7 @@ class Pieces:
         self.breaks_at_newline = not any("\n" in p and len(p) > 1 for p in self.ids)
         #: Letters that stand side by side in some piece; where others meet, nothing can merge.
         self.meet = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self._tables()
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("pieces across spaces are not supported")
 
@@ -71,6 +73,93 @@ class Pieces:
                 out += [self.byte_ids[b] for b in (SPACE if s is _LITERAL else s).encode("utf-8", "surrogatepass")]
         return out
 
+    def _tables(self) -> None:
+        """For merging many units at once: symbols of characters by code point, and all pairs of symbols that merge, by key."""
+        n = len(self.bytes)
+        symbol = dict(self.ids)
+        for c in sorted({c for p in self.ids for c in p} - set(self.ids)):
+            symbol[c] = n + len(symbol)
+        self.char = np.full(0x110000, -1, np.int64)
+        for c, i in symbol.items():
+            if len(c) == 1:
+                self.char[ord(c)] = i if c in self.ids else -1
+        found = {}
+        for p, rank in self.ranks.items():
+            for k in range(1, len(p)):
+                a, b = symbol.get(p[:k]), symbol.get(p[k:])
+                if a is not None and b is not None:
+                    found[a << 20 | b] = rank << 20 | self.ids[p]
+        self.pairs = np.array(sorted(found), np.int64)
+        self.made = np.array([found[k] for k in self.pairs.tolist()] or [0], np.int64)
+
+    def _look(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and symbol of what pairs merge to, as one number; _NONE for pairs that don't."""
+        key = a << 20 | b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.made[at], _NONE) if len(self.pairs) else np.full(len(key), _NONE)
+
+    def merge_many(self, units: list[str], drop: float, keys: list[int], longest: int = 24) -> list[bytes]:
+        """merge() of many units, their ids as bytes. The agendas of all short units of known characters run side by side: in each step
+        every one of them takes its best pair."""
+        out: list[bytes | None] = [None] * len(units)
+        flat = "".join(units)
+        codes = self.char[np.frombuffer(flat.replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        lengths = np.array([len(u) for u in units], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        bad = np.zeros(len(units), bool)
+        unknown = np.flatnonzero(codes < 0)
+        bad[np.searchsorted(starts, unknown, "right") - 1] = True
+        bad |= lengths > longest
+        if SPACE in flat:
+            bad |= np.array([SPACE in u for u in units])
+        for i in np.flatnonzero(bad).tolist():
+            out[i] = array("i", self.merge(units[i], drop, keys[i])).tobytes()
+        rows = np.flatnonzero(~bad)
+        if not len(rows):
+            return out
+        n, w = lengths[rows], int(lengths[rows].max())
+        col = np.arange(w + 1)
+        s = np.where(col < n[:, None], codes[np.minimum(starts[rows][:, None] + col, len(codes) - 1)], -1)
+        following, before = np.broadcast_to(col + 1, s.shape).copy(), np.broadcast_to(col - 1, s.shape).copy()
+        rank = np.full((len(rows), w), _NONE, np.int64)
+        r, c = np.nonzero(col[:w] + 1 < n[:, None])
+        rank[r, c] = self._look(s[r, c], s[r, c + 1])
+        under = int(drop * (1 << 64))
+        base = np.array([xxhash.xxh64_intdigest(units[i].encode("utf-8", "surrogatepass"), keys[i]) | 1 for i in rows.tolist()], np.uint64) if under else None
+        live = np.arange(len(rows))
+        while len(live):
+            i = rank[live].argmin(1)
+            best = rank[live, i]
+            go = best != _NONE
+            live, i, best = live[go], i[go], best[go]
+            if not len(live):
+                break
+            j = following[live, i]
+            if under:
+                with np.errstate(over="ignore"):
+                    x = base[live] * (i.astype(np.uint64) * _K1 + j.astype(np.uint64) * _K2 + following[live, j].astype(np.uint64) * _K3)
+                    skip = (x ^ (x >> np.uint64(29))) * _K4 < np.uint64(min(under, _MASK))
+                rank[live[skip], i[skip]] = _NONE
+                m, i, j, best = live[~skip], i[~skip], j[~skip], best[~skip]
+            else:
+                m = live
+            k = following[m, j]
+            s[m, i], s[m, j] = best & 0xFFFFF, -1
+            following[m, i], before[m, k] = k, i
+            rank[m, np.minimum(j, w - 1)] = _NONE
+            right = k < n[m]
+            rank[m, i] = _NONE
+            rank[m[right], i[right]] = self._look(s[m[right], i[right]], s[m[right], k[right]])
+            left = i > 0
+            p = before[m[left], i[left]]
+            rank[m[left], p] = self._look(s[m[left], p], s[m[left], i[left]])
+        kept = s >= 0
+        raw, ends = s[kept].astype(np.int32).tobytes(), (np.cumsum(kept.sum(1)) * 4).tolist()
+        b = 0
+        for i, e in zip(rows.tolist(), ends):
+            out[i], b = raw[b:e], e
+        return out
+
     def _short(self, s: list[str], under: int, base: int) -> list[str]:
         """The agenda as a list of the ranks of adjacent pairs."""
         get = self.ranks.get
@@ -124,47 +213,81 @@ _ENDS = ".,;:!?\"')#$%&*"
 _UNITS, _UNITS_AND_LINES = re.compile(r" +[^ ]*|[^ ]+"), re.compile(r" +[^ \n]*|\n|[^ \n]+")
 
 
-class Memory(dict):
+class Memory:
     """unit -> its ids as bytes, for one key. When full it goes on with an empty table, and takes over what is used again of the last."""
 
-    def __init__(self, pieces: Pieces, drop: float, key: int, most: int):
-        super().__init__()
-        self.args, self.most, self.last = (pieces, drop, key), most, {}
+    def __init__(self, key: int, most: int):
+        self.key, self.most, self.new, self.last = key, most, {}, {}
 
-    def __missing__(self, unit: str) -> bytes:
-        if (ids := self.last.get(unit)) is None:
-            pieces, drop, key = self.args
-            word = unit.rstrip(_ENDS)
-            if word and len(word) < len(unit) and unit[len(word) - 1 : len(word) + 1] not in pieces.meet and word[-1] != " ":
-                ids = self[word] + self[unit[len(word) :]]  # the marks after a word are a unit of their own
-            else:
-                ids = array("i", pieces.merge(unit, drop, key)).tobytes()
-        if len(unit) < 64:
-            if len(self) >= self.most:
-                self.last = dict(self)
-                self.clear()
-            self[unit] = ids
+    def get(self, unit: str) -> bytes | None:
+        if (ids := self.new.get(unit)) is None and (ids := self.last.get(unit)) is not None:
+            self.put(unit, ids)
         return ids
 
+    def put(self, unit: str, ids: bytes) -> None:
+        if len(unit) < 64:
+            if len(self.new) >= self.most:
+                self.new, self.last = {}, self.new
+            self.new[unit] = ids
+
 
 class Encoder:
     """Encodes texts. Each unit of a text draws one of `draws` keys by a hash of the seed, the document and its place, so the same word
     is cut in up to that many ways over a corpus, and the same way in every run."""
 
     def __init__(self, pieces: Pieces, drop: float = 0.1, seed: int = 1, draws: int = 4, most: int = 800_000):
-        self.pieces, self.seed, self.draws = pieces, seed, draws if drop else 1
-        self.memories = [Memory(pieces, drop, xxhash.xxh64_intdigest(b"%d" % d, seed & _MASK), most // self.draws) for d in range(self.draws)]
+        self.pieces, self.drop, self.seed, self.draws = pieces, drop, seed, draws if drop else 1
+        self.memories = [Memory(xxhash.xxh64_intdigest(b"%d" % d, seed & _MASK), most // self.draws) for d in range(self.draws)]
 
     def encode(self, text: str | None, doc_key: int = 0) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        units = self.pieces.units(text)
-        if self.draws == 1:
-            return np.frombuffer(b"".join(map(self.memories[0].__getitem__, units)), np.int32)
-        with np.errstate(over="ignore"):
-            k = mix(np.arange(len(units), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((doc_key ^ self.seed * 0xD6E8FEB86659FD93) & _MASK))
-        m = self.memories
-        return np.frombuffer(b"".join([m[d][u] for d, u in zip((k % np.uint64(self.draws)).tolist(), units)]), np.int32)
+        return self.encode_many([text], [doc_key])[0]
+
+    def encode_many(self, texts: list[str | None], doc_keys: list[int]) -> list[np.ndarray]:
+        """The ids of each text; units that no memory holds are merged together."""
+        all_units, all_draws, found, want = [], [], [], {}
+        for text, key in zip(texts, doc_keys):
+            units = self.pieces.units(text) if text else []
+            if self.draws == 1:
+                draws = [0] * len(units)
+            else:
+                with np.errstate(over="ignore"):
+                    k = mix(np.arange(len(units), dtype=np.uint64) * _K1 + np.uint64((key ^ self.seed * 0xD6E8FEB86659FD93) & _MASK))
+                draws = (k % np.uint64(self.draws)).tolist()
+            tables = [m.new for m in self.memories]
+            got = [tables[d].get(u) for d, u in zip(draws, units)]
+            if None in got:
+                want.update(((d, u), None) for d, u, g in zip(draws, units, got) if g is None)
+            all_units.append(units)
+            all_draws.append(draws)
+            found.append(got)
+        made = self._make(list(want)) if want else {}
+        return [np.frombuffer(b"".join(g if None not in g else [x if x is not None else made[d, u] for d, u, x in zip(ds, us, g)]), np.int32) for us, ds, g in zip(all_units, all_draws, found)]
+
+    def _make(self, want: list[tuple[int, str]]) -> dict[tuple[int, str], bytes]:
+        """The ids of units by draw. Marks after a word are a unit of their own where no piece crosses over to them."""
+        made, parts, todo, meet = {}, [], {}, self.pieces.meet
+        for d, u in want:
+            if (ids := self.memories[d].get(u)) is not None:
+                made[d, u] = ids
+                continue
+            word = u.rstrip(_ENDS)
+            if word and len(word) < len(u) and u[len(word) - 1 : len(word) + 1] not in meet and word[-1] != " ":
+                parts.append((d, u, word, u[len(word) :]))
+                for x in (word, u[len(word) :]):
+                    if (ids := self.memories[d].get(x)) is None:
+                        todo[d, x] = None
+                    else:
+                        made[d, x] = ids
+            else:
+                todo[d, u] = None
+        new = list(todo)
+        for (d, u), ids in zip(new, self.pieces.merge_many([u for _, u in new], self.drop, [self.memories[d].key for d, _ in new]) if new else ()):
+            made[d, u] = ids
+            self.memories[d].put(u, ids)
+        for d, u, word, marks in parts:
+            made[d, u] = ids = made[d, word] + made[d, marks]
+            self.memories[d].put(u, ids)
+        return made
 
 
 _here: dict[int, Encoder] = {}
@@ -186,13 +309,16 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
             _here.clear()
             _here[number] = Encoder(held.value, drop, seed, draws)
         e = _here[number]
-        flat, offsets, exact, null = [], [0], [], []
-        for t, k in zip(text.to_pylist(), key.to_pylist()):
-            ids = e.encode(t, k)
+        flat, exact, texts, keys = [], [], text.to_pylist(), key.to_pylist()
+        b = chars = 0
+        for i, t in enumerate(texts):
+            chars += len(t or "")
+            if chars >= 4_000_000 or i + 1 == len(texts):
+                flat += e.encode_many(texts[b : i + 1], keys[b : i + 1])
+                b, chars = i + 1, 0
+        for t, ids in zip(texts, flat):
             exact.append(None if t is None else e.pieces.decode(ids.tolist()) == t)
-            null.append(t is None)
-            flat.append(ids)
-            offsets.append(offsets[-1] + len(ids))
+        null, offsets = [t is None for t in texts], np.cumsum([0, *map(len, flat)])
         values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array(null, pa.bool_()))
         return pa.StructArray.from_arrays([lists, pa.array(exact, pa.bool_())], ["ids", "lossless"])
