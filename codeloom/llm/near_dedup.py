@@ -69,7 +69,7 @@ def _sketched(k: int, picks: int, sketches: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            n, same, sk, bags, tokens = [], [], [], [], []
+            n, same, sk, bags = [], [], [], []
             for text in batch["text"].to_pylist():
                 h = hashes.of((text or "").split())
                 n.append(len(h))
@@ -77,12 +77,17 @@ def _sketched(k: int, picks: int, sketches: int):
                 same.append(xxhash.xxh3_128_digest(raw))
                 sk.append(order_minhash(h, k, picks, sketches).view(np.int64))
                 bags.append(bag(h).tobytes())
-                tokens.append(h.astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["key"], pa.array(n, pa.int32()), pa.array(same, pa.binary()), pa.array(sk, pa.list_(pa.int64())), pa.array(bags, pa.binary()), pa.array(tokens, pa.binary())], ["id", "key", "n", "same", "sketch", "bag", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["key"], pa.array(n, pa.int32()), pa.array(same, pa.binary()), pa.array(sk, pa.list_(pa.int64())), pa.array(bags, pa.binary())], ["id", "key", "n", "same", "sketch", "bag"])
 
     return run
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch["key"], pa.array([hashes.of(t.split()).astype(np.uint32).tobytes() for t in batch["text"].to_pylist()], pa.binary())], ["key", "tokens"])
+
+
 def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], width: np.ndarray) -> np.ndarray:
     """Edit distances, those of up to width[p] exact, others more than width[p]. All pairs go down their bands together."""
     far = 1 << 28
@@ -205,7 +210,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     """
     slim = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).where("text is not null")
     id_type = slim.schema["id"].dataType.simpleString()
-    made = save(slim.mapInArrow(_sketched(k, picks, sketches), f"id {id_type}, key struct<a:bigint,b:bigint>, n int, same binary, sketch array<bigint>, bag binary, tokens binary").where("n > 0"), "sketched")
+    made = save(slim.mapInArrow(_sketched(k, picks, sketches), f"id {id_type}, key struct<a:bigint,b:bigint>, n int, same binary, sketch array<bigint>, bag binary").where("n > 0"), "sketched")
     nodes = made.groupBy("same").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     in_bucket = Window.partitionBy("bucket")
     lead = F.min(F.struct("same", "n")).over(in_bucket)
@@ -218,9 +223,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
         bound = F.floor((1 - least) * F.greatest("na", "nb") + 1e-9)
         return pairs.where(_may_be_close("bag_a", "bag_b", bound)).select("a", "b").distinct()
 
-    needed = _slots(buckets, F.col("same"))
-    tokens = save(made.select("same", "bag", "tokens").withColumn("__slot", _slot(F.col("same"))).join(needed, "__slot", "left_semi").drop("__slot").dropDuplicates(["same"]), "tokens")
-    bags = tokens.select("same", "bag")
+    # The words of candidates are read again from one row of each, rather than kept for all documents.
+    bags = save(made.select("same", "key", "bag").join(buckets.select("same").distinct(), "same").groupBy("same").agg(F.min(F.struct("key", "bag")).alias("of")).select("same", "of.*"), "bags")
+    again = slim.withColumn("__slot", _slot(F.col("key"))).join(_slots(bags, F.col("key")), "__slot", "left_semi").select("key", "text")
+    tokens = save(again.mapInArrow(_words, "key struct<a:bigint,b:bigint>, tokens binary").join(bags.select("same", "key"), "key").select("same", "tokens").dropDuplicates(["same"]), "tokens")
+    bags = bags.select("same", "bag")
 
     def close(pairs: DataFrame) -> DataFrame:
         full = pairs.join(tokens.select(F.col("same").alias("a"), F.col("tokens").alias("ta")), "a").join(tokens.select(F.col("same").alias("b"), F.col("tokens").alias("tb")), "b")
