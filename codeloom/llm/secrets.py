@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.sampling import lowest
+
 OUT, BEGIN, IN = 0, 1, 2
 MASK = "<secret>"
 _CORE = re.compile(r"[A-Za-z0-9+/_\-]+")
@@ -31,7 +33,7 @@ def core(word: str) -> str:
 def attributes(word: str) -> tuple[str, ...]:
     """The shape of a word, as the model sees it."""
     plain = word.strip(_MARKS)
-    if (not plain or plain.isalpha() and plain.lower() not in _KEYS) and "-----" not in word:
+    if (not plain or plain.isalpha() and plain.lower() not in _KEYS and not plain.startswith(("AKIA", "ASIA"))) and "-----" not in word:
         case = "low" if plain.islower() else "title" if plain[1:].islower() else "up" if plain.isupper() else "mixed"
         return ("alpha" + case if plain else "marks", f"n{min(3, len(plain) // 12)}", "-", "-", "assign" if word in _ASSIGN else "quoted" if word[0] in "\"'`" else "-")
     c = core(word)
@@ -171,7 +173,7 @@ def _secret(r: random.Random) -> list[str]:
     an, hexes = string.ascii_letters + string.digits, "0123456789abcdef"
     k = r.randrange(11)
     if k < 4:
-        x = pick(hexes, r.choice((32, 40, 40, 40, 64)))
+        x = pick(hexes, r.choice((16, 18, 24, 32, 40, 40, 40, 64)))
         return [x.upper() if r.random() < 0.25 else x]
     if k == 4:
         return [r.choice(("AKIA", "ASIA")) + pick(string.ascii_uppercase + string.digits, 16)]
@@ -195,7 +197,7 @@ def _harmless(r: random.Random) -> list[str]:
     return r.choice((
         [pick(string.digits, 16)], [pick(string.digits, r.randint(1, 13))], [f"{name}.{pick(string.digits, 2)}@mail{pick(string.digits, 1)}.example.com"], [f"https://{name}.example.org/{pick(string.ascii_lowercase, 12)}"], [pick(string.ascii_lowercase, r.randint(12, 34))],
         [pick(string.ascii_uppercase, r.randint(4, 20)) + r.choice(("", "!!"))], ["the", "token", "=", name], ["a", "password", "is", name], ["key", ":", name], [f"+{pick(string.digits, 2)}", pick(string.digits, 3), pick(string.digits, 7)], [f"{name}###"], [f"{name.title()},$$$"],
-        [f"#{pick('0123456789abcdef', 6)}"], [f"{name}-{name}-{pick(string.ascii_lowercase, 9)}"], [f"{pick(string.digits, 4)}-{pick(string.digits, 2)}-{pick(string.digits, 2)}"], ["|", name, "|"],
+        [f"#{pick('0123456789abcdef', 6)}"], [f"{name}-{name}-{pick(string.ascii_lowercase, 9)}"], [f"{pick(string.digits, 4)}-{pick(string.digits, 2)}-{pick(string.digits, 2)}"], ["|", name, "|"], [f"{name}.{name[::-1]}".upper() + r.choice(("", "!!"))], [f"{name.title()}.{name[::-1].title()}"],
     ))
 
 
@@ -222,12 +224,17 @@ def plant(words: list[str], r: random.Random) -> tuple[list[str], list[int]]:
 
 
 def looks_secret(word: str) -> bool:
-    """Labels the secrets that sampled documents already hold: a long run that mixes letters with digits, and isn't a mail address or link."""
+    """Labels the secrets that sampled documents already hold: a run with a key's prefix, one set to a key's name, or a long one that
+    mixes letters with digits; mail addresses and links are none."""
     c = core(word)
-    return len(c) >= 24 and len(set(c)) >= 8 and sum(x.isdigit() for x in c) >= 3 and any(x.isalpha() for x in c) and "@" not in word and "://" not in word
+    if "@" in word or "://" in word or not any(x.isdigit() for x in c):
+        return False
+    if len(c) >= 16 and any(c.startswith(p) for p in _PREFIXES) or len(c) >= 12 and "=" in word and _KEY_IN.search(word):
+        return True
+    return len(c) >= 24 and len(set(c)) >= 8 and sum(x.isdigit() for x in c) >= 3 and any(x.isalpha() for x in c)
 
 
-def windows(texts: list[str], seed: int, most: int = 4000, width: int = 14) -> list[tuple[list[str], list[int], int]]:
+def windows(texts: list[str], seed: int, most: int = 5000, width: int = 14) -> list[tuple[list[str], list[int], int]]:
     """Windows with planted secrets: words, tags and the class of the file."""
     r, out = random.Random(seed), []
     docs = [w for t in texts if (w := (t or "").split())] or [["a"]]
@@ -244,7 +251,7 @@ def windows(texts: list[str], seed: int, most: int = 4000, width: int = 14) -> l
     return out
 
 
-def train(examples: list[tuple[list[str], list[int], int]], epochs: int = 12, rate: float = 0.06, batch: int = 100, seed: int = 5) -> Crf:
+def train(examples: list[tuple[list[str], list[int], int]], epochs: int = 16, rate: float = 0.06, batch: int = 100, seed: int = 5) -> Crf:
     """Maximum likelihood by forward-backward sums and Adam, with a pull of the moves towards zero."""
     index: dict[str, int] = {}
     cache: dict[tuple, list[int]] = {}
@@ -303,7 +310,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_doc
 
     Texts of over 20,000 characters are left out of training only. Without documents the model learns from planted windows alone.
     """
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.length("t") <= 20_000).orderBy(F.xxhash64("id"), "id", F.xxhash64("t")).limit(max_docs)
+    some = lowest(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.length("t") <= 20_000), "id", max_docs)
     return train(windows([r.t for r in some.collect()], seed=9))
 
 
