@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators import analysis, cycles, diff, export, search, traverse
+from codeloom.schema import Maybe
 from codeloom.sources import parse, walk
 from codeloom.sources.store import NotIndexed, Store, index
 
@@ -41,7 +42,7 @@ class CodeGraph:
 
     # Search
 
-    def search(self, text: str, kind: str | None = None, language: str | None = None, limit: int = 50, full_text: bool = False) -> DataFrame:
+    def search(self, text: str, kind: Maybe = None, language: Maybe = None, limit: int = 50, full_text: bool = False) -> DataFrame:
         find = search.search_full_text if full_text else search.search_nodes
         return find(self.nodes, text, kind, language, limit)
 
@@ -69,7 +70,7 @@ class CodeGraph:
         wanted = self.spark.createDataFrame([(i,) for i in set(ids)], "id string")
         return {r.id: r.asDict() for r in self.nodes.join(wanted, "id", "left_semi").select(*FIELDS).collect()}
 
-    def trace(self, name: str, direction: str = "both", max_depth: int = 5) -> dict:
+    def trace(self, name: str, max_depth: int = 5, direction: str = "both") -> dict:
         """Trees of callers and callees: node, depth, callers or callees, and cycle where the path comes back to what it passed."""
         root = self.pick(name)
         first = root.select(*FIELDS).first()
@@ -112,7 +113,7 @@ class CodeGraph:
 
     def why(self, a: str, b: str, max_depth: int = 10) -> dict:
         """A shortest path of calls and base types from a to b, else from b to a; its direction is told, not turned round."""
-        found = {"found": False, "direction": None, "path": []}
+        found = dict(found=False, direction=None, path=[])
         starts = {n: self.pick(n) for n in (a, b)}
         for n, s in starts.items():
             if not s.limit(1).count():
@@ -160,7 +161,7 @@ class CodeGraph:
 
     # Export
 
-    def export(self, form: str, kind: str | None = None, language: str | None = None, limit: int | None = None, edge_kinds: list[str] | None = None, diagram_type: str = "flowchart") -> str:
+    def export(self, form: str, kind: Maybe = None, language: Maybe = None, limit: int | None = None, edge_kinds: list[str] | None = None, diagram_type: str = "flowchart") -> str:
         n, e = export.subgraph(self.nodes, self.edges, kind, language, limit, edge_kinds)
         if form == "mermaid":
             return export.to_mermaid(n, e, diagram_type)

@@ -99,7 +99,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("ref")
     c.add_argument("--repo", default=".")
     c = command("export", "the graph in another form")
-    c.add_argument("format", choices=["dot", "mermaid", "json", "html"])
+    c.add_argument("format", choices="html json mermaid dot".split())
     c.add_argument("--kind")
     c.add_argument("--language")
     c.add_argument("--limit", type=int)
@@ -177,7 +177,7 @@ def run(args: argparse.Namespace, spark=None) -> int:
         _show(x, as_json, [f"{x['direction']}: " + " -> ".join(n["name"] for n in x["path"])] if x["found"] else [x["reason"]])
         return 0 if x["found"] else 1
     elif c == "trace":
-        x = g.trace(args.symbol, args.direction, args.depth)
+        x = g.trace(args.symbol, args.depth, args.direction)
         if x["symbol"] is None:
             _show(x, as_json, [f"There is no symbol {args.symbol}"])
             return 1

@@ -62,7 +62,7 @@ LAYERS = (
     ("indexer", ("/indexer.py",)),
     ("static", ("/static/",)),
 )
-LAYER_LABELS = {"entrypoints": "Entrypoints (CLI / MCP)", "queries": "Query Layer", "graph": "Graph Layer", "parsers": "Language Parsers", "indexer": "Indexer", "static": "Static Assets", "other": "Other"}
+LAYER_LABELS = {"other": "Other", "static": "Static assets", "indexer": "Indexer", "parsers": "Parsers by language", "graph": "Graph layer", "queries": "Query layer", "entrypoints": "Entry points"}
 _ROLES = (
     ("/cli.py", "command line"), ("/__main__.py", "entry point"), ("/mcp/server.py", "tool server"), ("/indexer.py", "indexing"), ("/graph/store.py", "graph storage"), ("/graph/schema.py", "schema"),
     ("/graph/models.py", "node and edge models"), ("/queries/search.py", "symbol search"), ("/queries/trace.py", "call traces"), ("/queries/impact.py", "change impact"), ("/queries/analysis.py", "dead code and hotspots"),

@@ -11,7 +11,7 @@ from codeloom.functions.names import is_architecture_file, layer
 from codeloom.operators.spine import definitions, resolve_sites, resolved_out
 from codeloom.schema import DEFINITION_KINDS
 
-ENTRYPOINTS = ("main", "__main__", "run", "serve", "app", "create_app", "setup", "teardown", "handle", "cli")
+ENTRYPOINTS = tuple("__main__ app cli create_app handle main run serve setup teardown".split())
 SYMBOL = ("id", "name", "kind", "file_path", "line_start")
 
 

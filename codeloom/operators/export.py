@@ -6,6 +6,7 @@ Lines are made by Spark, one per node or edge; what is returned as one string is
 from __future__ import annotations
 
 import json
+import re
 from importlib import resources
 
 from pyspark.sql import Column, DataFrame
@@ -14,11 +15,12 @@ from pyspark.sql import functions as F
 from codeloom.functions.names import LAYER_LABELS, component_role, is_architecture_file, stem
 from codeloom.operators.analysis import component_deps, layer_top, stats
 from codeloom.operators.search import filtered
+from codeloom.schema import Maybe
 
-LAYER_ORDER = ("entrypoints", "queries", "graph", "parsers", "indexer", "static", "other")
+LAYER_ORDER = "entrypoints queries graph parsers indexer static other".split()
 
 
-def subgraph(nodes: DataFrame, edges: DataFrame, kind: str | None = None, language: str | None = None, limit: int | None = None, edge_kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def subgraph(nodes: DataFrame, edges: DataFrame, kind: Maybe = None, language: Maybe = None, limit: int | None = None, edge_kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """The nodes asked for, in order of seq, and the edges that have both ends among them."""
     n = filtered(nodes, kind, language)
     if limit is not None:
@@ -62,13 +64,13 @@ def dot_lines(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]
 
 def to_dot(nodes: DataFrame, edges: DataFrame) -> str:
     n, e = dot_lines(nodes, edges)
-    head = ["digraph code {", "  rankdir=LR;", '  node [fontname="Arial", fontsize=10];', '  edge [fontname="Arial", fontsize=8];']
+    head = ["digraph code {", "  rankdir=LR;", *(f"  {what} [fontsize={size}, fontname=Helvetica];" for what, size in (("node", 11), ("edge", 9)))]
     return "\n".join([*head, *_lines(n, F.col("line"), "seq", "id"), *_lines(e, F.col("line"), "seq", "source_id", "target_id"), "}"])
 
 
 def to_mermaid(nodes: DataFrame, edges: DataFrame, diagram_type: str = "flowchart") -> str:
     if diagram_type == "classDiagram":
-        arrow = _per_kind({"calls": "..>", "inherits": "--|>", "contains": "*--", "imports": "..>"}, "-->")
+        arrow = _per_kind({"contains": "*--", "inherits": "--|>"} | dict.fromkeys(("imports", "calls"), "..>"), "-->")
         shown = nodes.where(F.col("kind").isin("class", "method", "function")).withColumn("at", _per_kind({"class": "0", "method": "1"}, "2"))
         block = F.concat(F.lit("  class "), _id("id", "n"), F.lit(" {\n    %% "), F.col("name"), F.when(F.col("kind") == "class", "").otherwise("()"), F.lit("\n  }"))
         link = F.concat(F.lit("  "), _id("source_id", "n"), F.lit(" "), arrow, F.lit(" "), _id("target_id", "n"))
@@ -111,7 +113,7 @@ def to_html(nodes: DataFrame, edges: DataFrame) -> str:
 
 
 def common_prefix(paths: list[str]) -> str:
-    split = [p.replace("\\", "/").split("/") for p in paths]
+    split = [re.split(r"[\\/]", p) for p in paths]
     out = []
     for parts in zip(*split):
         if len(set(parts)) > 1:
@@ -122,7 +124,7 @@ def common_prefix(paths: list[str]) -> str:
 
 def _component_id(path: str, prefix: str) -> str:
     rel = path[len(prefix) :].lstrip("/") if prefix and path.startswith(prefix + "/") else path
-    return "comp_" + rel.replace("\\", "/").replace("src/", "").replace("/", "_").replace(".", "_").replace("-", "_")
+    return "comp_" + re.sub(r"src[\\/]", "", rel).translate(str.maketrans("\\/.-", "____"))
 
 
 def architecture_mermaid(nodes: DataFrame, edges: DataFrame, refs: DataFrame) -> str:
@@ -139,7 +141,7 @@ def architecture_mermaid(nodes: DataFrame, edges: DataFrame, refs: DataFrame) ->
     chosen = nodes.sparkSession.createDataFrame([(r.file_path,) for r in top], "f string")
     shown = deps.join(chosen.withColumnRenamed("f", "src_file"), "src_file", "left_semi").join(chosen.withColumnRenamed("f", "dst_file"), "dst_file", "left_semi").orderBy("src_file", "dst_file").collect()
     deps.unpersist()
-    out = ["graph TD", "  classDef layerClass fill:#f9f,stroke:#333,stroke-width:2px;", "  classDef componentClass fill:#e1f5e1,stroke:#333,stroke-width:1px;", "  classDef statsClass fill:#fff4cc,stroke:#333,stroke-width:1px;"]
+    out = ["graph TD", *(f"  classDef {name}Class fill:{fill},stroke:#445" for name, fill in (("layer", "#dce9fb"), ("component", "#eef7ee"), ("stats", "#fbf3da")))]
     for name in LAYER_ORDER:
         rows = sorted((r for r in top if r.layer == name), key=lambda r: r.place)
         if not rows:
@@ -156,4 +158,4 @@ def architecture_mermaid(nodes: DataFrame, edges: DataFrame, refs: DataFrame) ->
     languages = ", ".join(r.key for r in sorted((r for r in facts if r.metric == "language"), key=lambda r: (-r.value, r.key))) or "-"
     out += ["", '  subgraph Stats["Repository Stats"]']
     out += [f'    {k}["{label}: {v}"]' for k, label, v in (("total_nodes", "Total nodes", total["total_nodes"]), ("total_edges", "Total edges", total["total_edges"]), ("total_files", "Total files", total["total_files"]), ("languages", "Languages", languages))]
-    return "\n".join([*out, "  end", "  class total_nodes,total_edges,total_files,languages statsClass;"])
+    return "\n".join([*out, "  end", "  class " + ",".join((*total, "languages")) + " statsClass;"])

@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.names import substring_like
+from codeloom.schema import Maybe
 
 _RANKS = ("function", "method", "class", "call", "import", "file")
 K1, B = 1.2, 0.75
+_OPERATORS = {"NOT", "OR", "AND"}
 
 
 def kind_rank(kind: Column) -> Column:
@@ -23,13 +25,13 @@ def kind_rank(kind: Column) -> Column:
     return out
 
 
-def filtered(nodes: DataFrame, kind: str | None = None, language: str | None = None) -> DataFrame:
+def filtered(nodes: DataFrame, kind: Maybe = None, language: Maybe = None) -> DataFrame:
     if kind:
         nodes = nodes.where(F.col("kind") == kind)
     return nodes.where(F.col("language") == language) if language else nodes
 
 
-def search_nodes(nodes: DataFrame, text: str, kind: str | None = None, language: str | None = None, limit: int = 50) -> DataFrame:
+def search_nodes(nodes: DataFrame, text: str, kind: Maybe = None, language: Maybe = None, limit: int = 50) -> DataFrame:
     """Nodes whose name holds text: an exact name first, then by kind, name, and place."""
     hits = filtered(nodes, kind, language).where(substring_like(F.col("name"), text))
     return hits.orderBy(F.when(F.col("name") == text, 0).otherwise(1), kind_rank(F.col("kind")), "name", "file_path", F.col("line_start").asc_nulls_first(), "seq", "id").limit(limit)
@@ -83,7 +85,7 @@ class Op:
 def parse_query(text: str) -> Phrase | Op:
     """Without operators, one phrase of all words. With a * or a lone AND, OR or NOT: words and "phrases", a * after one for a prefix;
     NOT binds strongest, then AND, which may be left out, then OR; brackets group."""
-    if "*" not in text and not any(t in ("AND", "OR", "NOT") for t in text.split()):
+    if "*" not in text and not _OPERATORS & {*text.split()}:
         return Phrase(_words(text))
     items = re.findall(r'"(?:[^"]|"")*"|[()*]|[^\s"()*]+', text)
     at = 0
@@ -206,5 +208,5 @@ def full_text(rows: DataFrame, query: str, id_col: str = "id", columns: tuple[st
     return freq.where(hit).crossJoin(F.broadcast(stats)).select(F.col("id").alias(id_col), score.alias("score"))
 
 
-def search_full_text(nodes: DataFrame, query: str, kind: str | None = None, language: str | None = None, limit: int = 50) -> DataFrame:
+def search_full_text(nodes: DataFrame, query: str, kind: Maybe = None, language: Maybe = None, limit: int = 50) -> DataFrame:
     return filtered(nodes, kind, language).join(full_text(nodes, query), "id").orderBy("score", "id").limit(limit)

@@ -96,7 +96,7 @@ fi as (select distinct imp.file_path as src_file, f.file_path as dst_file from i
     + r""" = imp.tail where imp.file_path <> f.file_path)
 """
 )
-_RANK = "case kind when 'function' then 0 when 'method' then 1 when 'class' then 2 when 'call' then 3 when 'import' then 4 when 'file' then 5 else 6 end"
+_RANK = "coalesce(list_position(string_split('function/method/class/call/import/file', '/'), kind), 7)"
 _ORDER = "file_path, line_start nulls first, seq, id"
 _LAYER = "case when contains(p, '/cli.py') or contains(p, '/__main__.py') or contains(p, '/mcp/server.py') then 'entrypoints' when contains(p, '/queries/') then 'queries' when contains(p, '/parser/') then 'parsers' when contains(p, '/graph/') then 'graph' when contains(p, '/indexer.py') then 'indexer' when contains(p, '/static/') then 'static' else 'other' end"
 
@@ -192,7 +192,7 @@ def file_import_graph(g: Graph) -> DataFrame:
 # Analysis
 
 
-@query("select id, name, kind, file_path, line_start from d_ where name not in ('main', '__main__', 'run', 'serve', 'app', 'create_app', 'setup', 'teardown', 'handle', 'cli') and id not in (select node_id from refs)")
+@query("select id, name, kind, file_path, line_start from d_ where not list_contains(string_split('__main__/app/cli/create_app/handle/main/run/serve/setup/teardown', '/'), name) and id not in (select node_id from refs)")
 def dead_code(g: Graph) -> DataFrame:
     return analysis.dead_code(g.nodes, g.refs, limit=None)
 

@@ -10,6 +10,9 @@ DEFINITION_KINDS = ("function", "method", "class")
 EDGE_KINDS = ("contains", "calls", "imports", "inherits")
 REFERENCE_KINDS = ("calls", "imports", "inherits")
 
+#: A filter that may be left out.
+Maybe = str | None
+
 _S, _I, _L = T.StringType(), T.IntegerType(), T.LongType()
 
 #: seq is the order in which nodes and edges came in; metadata is JSON; external marks stubs of types defined elsewhere.

@@ -5,8 +5,8 @@ from __future__ import annotations
 import os
 import re
 
-IGNORED_DIRS = {".git", "__pycache__", "node_modules", ".venv", "venv", ".tox", ".eggs", "dist", "build", ".egg-info", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".codeloom"}
-IGNORED_SUFFIXES = {".pyc", ".pyo", ".so", ".dll", ".dylib", ".egg-info"}
+IGNORED_DIRS = set("__pycache__ .codeloom .egg-info .eggs .git .mypy_cache .pytest_cache .ruff_cache .tox .venv build dist node_modules venv".split())
+IGNORED_SUFFIXES = set(".dll .dylib .egg-info .pyc .pyo .so".split())
 IGNORE_FILES = (".gitignore", ".codeloomignore")
 
 

@@ -12,7 +12,7 @@ SNIPPET = 500
 
 
 def node_id(file_path: str, name: str, line: int, column: int) -> str:
-    return hashlib.sha256(f"{file_path}:{name}:{line}:{column}".encode("utf-8", "replace")).hexdigest()[:16]
+    return hashlib.sha256(":".join((file_path, name, str(line), str(column))).encode("utf-8", "replace")).hexdigest()[:16]
 
 
 class Graph:

@@ -17,7 +17,7 @@ def _docstring(node: ast.AST, source_bytes: bytes, starts: list[int]) -> str | N
         return None
     v = first.value
     raw = source_bytes[starts[v.lineno - 1] + v.col_offset : starts[v.end_lineno - 1] + v.end_col_offset].decode("utf-8", "replace")
-    for q in ('"""', "'''", '"', "'"):
+    for q in ('"' * 3, "'" * 3, '"', "'"):
         if raw.startswith(q) and raw.endswith(q):
             raw = raw[len(q) : -len(q)]
             break

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from codeloom.sources.parsers.base import Graph, Lexer, Walker
 
-EXTENSIONS = {".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"}
+EXTENSIONS = set(".cjs .js .jsx .mjs .ts .tsx".split())
 LANGUAGE = "typescript"
 _NOT_CALLS = {"if", "for", "while", "switch", "catch", "return", "typeof", "function", "await", "new", "delete", "void", "in", "of", "throw", "import", "super", "with", "do", "else", "case", "yield", "instanceof"}
 _MODIFIERS = {"public", "private", "protected", "static", "readonly", "abstract", "override", "async", "get", "set", "declare", "accessor"}

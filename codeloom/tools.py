@@ -9,6 +9,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 from typing import IO
 
 from codeloom.api import FIELDS, CodeGraph, clamp
+from codeloom.schema import Maybe
 
 LOCAL = "127.0.0.1"
 
@@ -20,14 +21,14 @@ def _rows(df) -> list[dict]:
 def registry(g: CodeGraph) -> dict[str, tuple[Callable[..., object], str]]:
     """name -> (function, what it does). Results are plain values; limits lie between 1 and 500."""
 
-    def search_symbols(query: str, kind: str | None = None, language: str | None = None, limit: int = 50, full_text: bool = False):
+    def search_symbols(query: str, limit: int = 50, kind: Maybe = None, full_text: bool = False, language: Maybe = None):
         return _rows(g.search(query, kind, language, clamp(limit), full_text).select(*FIELDS))
 
     def get_symbol_context(node_id: str, depth: int = 1):
         return {k: _rows(v) for k, v in g.context(node_id, depth).items()}
 
-    def trace_call_path(symbol_name: str, direction: str = "both", max_depth: int = 5):
-        return g.trace(symbol_name, direction, max_depth)
+    def trace_call_path(symbol_name: str, max_depth: int = 5, direction: str = "both"):
+        return g.trace(symbol_name, max_depth, direction)
 
     def analyze_impact(symbol_name: str, max_depth: int = 3):
         return g.impact(symbol_name, max_depth)

@@ -212,7 +212,8 @@ def test_import_cycles(spark):
     f = spine.file_imports(n)
     assert {(x.src_file, x.dst_file) for x in f.collect()} == {("a.py", "b.py"), ("b.py", "c.py"), ("c.py", "a.py"), ("d.py", "a.py")}
     rows = cycles.import_cycles(f).collect()
-    assert [(x["size"], x.files, x.cycle) for x in rows] == [(3, ["a.py", "b.py", "c.py"], ["a.py", "b.py", "c.py", "a.py"])]
+    ring = "a.py b.py c.py".split()
+    assert [(x["size"], x.files, x.cycle) for x in rows] == [(3, ring, [*ring, "a.py"])]
     chain = [str(k) for k in range(3000)]
     assert cycles.witness(chain, {a: [b] for a, b in zip(chain, [*chain[1:], chain[0]])})[0] == "0"
 

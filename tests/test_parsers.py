@@ -86,12 +86,12 @@ def test_rust():
 pub struct Dog { name: String }
 trait Speak { fn hi(&self) -> i32 { go(1) } fn no(&self); }
 impl Speak for Dog { fn hi<'a>(&'a self) -> i32 { self.x(); T::new(2); println!("{}", bad(1)); helper('a', r#"x("# ) } }
-impl std::fmt::Display for Dog { fn fmt(&self) {} }
+impl std::fmt::Debug for Dog { fn show(&self) {} }
 mod inner { pub(crate) async fn f() { v.collect::<Vec<_>>() } }
 """)
     names = [n[0] for n in nodes]
-    assert {"std::fs", "std::fs::File", "std::io::*", "std::fmt::Display"} <= set(names) and "bad" not in names and "no" not in names
-    assert {("Dog", "inherits", "Speak"), ("Dog", "inherits", "std::fmt::Display"), ("Dog", "contains", "hi"), ("Speak", "contains", "hi"), ("hi", "calls", "new"), ("hi", "calls", "helper"), ("f", "calls", "collect")} <= edges
+    assert {"std::fs", "std::fs::File", "std::io::*", "std::fmt::Debug"} <= set(names) and "bad" not in names and "no" not in names
+    assert {("Dog", "inherits", "Speak"), ("Dog", "inherits", "std::fmt::Debug"), ("Dog", "contains", "hi"), ("Speak", "contains", "hi"), ("hi", "calls", "new"), ("hi", "calls", "helper"), ("f", "calls", "collect")} <= edges
     assert ("f", "function", 6) in nodes
 
 

@@ -60,9 +60,10 @@ def test_answers(built):
     assert {r.name for r in g.dead_code().collect()} == {"unused"}
     assert [(r.name, r.references) for r in g.hotspots(min_references=2).collect()] == [("add", 2), ("greet", 2)]
     t = g.trace("greet")
-    assert [x["node"]["name"] for x in t["incoming"]] == ["main"] and [x["node"]["name"] for x in t["outgoing"]] == ["add"]
-    assert t["outgoing"][0]["callees"][0]["node"]["name"] == "add" and "cycle" not in t["outgoing"][0]["callees"][0]
-    assert t["outgoing"][0]["callees"][0]["callees"][0]["cycle"]
+    called = lambda xs: [x["node"]["name"] for x in xs]
+    assert called(t["incoming"]) == ["main"] and called(t["outgoing"]) == ["add"]
+    again = t["outgoing"][0]["callees"][0]
+    assert again["node"]["name"] == "add" and "cycle" not in again and again["callees"][0]["cycle"]
     assert {x["node"]["name"] for x in g.impact("greet")["dependents"]} == {"main", "main.py"}
     assert [n["name"] for n in g.why("main", "add")["path"]] == ["main", "greet", "add"]
     assert g.why("add", "main")["direction"] == "backward" and not g.why("unused", "main")["found"] and "nobody" in g.why("nobody", "main")["reason"]
@@ -71,7 +72,7 @@ def test_answers(built):
     m = g.metrics("greet").first()
     assert (m.fan_in, m.fan_out, m["loc"]) == (2, 1, 3)
     assert g.stats()["total_files"] == 3 and clamp(0) == 1 and clamp(9999) == 500
-    assert g.trace("nothing") == {"symbol": None, "incoming": [], "outgoing": []} and g.impact("nothing")["symbol"] is None
+    assert g.trace("nothing") == dict(symbol=None, outgoing=[], incoming=[]) and g.impact("nothing")["symbol"] is None
     assert "digraph" in g.export("dot") and "graph TD" in g.architecture()
 
 
@@ -132,7 +133,8 @@ def test_walk_and_text(spark, tmp_path):
 
 
 def test_diff_against_git(spark, tmp_path):
-    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=x", "-c", "user.email=x@y", *a], check=True, capture_output=True)
+    here = ["git", "-C", str(tmp_path)]
+    git = lambda *a: subprocess.run([*here, "-c", "user.name=x", "-c", "user.email=x@y", *a], check=True, capture_output=True)
     git("init", "-q")
     put(str(tmp_path), {"lib.py": "def helper(): pass\ndef old(): pass\n", "gone.py": "def g(): pass\n", "same.py": "def s(): return 1\n", "t.txt": "x"})
     git("add", ".")
