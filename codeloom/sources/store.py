@@ -7,7 +7,7 @@ import os
 import shutil
 import time
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators import diff, spine
@@ -147,7 +147,7 @@ def index(store: Store, root: str, force: bool = False, dry_run: bool = False) -
         by = {k: sorted(v) for k, v in by.items()}
         if dry_run or not (by["created"] or by["modified"] or by["removed"]):
             return by
-        todo = spark.createDataFrame([(p,) for p in by["created"] + by["modified"]], "file_path string")
+        todo = spark.createDataFrame([(p, k) for k, p in enumerate(sorted(by["created"] + by["modified"]))], "file_path string, nth long")
         rows = parsing.parsed(disk.join(todo, "file_path", "left_semi")).cache()
         failed = rows.where("error is not null").select("file_path", "error")
         by["failed"] = sorted(r.file_path for r in failed.collect())
@@ -156,8 +156,7 @@ def index(store: Store, root: str, force: bool = False, dry_run: bool = False) -
         nodes, edges = diff.delete_files(store.nodes, store.edges, gone)
         base = (store.nodes.agg(F.max("seq")).first()[0] or 0) + 1
         # seq: files in order of path, symbols in order of their place in it.
-        place = F.dense_rank().over(Window.orderBy("file_path")).cast("long") * 10_000_000 + base
-        fresh = good.select("file_path", place.alias("base"), "nodes", "edges")
+        fresh = good.join(todo, "file_path").select("file_path", (F.col("nth") * 10_000_000 + base).alias("base"), "nodes", "edges")
         new_nodes = fresh.select("base", F.explode("nodes").alias("n")).select(*(F.col(f"n.{c}") for c in NODES.names[:-1]), (F.col("base") + F.col("n.seq")).alias("seq"))
         new_edges = fresh.select("base", F.explode("edges").alias("e")).select(*(F.col(f"e.{c}") for c in EDGES.names[:-1]), (F.col("base") + F.col("e.seq")).alias("seq"))
         done = disk.join(good.select("file_path"), "file_path", "left_semi").select("file_path", "content_hash", "mtime", F.current_timestamp().alias("indexed_at"))
