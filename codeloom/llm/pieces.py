@@ -89,14 +89,27 @@ class Pieces:
                 a, b = symbol.get(p[:k]), symbol.get(p[k:])
                 if a is not None and b is not None:
                     found[a << 20 | b] = rank << 20 | self.ids[p]
-        self.pairs = np.array(sorted(found), np.int64)
-        self.made = np.array([found[k] for k in self.pairs.tolist()] or [0], np.int64)
+        self.bits = max(4, (8 * len(found)).bit_length())  # an open table, mostly empty
+        self.slots, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        for k, v in found.items():
+            at = (k * int(_K1) & _MASK) >> (64 - self.bits)
+            while self.slots[at] != -1:
+                at = (at + 1) & ((1 << self.bits) - 1)
+            self.slots[at], self.values[at] = k, v
 
     def _look(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank and symbol of what pairs merge to, as one number; _NONE for pairs that don't."""
         key = a << 20 | b
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == key, self.made[at], _NONE) if len(self.pairs) else np.full(len(key), _NONE)
+        with np.errstate(over="ignore"):
+            slot = (key.astype(np.uint64) * _K1 >> np.uint64(64 - self.bits)).astype(np.int64)
+        out, todo = np.full(len(key), _NONE), np.arange(len(key))
+        while len(todo):
+            there = self.slots[slot]
+            hit = there == key[todo]
+            out[todo[hit]] = self.values[slot[hit]]
+            on = ~hit & (there != -1)
+            todo, slot = todo[on], (slot[on] + 1) & (len(self.slots) - 1)
+        return out
 
     def merge_many(self, units: list[str], drop: float, keys: list[int], longest: int = 24) -> list[bytes]:
         """merge() of many units, their ids as bytes. The agendas of all short units of known characters run side by side: in each step
@@ -253,15 +266,22 @@ class Encoder:
                 with np.errstate(over="ignore"):
                     k = mix(np.arange(len(units), dtype=np.uint64) * _K1 + np.uint64((key ^ self.seed * 0xD6E8FEB86659FD93) & _MASK))
                 draws = (k % np.uint64(self.draws)).tolist()
-            tables = [m.new for m in self.memories]
-            got = [tables[d].get(u) for d, u in zip(draws, units)]
-            if None in got:
-                want.update(((d, u), None) for d, u, g in zip(draws, units, got) if g is None)
+            gets = [m.new.get for m in self.memories]
+            got = [gets[d](u) for d, u in zip(draws, units)]
+            gaps, i = [], -1
+            for _ in range(got.count(None)):
+                gaps.append(i := got.index(None, i + 1))
+                want[draws[i], units[i]] = None
             all_units.append(units)
             all_draws.append(draws)
-            found.append(got)
+            found.append((got, gaps))
         made = self._make(list(want)) if want else {}
-        return [np.frombuffer(b"".join(g if None not in g else [x if x is not None else made[d, u] for d, u, x in zip(ds, us, g)]), np.int32) for us, ds, g in zip(all_units, all_draws, found)]
+        out = []
+        for units, draws, (got, gaps) in zip(all_units, all_draws, found):
+            for i in gaps:
+                got[i] = made[draws[i], units[i]]
+            out.append(np.frombuffer(b"".join(got), np.int32))
+        return out
 
     def _make(self, want: list[tuple[int, str]]) -> dict[tuple[int, str], bytes]:
         """The ids of units by draw. Marks after a word are a unit of their own where no piece crosses over to them."""
