@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import heapq
 import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +45,6 @@ class Pieces:
                 self.byte_ids[b], self.bytes[i] = i, bytes([b])
         # Where no piece can reach across a mark, words on either side are merged apart, which lets them be remembered.
         self.breaks_at_newline = not any("\n" in p and len(p) > 1 for p in self.ids)
-        #: Letters that stand side by side in some piece; where others meet, nothing can merge.
-        self.meet = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self._tables()
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("pieces across spaces are not supported")
@@ -59,11 +55,11 @@ class Pieces:
 
     def merge(self, unit: str, drop: float = 0.0, key: int = 0) -> list[int]:
         """The ids of one unit. The agenda yields the best adjacent pair, the leftmost of equals; a pair is skipped for good if the
-        hash of the key, the unit and the places where its parts begin and end falls below drop."""
+        hash of the key and the places where its parts begin and end falls below drop. The key should be well mixed (Encoder.keys)."""
         symbols = [SPACE if c == " " else _LITERAL if c == SPACE else c for c in unit] if SPACE in unit else list(unit.replace(" ", SPACE))
         if len(symbols) > 1:
             under = int(drop * (1 << 64))
-            base = xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), key) | 1 if under else 0
+            base = key | 1
             symbols = self._short(symbols, under, base) if len(symbols) <= 48 else self._long(symbols, under, base)
         out, get = [], self.ids.get
         for s in symbols:
@@ -111,35 +107,29 @@ class Pieces:
             todo, slot = todo[on], (slot[on] + 1) & (len(self.slots) - 1)
         return out
 
-    def merge_many(self, units: list[str], drop: float, keys: list[int], longest: int = 24) -> list[bytes]:
-        """merge() of many units, their ids as bytes. The agendas of all short units of known characters run side by side: in each step
-        every one of them takes its best pair."""
-        out: list[bytes | None] = [None] * len(units)
+    def known(self, units: list[str]) -> np.ndarray:
+        """Which units have a piece for each character."""
+        codes = np.frombuffer("".join(units).replace(SPACE, _LITERAL).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32)
+        bad = np.zeros(len(units), bool)
+        lengths = np.array([len(u) + u.count(SPACE) for u in units], np.int64)
+        bad[np.searchsorted(np.cumsum(lengths), np.flatnonzero(self.char[codes] < 0), "right")] = True
+        return ~bad & (lengths == [len(u) for u in units])
+
+    def replay(self, units: list[str], skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The agendas of many short units of known characters, side by side: in each step every one of them takes its best pair, or
+        skips it if skips has the bit of that step. Numbers of the pairs offered after the last skip, their places as factors of the
+        hash, numbers of ids, ids."""
         flat = "".join(units)
         codes = self.char[np.frombuffer(flat.replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        lengths = np.array([len(u) for u in units], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        bad = np.zeros(len(units), bool)
-        unknown = np.flatnonzero(codes < 0)
-        bad[np.searchsorted(starts, unknown, "right") - 1] = True
-        bad |= lengths > longest
-        if SPACE in flat:
-            bad |= np.array([SPACE in u for u in units])
-        for i in np.flatnonzero(bad).tolist():
-            out[i] = array("i", self.merge(units[i], drop, keys[i])).tobytes()
-        rows = np.flatnonzero(~bad)
-        if not len(rows):
-            return out
-        n, w = lengths[rows], int(lengths[rows].max())
+        n = np.array([len(u) for u in units], np.int64)
+        starts, w = np.cumsum(n) - n, int(n.max())
         col = np.arange(w + 1)
-        s = np.where(col < n[:, None], codes[np.minimum(starts[rows][:, None] + col, len(codes) - 1)], -1)
+        s = np.where(col < n[:, None], codes[np.minimum(starts[:, None] + col, len(codes) - 1)], -1)
         following, before = np.broadcast_to(col + 1, s.shape).copy(), np.broadcast_to(col - 1, s.shape).copy()
-        rank = np.full((len(rows), w), _NONE, np.int64)
+        rank = np.full((len(units), w), _NONE, np.int64)
         r, c = np.nonzero(col[:w] + 1 < n[:, None])
         rank[r, c] = self._look(s[r, c], s[r, c + 1])
-        under = int(drop * (1 << 64))
-        base = np.array([xxhash.xxh64_intdigest(units[i].encode("utf-8", "surrogatepass"), keys[i]) | 1 for i in rows.tolist()], np.uint64) if under else None
-        live = np.arange(len(rows))
+        live, step, rows, factors = np.arange(len(units)), 0, [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         while len(live):
             i = rank[live].argmin(1)
             best = rank[live, i]
@@ -148,14 +138,15 @@ class Pieces:
             if not len(live):
                 break
             j = following[live, i]
-            if under:
-                with np.errstate(over="ignore"):
-                    x = base[live] * (i.astype(np.uint64) * _K1 + j.astype(np.uint64) * _K2 + following[live, j].astype(np.uint64) * _K3)
-                    skip = (x ^ (x >> np.uint64(29))) * _K4 < np.uint64(min(under, _MASK))
-                rank[live[skip], i[skip]] = _NONE
-                m, i, j, best = live[~skip], i[~skip], j[~skip], best[~skip]
-            else:
-                m = live
+            rest = skips[live] >> step
+            step += 1
+            last = rest == 0
+            with np.errstate(over="ignore"):
+                factors.append(i[last].astype(np.uint64) * _K1 + j[last].astype(np.uint64) * _K2 + following[live[last], j[last]].astype(np.uint64) * _K3)
+            rows.append(live[last])
+            skip = rest & 1 == 1
+            rank[live[skip], i[skip]] = _NONE
+            m, i, j, best = live[~skip], i[~skip], j[~skip], best[~skip]
             k = following[m, j]
             s[m, i], s[m, j] = best & 0xFFFFF, -1
             following[m, i], before[m, k] = k, i
@@ -166,12 +157,8 @@ class Pieces:
             left = i > 0
             p = before[m[left], i[left]]
             rank[m[left], p] = self._look(s[m[left], p], s[m[left], i[left]])
-        kept = s >= 0
-        raw, ends = s[kept].astype(np.int32).tobytes(), (np.cumsum(kept.sum(1)) * 4).tolist()
-        b = 0
-        for i, e in zip(rows.tolist(), ends):
-            out[i], b = raw[b:e], e
-        return out
+        kept, row = s >= 0, np.concatenate(rows)
+        return np.bincount(row, minlength=len(units)), np.concatenate(factors)[np.argsort(row, kind="stable")], kept.sum(1), s[kept].astype(np.int32)
 
     def _short(self, s: list[str], under: int, base: int) -> list[str]:
         """The agenda as a list of the ranks of adjacent pairs."""
@@ -222,98 +209,148 @@ class Pieces:
         return text[1:] if text[:1] == " " else text
 
 
-_ENDS = ".,;:!?\"')#$%&*"
 _UNITS, _UNITS_AND_LINES = re.compile(r" +[^ ]*|[^ ]+"), re.compile(r" +[^ \n]*|\n|[^ \n]+")
+_LONGEST = 20  # a unit of so many characters is offered at most 3 * 19 pairs, so the steps skipped fit a number
+
+
+class Column:
+    """An array that grows."""
+
+    def __init__(self, kind):
+        self.a, self.n = np.zeros(1024, kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.a):
+            self.a = np.concatenate([self.a[: self.n], np.zeros(self.n + 2 * len(x), self.a.dtype)])
+        self.a[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+
+def _runs(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Each start and the n - 1 numbers after it."""
+    return np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
+
+
+class Ways:
+    """The ways to cut units. A way is a unit and the steps of its agenda skipped so far; it has the pairs offered from there on, each
+    with the way that skipping it leads to (-1: not made yet), and the ids that come out if none of them is skipped. What occurrences
+    share is only what follows from the merges that they skip, so remembering changes no result."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.clear()
+
+    def clear(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.units: list[str] = []
+        self.skips, self.at, self.n, self.ids_at, self.n_ids = (Column(np.int64) for _ in range(5))
+        self.factors, self.to, self.ids = Column(np.uint64), Column(np.int32), Column(np.int32)
+
+    def _add(self, units: list[str], skips: np.ndarray, n: np.ndarray, factors: np.ndarray, n_ids: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        first = len(self.units)
+        self.units += units
+        self.skips.add(skips)
+        self.at.add(self.factors.n + np.cumsum(n) - n)
+        self.n.add(n)
+        self.ids_at.add(self.ids.n + np.cumsum(n_ids) - n_ids)
+        self.n_ids.add(n_ids)
+        self.factors.add(factors)
+        self.to.add(np.full(len(factors), -1, np.int32))
+        self.ids.add(ids)
+        return np.arange(first, first + len(units))
+
+    def make(self, units: list[str], skips: np.ndarray, at_once: int = 3000) -> np.ndarray:
+        out, order = np.zeros(len(units), np.int64), np.argsort([len(u) for u in units], kind="stable")
+        for some in np.split(order, range(at_once, len(order), at_once)):
+            part = [units[i] for i in some.tolist()]
+            out[some] = self._add(part, skips[some], *self.pieces.replay(part, skips[some]))
+        return out
 
-
-class Memory:
-    """unit -> its ids as bytes, for one key. When full it goes on with an empty table, and takes over what is used again of the last."""
-
-    def __init__(self, key: int, most: int):
-        self.key, self.most, self.new, self.last = key, most, {}, {}
-
-    def get(self, unit: str) -> bytes | None:
-        if (ids := self.new.get(unit)) is None and (ids := self.last.get(unit)) is not None:
-            self.put(unit, ids)
-        return ids
-
-    def put(self, unit: str, ids: bytes) -> None:
-        if len(unit) < 64:
-            if len(self.new) >= self.most:
-                self.new, self.last = {}, self.new
-            self.new[unit] = ids
+    def start(self, units: list[str]) -> np.ndarray:
+        """The ways that skip nothing; -1 for units that are long or hold characters without a piece."""
+        if None in (got := list(map(self.roots.get, units))):
+            new = list({u: None for u, g in zip(units, got) if g is None})
+            short = [u for u in new if len(u) <= _LONGEST]
+            known = self.pieces.known(short)
+            short = [u for u, k in zip(short, known.tolist()) if k]
+            self.roots.update((u, -1) for u in new if len(u) < 64)
+            if short:
+                self.roots.update(zip(short, self.make(short, np.zeros(len(short), np.int64)).tolist()))
+            got = [self.roots.get(u, -1) if g is None else g for u, g in zip(units, got)]
+        return np.array(got, np.int64)
+
+    def follow(self, way: np.ndarray, keys: np.ndarray, drop: float) -> None:
+        """Moves each occurrence, in place, to the way that its key leads to."""
+        under, todo = np.uint64(min(int(drop * (1 << 64)), _MASK)), np.flatnonzero(way >= 0)
+        base = keys | np.uint64(1)
+        while len(todo):
+            w = way[todo]
+            n = self.n.a[w]
+            at = _runs(self.at.a[w], n)
+            with np.errstate(over="ignore"):
+                x = np.repeat(base[todo], n) * self.factors.a[at]
+                hit = np.flatnonzero((x ^ (x >> np.uint64(29))) * _K4 < under)
+            owner = np.searchsorted(np.cumsum(n), hit, "right")
+            first = np.diff(owner, prepend=-1) > 0
+            owner, pair = owner[first], at[hit[first]]
+            todo, w = todo[owner], w[owner]
+            new, some = np.unique(pair[self.to.a[pair] < 0], return_index=True)
+            if len(new):
+                w = w[self.to.a[pair] < 0][some]
+                skips = self.skips.a[w]
+                step = np.array([x.bit_length() for x in skips.tolist()]) + new - self.at.a[w]
+                self.to.a[new] = self.make([self.units[i] for i in w.tolist()], skips | np.int64(1) << step)
+            way[todo] = self.to.a[pair]
+
+    def join(self, way: np.ndarray, others: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids, and ids, of all occurrences; others: those of the ways -1."""
+        n, kept = np.zeros(len(way), np.int64), way >= 0
+        n[kept], n[~kept] = self.n_ids.a[way[kept]], [len(x) for x in others]
+        out, apart = np.zeros(n.sum(), np.int32), np.repeat(~kept, n)
+        out[~apart] = self.ids.a[_runs(self.ids_at.a[way[kept]], n[kept])]
+        out[apart] = [i for x in others for i in x]
+        return n, out
 
 
 class Encoder:
-    """Encodes texts. Each unit of a text draws one of `draws` keys by a hash of the seed, the document and its place, so the same word
-    is cut in up to that many ways over a corpus, and the same way in every run."""
+    """Encodes texts. Each unit of a text has a key of its own, a hash of the seed, the document and its place, so each occurrence of a
+    word has its own skips, the same in every run. Ways are forgotten once there are more than `most`, which changes no result."""
 
-    def __init__(self, pieces: Pieces, drop: float = 0.1, seed: int = 1, draws: int = 4, most: int = 800_000):
-        self.pieces, self.drop, self.seed, self.draws = pieces, drop, seed, draws if drop else 1
-        self.memories = [Memory(xxhash.xxh64_intdigest(b"%d" % d, seed & _MASK), most // self.draws) for d in range(self.draws)]
+    def __init__(self, pieces: Pieces, drop: float = 0.1, seed: int = 1, most: int = 800_000):
+        self.pieces, self.drop, self.seed, self.most, self.ways = pieces, drop, seed, most, Ways(pieces)
+
+    def keys(self, n: int, doc_key: int) -> np.ndarray:
+        """The keys of the first n units of a document."""
+        with np.errstate(over="ignore"):
+            return mix(np.arange(n, dtype=np.uint64) * _K1 + np.uint64((doc_key ^ self.seed * 0xD6E8FEB86659FD93) & _MASK))
 
     def encode(self, text: str | None, doc_key: int = 0) -> np.ndarray:
         return self.encode_many([text], [doc_key])[0]
 
     def encode_many(self, texts: list[str | None], doc_keys: list[int]) -> list[np.ndarray]:
-        """The ids of each text; units that no memory holds are merged together."""
-        all_units, all_draws, found, want = [], [], [], {}
-        for text, key in zip(texts, doc_keys):
-            units = self.pieces.units(text) if text else []
-            if self.draws == 1:
-                draws = [0] * len(units)
-            else:
-                with np.errstate(over="ignore"):
-                    k = mix(np.arange(len(units), dtype=np.uint64) * _K1 + np.uint64((key ^ self.seed * 0xD6E8FEB86659FD93) & _MASK))
-                draws = (k % np.uint64(self.draws)).tolist()
-            gets = [m.new.get for m in self.memories]
-            got = [gets[d](u) for d, u in zip(draws, units)]
-            gaps, i = [], -1
-            for _ in range(got.count(None)):
-                gaps.append(i := got.index(None, i + 1))
-                want[draws[i], units[i]] = None
-            all_units.append(units)
-            all_draws.append(draws)
-            found.append((got, gaps))
-        made = self._make(list(want)) if want else {}
-        out = []
-        for units, draws, (got, gaps) in zip(all_units, all_draws, found):
-            for i in gaps:
-                got[i] = made[draws[i], units[i]]
-            out.append(np.frombuffer(b"".join(got), np.int32))
-        return out
-
-    def _make(self, want: list[tuple[int, str]]) -> dict[tuple[int, str], bytes]:
-        """The ids of units by draw. Marks after a word are a unit of their own where no piece crosses over to them."""
-        made, parts, todo, meet = {}, [], {}, self.pieces.meet
-        for d, u in want:
-            if (ids := self.memories[d].get(u)) is not None:
-                made[d, u] = ids
-                continue
-            word = u.rstrip(_ENDS)
-            if word and len(word) < len(u) and u[len(word) - 1 : len(word) + 1] not in meet and word[-1] != " ":
-                parts.append((d, u, word, u[len(word) :]))
-                for x in (word, u[len(word) :]):
-                    if (ids := self.memories[d].get(x)) is None:
-                        todo[d, x] = None
-                    else:
-                        made[d, x] = ids
-            else:
-                todo[d, u] = None
-        new = list(todo)
-        for (d, u), ids in zip(new, self.pieces.merge_many([u for _, u in new], self.drop, [self.memories[d].key for d, _ in new]) if new else ()):
-            made[d, u] = ids
-            self.memories[d].put(u, ids)
-        for d, u, word, marks in parts:
-            made[d, u] = ids = made[d, word] + made[d, marks]
-            self.memories[d].put(u, ids)
-        return made
+        """The ids of each text."""
+        if len(self.ways.units) > self.most or len(self.ways.roots) > self.most:
+            self.ways.clear()
+        units, lengths = [], []
+        for text in texts:
+            lengths.append(len(u := self.pieces.units(text) if text else []))
+            units += u
+        if not units:
+            return [np.zeros(0, np.int32) for _ in texts]
+        keys = np.concatenate([self.keys(n, k) for n, k in zip(lengths, doc_keys)])
+        way = self.ways.start(units)
+        if self.drop:
+            self.ways.follow(way, keys, self.drop)
+        others = [self.pieces.merge(units[i], self.drop, int(keys[i])) for i in np.flatnonzero(way < 0).tolist()]
+        n, ids = self.ways.join(way, others)
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *lengths])]
+        return [ids[b:e] for b, e in zip(ends[:-1], ends[1:])]
 
 
 _here: dict[int, Encoder] = {}
 
 
-def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", drop: float = 0.1, seed: int = 1, draws: int = 4) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", drop: float = 0.1, seed: int = 1) -> DataFrame:
     """Rows (doc_id, ids, n_ids, lossless) for every row of docs; lossless says that the ids decode to the very text.
 
     Spaces are kept, one more goes before the text, characters without a piece become bytes, and a U+2581 of the text becomes bytes too
@@ -321,19 +358,19 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     its id, so repeated rows are cut alike; a null id is a key of its own. Other columns are not used. drop=0 is plain encoding.
     """
     held = docs.sparkSession.sparkContext.broadcast(Pieces(model_file))
-    number = hash((model_file, drop, seed, draws))
+    number = hash((model_file, drop, seed))
 
     @F.arrow_udf("struct<ids:array<int>,lossless:boolean>")
     def run(text: pa.Array, key: pa.Array) -> pa.Array:
         if number not in _here:
             _here.clear()
-            _here[number] = Encoder(held.value, drop, seed, draws)
+            _here[number] = Encoder(held.value, drop, seed)
         e = _here[number]
         flat, exact, texts, keys = [], [], text.to_pylist(), key.to_pylist()
         b = chars = 0
         for i, t in enumerate(texts):
             chars += len(t or "")
-            if chars >= 4_000_000 or i + 1 == len(texts):
+            if chars >= 1_000_000 or i + 1 == len(texts):
                 flat += e.encode_many(texts[b : i + 1], keys[b : i + 1])
                 b, chars = i + 1, 0
         for t, ids in zip(texts, flat):

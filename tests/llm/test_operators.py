@@ -202,6 +202,23 @@ def test_skipped_merges_are_those_of_the_hash():
     assert p.merge(" the", 0.0, 3) == [p.ids["▁the"]]
 
 
+def test_each_occurrence_has_its_own_skips():
+    p = pieces.Pieces(MODEL)
+    e = pieces.Encoder(p, 0.1)
+    got = e.encode_many([" ".join(["token"] * 4000)] * 2, [7, 8])
+    for ids, doc_key in zip(got, (7, 8)):
+        cuts = [p.merge(" token", 0.1, k) for k in e.keys(4000, doc_key).tolist()]
+        assert ids.tolist() == [i for x in cuts for i in x]
+        assert len({tuple(x) for x in cuts}) > 10
+    pair = next(x for x in p.ids if len(x) == 2 and x.isalpha())
+    whole = sum(p.merge(pair, 0.1, k) == [p.ids[pair]] for k in e.keys(20_000, 3).tolist())
+    assert 0.89 < whole / 20_000 < 0.91
+    texts = [prose(300, i) + " " + "x" * 70 + " é中😀 ▁,\n" for i in range(6)]
+    small = pieces.Encoder(p, 0.3, most=50)
+    for k, (t, ids) in enumerate(zip(texts, pieces.Encoder(p, 0.3).encode_many(texts, [0, 1, 2, 3, 4, 5]))):
+        assert ids.tolist() == small.encode(t, k).tolist() == [i for u, x in zip(p.units(t), small.keys(len(p.units(t)), k).tolist()) for i in p.merge(u, 0.3, x)]
+
+
 def test_pieces_odd(spark):
     got = pieces.encode(odd(spark), MODEL)
     assert [x.lossless for x in got.collect() if x.ids is not None] == [True] * 7 and got.where("ids is null and n_ids is null").count() == 2
