@@ -42,13 +42,16 @@ def _in(hot: np.ndarray):
     return found
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 50, max_share: float = 1.0, broadcast_entries: int = BROADCAST_ENTRIES) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 50, max_share: float = 1.0, broadcast_entries: int = BROADCAST_ENTRIES, copies_count: bool = True) -> DataFrame:
     """docs with text_col rewritten, and n_lines and n_dropped added.
 
     Lines are split at line feeds, normalised and hashed. A line that more than max_docs distinct documents hold is dropped
     everywhere; the others stay, in their order and unaltered. A document in which such lines hold more than max_share of the
     characters is left whole: it is a copy of another document, a matter for near-duplicate removal (1.0: no such exception).
 
+    Without copies_count, documents of the same set of normalised lines count as one document, whatever their ids: a line counts as
+    common only if that many differing documents hold it, so a text that is merely copied often keeps its lines.
+
     Null text stays null with 0 lines; empty text has one blank line. Blank lines are neither counted nor dropped. A line that
     repeats within a document counts once; rows with one id are one document, and so are all rows with a null id. A document
     that loses all its lines keeps its row with an empty text. Columns of docs named n_lines or n_dropped are replaced.
@@ -56,7 +59,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Only hashes are shuffled. The hashes over the threshold go to executors as a sorted array if there are at most
     broadcast_entries of them, else through a join by row.
     """
-    seen = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("\0null")).alias("d"), F.explode(F.array_distinct(_hashes(F.col(text_col)))).alias("h")).where("h is not null")
+    lines = F.array_distinct(_hashes(F.col(text_col)))
+    doc = F.coalesce(F.col(id_col).cast("string"), F.lit("\0null")) if copies_count else F.xxhash64(F.array_sort(lines))
+    seen = docs.select(doc.alias("d"), F.explode(lines).alias("h")).where("h is not null")
     hot = seen.groupBy("h").agg(F.count_distinct("d").alias("n")).where(F.col("n") > max_docs).select("h")
     found = [r.h for r in hot.limit(broadcast_entries + 1).toLocalIterator()]
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]

@@ -19,8 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of over 50 documents go; documents that are mostly such lines are copies, which the next stage sees to, and stay whole."""
-    out = line_dedup.line_dedup(docs, max_share=0.5)
+    """Lines of over 50 documents go everywhere; copies count as one document, so what is only copied stays for the next stage."""
+    out = line_dedup.line_dedup(docs, copies_count=False)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

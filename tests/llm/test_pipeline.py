@@ -83,6 +83,14 @@ def test_shares(spark):
     assert got[0] == "own 0" and got[9] == "x y"
 
 
+def test_common_lines_go_even_where_they_are_most_of_a_document(spark):
+    common = "\n".join(f"common line number {k} of them" for k in range(4))
+    texts = {i: f"{common}\nown {i}" for i in range(60)} | {100 + i: f"copied text\nof its own {common[:9]}" for i in range(60)} | {200: common}
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], DOCS)
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_common_lines(spark, df, "").collect()}
+    assert got == {i: f"own {i}" if i < 60 else "" if i == 200 else t for i, t in texts.items()}
+
+
 def test_without_the_subpackage_the_rest_imports():
     root = Path(__file__).parents[2]
     code = "import sys; sys.modules['codeloom.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'hotspots' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); e.oracle_sql()"
