@@ -22,6 +22,9 @@ _KEYS = {"token", "secret", "password", "passwd", "pwd", "key", "api_key", "apik
 _KEY_IN = re.compile(r"(token|secret|passw|pwd|api.?key|access.?key|auth|credential)", re.I)
 _PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk_live_", "sk_test_", "sk-", "rk_live_", "xoxb-", "xoxp-", "eyJ", "AIza", "-----BEGIN", "-----END")
 _MARKS, _ASSIGN = ".,;:!?#$%&*|\"'=<>()[]{}`~+/_-", ("=", ":", ":=", "=>", "->")
+_QUOTES, _OPEN, _AFTER = "\"'`", "\"'`([{<", ".,;:!?#$%&*\"'`)]}>"
+_ASSIGNED = re.compile(r"""([\w.\-\[\]"'`({<$]+?)(?::=|=>|->|=|:(?!//))(?=[^=])""")
+_NAMES = re.compile(r"token|secret|pass|pwd|key|auth|bearer|cred", re.I)
 _STEPS = np.array([4, 8, 12, 16, 20, 24, 32, 40, 48, 64, 80])
 
 
@@ -30,6 +33,22 @@ def core(word: str) -> str:
     return max(_CORE.findall(word), key=len, default="")
 
 
+def secret_part(word: str) -> tuple[int, int]:
+    """Where in a word that is a secret the secret stands: after the mark of an assignment whose left side names a key, and without
+    quotes, brackets and trailing marks around it. Marks and dots within stay."""
+    b, e = 0, len(word)
+    if (m := _ASSIGNED.match(word)) and _NAMES.search(m[1]):
+        b = m.end()
+    while b < e and word[b] in _OPEN:
+        b += 1
+    if b and word[b - 1] in _QUOTES and (at := word.rfind(word[b - 1], b)) >= 0 and not word[at + 1 :].strip(_AFTER):
+        e = at
+    else:
+        while b < e and word[e - 1] in _AFTER:
+            e -= 1
+    return (b, e) if b < e else (0, len(word))
+
+
 def attributes(word: str) -> tuple[str, ...]:
     """The shape of a word, as the model sees it."""
     plain = word.strip(_MARKS)
@@ -315,7 +334,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_doc
 
 
 def spans(crf: Crf, texts: list[str | None], words_at_once: int = 300_000) -> list[list[tuple[int, int]]]:
-    """Character spans of the secrets of each whole text; null has none. A secret of one word is its key run, without quotes."""
+    """Character spans of the secrets of each whole text; null has none. A secret of one word is what secret_part leaves of it."""
     out: list[list[tuple[int, int]]] = []
     held: list[list[str]] = []
     total = 0
@@ -328,9 +347,8 @@ def spans(crf: Crf, texts: list[str | None], words_at_once: int = 300_000) -> li
                 for b, e in got:
                     s, t = at[b][0], at[e - 1][1]
                     if e - b == 1:
-                        run = core(text[s:t])
-                        s += text[s:t].find(run)
-                        t = s + len(run)
+                        b, e = secret_part(text[s:t])
+                        s, t = s + b, s + e
                     places.append((s, t))
             out.append(places)
         held.clear()

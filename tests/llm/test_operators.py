@@ -293,6 +293,20 @@ def test_secrets_found_on_held_out_windows():
     assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.95
 
 
+def test_spans_hold_the_whole_secret():
+    jwt, password = f"eyJ{'hbGciOiJIUzI1NiIs' + 'abc'}.eyJ{'zdWIiOiIxMjM0NTY3' * 3}.{'SflKxwRJSMeKKF2Q-_' * 2}", "p@ss.w!rd$1x9"
+    words = {jwt: jwt, f'"{jwt}",': jwt, "secret_access_key=abc123def4567": "abc123def4567", f'password="{password}"###': password, f"token:'{password}'": password, f"'{password}';": password,
+             'config["api_key"]="a1.b2"': "a1.b2", "key=Zm9v+/YmFy==": "Zm9v+/YmFy==", "p!ss=w@rd9": "p!ss=w@rd9", "AKIA1234:x9.y": "AKIA1234:x9.y", "====": "===="}
+
+    class Tagger:
+        def decode(self, docs):
+            return [[(1, 2)] for _ in docs]
+
+    for word, want in words.items():
+        text = f"é {word} end"
+        assert [text[b:e] for b, e in secrets.spans(Tagger(), [text])[0]] == [want]
+
+
 def test_viterbi_is_the_best_path():
     crf = secrets.train(secrets.windows([prose(100, 1)], 1, most=200), epochs=2)
     r = random.Random(4)
