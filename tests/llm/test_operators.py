@@ -471,27 +471,36 @@ def test_repeated_passages_odd(spark):
 # top-k
 
 
-@pytest.mark.parametrize("per_block", [8192, 37])
-def test_top_k(spark, per_block):
+@pytest.mark.parametrize("per_block", [None, 37])
+@pytest.mark.parametrize("every", [1, 20])
+def test_top_k(spark, per_block, every):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(c, 0.3, (60, 24)) for c in range(4)]).round(3)
-    x[5] = x[6] = x[7]
+    x[5] = x[6] = x[7] = x[20]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, [1.0, 2.0]), (501, [1.0, 2.5]), (502, None), (503, []), (504, [float("nan")] * 24), (505, [None] * 24)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("block", F.lit(1)).withColumn("v", F.lit(2))
-    got = sorted((r.vec_id, r.rank, r.neighbour, r.distance) for r in topk.top_k(df, k=5, per_block=per_block, others_at_once=2).collect())
-    want = [(500, 1, 501, 0.5), (501, 1, 500, 0.5)]
-    for i in range(len(x)):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", *(F.lit(1).alias(c) for c in ("block", "v", "id", "query", "dims", "code", "grp", "rank")))
+    got = sorted((r.vec_id, r["rank"], r.neighbour, r.distance) for r in topk.top_k(df, None if every == 1 else df.where(f"vec_id % {every} = 0"), k=5, per_block=per_block).collect())
+    want = [(i, 1, 1001 - i, 0.5) for i in (500, 501) if i % every == 0]
+    for i in range(0, len(x), every):
         d = ((x[i] - x) ** 2).sum(1)
         near = sorted((s, j) for j, s in enumerate(d) if j != i)[:5]
         want += [(i, k + 1, j, round(float(np.sqrt(s)), 6)) for k, (s, j) in enumerate(near)]
     assert [g[:3] for g in got] == [w[:3] for w in sorted(want)] and np.allclose([g[3] for g in got], [w[3] for w in sorted(want)], atol=2e-6)
 
 
+def test_every_level_is_tried_on_all_pairs_that_are_left():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(30, 64))[rng.integers(0, 30, 3000)] + 0.3 * rng.normal(size=(3000, 64))
+    q, d, tally = topk.Block(x[:100], list(range(100))), topk.Block(x, list(range(3000))), np.zeros(4, np.int64)
+    topk.nearest(q, d, np.full(100, np.inf), 10, tally=tally)
+    assert tally[0] == 100 * 2999 and tally[1] >= tally[2] >= tally[3] >= 1000 and tally[3] < 0.1 * tally[0]
+
+
 def test_bounds_are_lower_bounds():
     x = np.random.default_rng(2).normal(size=(50, 30))
     true = ((x[:, None] - x[None]) ** 2).sum(2)
     last = np.zeros_like(true)
-    for s in (1, 2, 6, 30):
+    for s in (1, 3, 6, 15, 30):
         y = topk.segment_statistics(x, s)
         bound = ((y[:, None] - y[None]) ** 2).sum(2)
         assert (bound <= true + 1e-9).all() and (bound >= last - 1e-9).all()
@@ -500,6 +509,9 @@ def test_bounds_are_lower_bounds():
 
 def test_top_k_odd(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
-    assert topk.top_k(none).count() == 0
-    few = spark.createDataFrame([(1, [0.0]), (1, [0.0]), (None, [3.0])], "vec_id long, embedding array<float>")
-    assert sorted((r.vec_id or 0, r["rank"], r.neighbour or 0, r.distance) for r in topk.top_k(few).collect()) == [(0, 1, 1, 3.0), (0, 2, 1, 3.0), (1, 1, 1, 0.0), (1, 1, 1, 0.0), (1, 2, 0, 3.0), (1, 2, 0, 3.0)]
+    few = spark.createDataFrame([(1, [0.0]), (1, [0.0]), (None, [3.0]), (2, [0.0])], "vec_id long, embedding array<float>")
+    assert topk.top_k(none).collect() == topk.top_k(few, none).collect() == topk.top_k(none, few).collect() == []
+    got = sorted((r.vec_id or 0, r["rank"], r.neighbour or 0, r.distance) for r in topk.top_k(few).collect())
+    assert got == [(0, 1, 1, 3.0), (0, 2, 1, 3.0), (0, 3, 2, 3.0), (1, 1, 2, 0.0), (1, 1, 2, 0.0), (1, 2, 0, 3.0), (1, 2, 0, 3.0), (2, 1, 1, 0.0), (2, 2, 1, 0.0), (2, 3, 0, 3.0)]
+    names = spark.createDataFrame([("a", [0.0, 1.0]), (None, [0.0, 2.0]), ("b", [1.0] * 3)], "vec_id string, embedding array<double>")
+    assert {(r.vec_id, r.neighbour) for r in topk.top_k(names).collect()} == {("a", None), (None, "a")}
