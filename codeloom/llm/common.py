@@ -1,52 +1,35 @@
-"""What the corpus operators share: reading tables, cutting lineage, and stable word hashes."""
+"""What the corpus operators share: reading tables, names for columns, and stable word hashes."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.sources.tables import drop, run_dir, save  # noqa: F401
+
 #: Driver-held sets (hot hashes, lexicons) are broadcast up to this many entries; beyond it operators join instead.
 BROADCAST_ENTRIES = 2_000_000
-_made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir of the session, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _made:
-        _made.append(tempfile.mkdtemp(prefix="codeloom-"))
-        atexit.register(shutil.rmtree, _made[0], True)
-    return f"file://{_made[0]}"
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet under the shared folder and reads it again: lineage ends there, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/codeloom/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._saved_at = path
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own, unlike any that df has, in capitals or not."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes a table made by save(), once nothing lazy reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def columns(df: DataFrame, *without: str) -> list[Column]:
+    """The columns of df, whatever their names hold, but those named so (in capitals or not)."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in without]
 
 
 class WordHashes(dict):

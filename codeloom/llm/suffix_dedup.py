@@ -11,27 +11,47 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import WordHashes, drop, mix, row_key, save, shared_dir, shingles
+from codeloom.llm.common import WordHashes, drop, mix, row_key, run_dir, save, shingles
 
 GRAM = 8  # words of an anchor
 SLOTS = 1 << 20
+SAMPLED, HOT_KEYS = 128, 10_000
 
 
 class Streams:
-    """Sequential files of one collection, under the shared folder: each is written once from front to end, and read so."""
+    """Sequential files of one collection, under the shared folder. Each is written from front to end, in parts, and read so: the next
+    generation of a file is written while the last one is read, and takes its place."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, chunk: int):
         self.fs, root = fs.FileSystem.from_uri(folder)
-        self.path = f"{root}/{uuid.uuid4().hex}"
+        self.path, self.chunk = f"{root}/{uuid.uuid4().hex}", chunk
         self.fs.create_dir(self.path, recursive=True)
+        self.kinds: dict[str, np.dtype] = {}
+        self.turn: dict[str, int] = {}
 
-    def write(self, name: str, a: np.ndarray) -> None:
-        with self.fs.open_output_stream(f"{self.path}/{name}", compression=None) as out:
-            out.write(memoryview(np.ascontiguousarray(a)).cast("B"))
+    def start(self, name: str, a: np.ndarray) -> None:
+        self.kinds[name] = a.dtype
+        with self.writer(name) as out:
+            self.put(out, a)
+        self.over(name)
 
-    def read(self, name: str, dtype) -> np.ndarray:
-        with self.fs.open_input_stream(f"{self.path}/{name}", compression=None) as f:
-            return np.frombuffer(f.read(), dtype)
+    def writer(self, name: str):
+        return self.fs.open_output_stream(f"{self.path}/{name}.{self.turn.get(name, -1) + 1}", compression=None)
+
+    def put(self, out, a: np.ndarray) -> None:
+        out.write(memoryview(np.ascontiguousarray(a)).cast("B"))
+
+    def over(self, name: str) -> None:
+        """The generation that was written is the one to read from now on."""
+        self.turn[name] = self.turn.get(name, -1) + 1
+        if self.turn[name]:
+            self.fs.delete_file(f"{self.path}/{name}.{self.turn[name] - 1}")
+
+    def parts(self, name: str) -> Iterator[np.ndarray]:
+        kind = self.kinds[name]
+        with self.fs.open_input_stream(f"{self.path}/{name}.{self.turn[name]}", compression=None) as f:
+            while raw := f.read(self.chunk * kind.itemsize):
+                yield np.frombuffer(raw, kind)
 
     def close(self) -> None:
         self.fs.delete_dir(self.path)
@@ -74,72 +94,133 @@ class RangeMin:
         return out
 
 
-def collection_bwt(symbols: np.ndarray, lengths: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes of all documents of a collection in order: (document, length of the suffix, LCP with the suffix before).
+def _windows(least: int):
+    """A hash for each window of `least` words that holds the context of a segment, and where it begins."""
+    side = least - GRAM - (least - GRAM) // 2
+
+    def sums(words: list[bytes], count: np.ndarray, salt: int) -> np.ndarray:
+        """Of each row, the sums over its first 0, 1, .. side words."""
+        w = np.zeros((len(words), side + 1), np.uint64)
+        row = np.repeat(np.arange(len(words)), count)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        w[row, nth + 1] = mix(mix(np.frombuffer(b"".join(words), np.uint32).astype(np.uint64) + np.uint64(1)) + (nth.astype(np.uint64) * np.uint64(2) + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15))
+        return np.cumsum(w, axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lefts = [np.frombuffer(x, np.uint32)[::-1].tobytes() for x in batch["left"].to_pylist()]
+            rights = batch["right"].to_pylist()
+            a, b = (np.array([len(x) // 4 for x in z], np.int64) for z in (lefts, rights))
+            with np.errstate(over="ignore"):
+                left, right = sums(lefts, a, 1), sums(rights, b, 2)
+                key, begin = batch["key"].to_numpy().view(np.uint64), batch["begin"].to_numpy()
+                for l in range(side + 1):
+                    ok = np.flatnonzero((a >= l) & (b >= side - l))
+                    window = mix(mix(key[ok] + np.uint64(l)) + left[ok, l] + right[ok, side - l])
+                    yield pa.RecordBatch.from_arrays([pa.array(window.view(np.int64)), batch["doc"].take(pa.array(ok)), pa.array((begin[ok] + a[ok] - l).astype(np.int32))], ["window", "doc", "start"])
+
+    return run
+
+
+def range_minima(parts: Iterator[np.ndarray], chunk: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Minima of the ranges [first, last] of an array that comes in parts of `chunk` entries, read once."""
+    out, lows = np.full(len(first), np.iinfo(np.int16).max, np.int16), []
+    p, q = first // chunk, last // chunk
+    by_first, by_last = np.argsort(p, kind="stable"), np.argsort(q, kind="stable")
+    for k, a in enumerate(parts):
+        own = by_first[slice(*np.searchsorted(p[by_first], [k, k + 1]))]
+        inside, across = own[q[own] == k], own[q[own] > k]
+        if len(inside):
+            out[inside] = RangeMin(a).of(first[inside] - k * chunk, last[inside] - k * chunk)
+        if len(across):
+            out[across] = np.minimum.accumulate(a[::-1])[::-1][first[across] - k * chunk]
+        ending = by_last[slice(*np.searchsorted(q[by_last], [k, k + 1]))]
+        ending = ending[p[ending] < k]
+        if len(ending):
+            out[ending] = np.minimum(out[ending], np.minimum.accumulate(a)[last[ending] - k * chunk])
+        lows.append(a.min())
+    far = np.flatnonzero(q > p + 1)
+    if len(far):
+        out[far] = np.minimum(out[far], RangeMin(np.array(lows, np.int16)).of(p[far] + 1, q[far] - 1))
+    return out
+
+
+def collection_bwt(symbols: np.ndarray, lengths: np.ndarray, folder: str, chunk: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Suffixes of all documents of a collection in order, in parts: (document, length of the suffix, LCP with the suffix before).
 
     symbols holds the documents back to front, one row each: column j is the j-th symbol from the end, a number from 0 up. The
     column-wise construction inserts the suffixes of length j + 1 of all documents in round j. A new suffix cS goes among those that
     begin with c, before the ones whose rest comes after S; its place follows from the place that S took in the round before. Its common
-    prefix with a neighbour cS' is one more than the least of those between S' and S. The BWT, the common prefixes and the places of
-    rests are read from their files and written anew, in order, in every round. End marks sort before all symbols, by document.
+    prefix with a neighbour cS' is one more than the least of those between S' and S. End marks sort before all symbols, by document.
+
+    The BWT, the common prefixes, the places of rests and the owners of suffixes are files, read from front to end in parts of `chunk`
+    entries and written anew in order in every round. Memory holds some numbers for each document and a part of each file.
     """
     m, longest = symbols.shape
-    files = Streams(folder)
+    files, low = Streams(folder, chunk), np.int64((1 << 32) - 1)
     try:
         for j in range(longest):
-            files.write(f"column{j}", symbols[:, j].astype(np.int32))
-        first_column = files.read("column0", np.int32) if longest else np.zeros(m, np.int32)
-        files.write("bwt", np.where(lengths > 0, first_column, -1).astype(np.int32))  # -1: an end mark comes before
-        files.write("lcp", np.zeros(m, np.int16))
-        files.write("order", np.full(m, -1, np.int64))  # the first symbol of each suffix and the place of its rest
-        at, low = np.arange(m), np.int64((1 << 32) - 1)
+            files.start(f"column{j}", symbols[:, j].astype(np.int32))
+        column = lambda j: np.concatenate([np.zeros(0, np.int32), *files.parts(f"column{j}")])
+        files.start("bwt", np.where(lengths > 0, column(0) if longest else 0, -1).astype(np.int32))  # -1: an end mark comes before
+        files.start("lcp", np.zeros(m, np.int16))
+        files.start("order", np.full(m, -1, np.int64))  # the first symbol of each suffix and the place of its rest
+        files.start("owner", np.arange(m, dtype=np.int64) << 16)  # document and length
+        at, total = np.arange(m), m
         for j in range(longest):
             live = np.flatnonzero(lengths > j)
             if not len(live):
                 break
-            bwt, lcp, key = files.read("bwt", np.int32), files.read("lcp", np.int16), files.read("order", np.int64)
-            old = len(bwt)
-            own = bwt[at[live]].astype(np.int64) << 32 | at[live]
+            live = live[np.argsort(at[live])]
+            place, symbol, s = at[live], np.empty(len(live), np.int64), 0
+            for a in files.parts("bwt"):
+                b, e = np.searchsorted(place, [s, s + len(a)])
+                symbol[b:e] = a[place[b:e] - s]
+                s += len(a)
+            own = symbol << 32 | place
             order = np.argsort(own)
             live, own = live[order], own[order]
-            slot = np.searchsorted(key, own) + np.arange(len(own))
-            new = old + len(own)
-            fresh = np.zeros(new, bool)
-            fresh[slot] = True
-            moved = np.flatnonzero(~fresh)  # where each old row is now
-
-            def merged(was: np.ndarray, now: np.ndarray | int) -> np.ndarray:
-                out = np.empty(new, was.dtype)
-                out[moved], out[slot] = was, now
-                return out
-
-            key, out = merged(key, own), merged(lcp, 0)
-            fresh[1:] |= fresh[:-1]
-            touched = np.flatnonzero(fresh)  # new rows and the ones after them
-            touched = touched[touched >= max(m, 1)]
-            here, there = key[touched], key[touched - 1]
-            same = here >> 32 == there >> 32
-            out[touched[~same]] = 0
+            # where new suffixes go, and the ones that stand there now
+            goes, before, after, s, done, last = np.full(len(own), total), np.empty(len(own), np.int64), np.full(len(own), -1, np.int64), 0, 0, np.int64(-1)
+            for a in files.parts("order"):
+                e = np.searchsorted(own, a[-1])
+                here = np.searchsorted(a, own[done:e])
+                goes[done:e], after[done:e] = here + s, a[here] if len(here) else after[done:e]
+                before[done:e] = np.where(here > 0, a[here - 1], last) if len(here) else before[done:e]
+                s, done, last = s + len(a), e, a[-1]
+            before[done:] = last
+            joint = np.concatenate([[False], goes[1:] == goes[:-1]])
+            before[joint] = own[:-1][joint[1:]]
+            ends = np.flatnonzero(np.concatenate([goes[1:] != goes[:-1], [True]]) & (goes < total))  # an old suffix comes next
+            here, there = np.concatenate([own, after[ends]]), np.concatenate([before, own[ends]])
+            common, same = np.zeros(len(here), np.int16), here >> 32 == there >> 32
             if same.any():
-                out[touched[same]] = 1 + RangeMin(lcp).of((there[same] & low) + 1, here[same] & low)
+                common[same] = 1 + range_minima(files.parts("lcp"), chunk, (there[same] & low) + 1, here[same] & low)
+            moved = lambda x: x + np.searchsorted(goes, x, "right")
             nxt = np.full(len(live), -1, np.int32)
             if j + 1 < longest:
                 more = lengths[live] > j + 1
-                nxt[more] = files.read(f"column{j + 1}", np.int32)[live[more]]
-            files.write("bwt", merged(bwt, nxt))
-            files.write("lcp", out)
-            key[m:] = key[m:] & ~low | moved[key[m:] & low]
-            files.write("order", key)
-            at[live] = slot
-        key, n = files.read("order", np.int64), len(files.read("bwt", np.int32))
-        longer = np.full(n, -1, np.int64)  # the place of the suffix one longer
-        longer[key[m:] & low] = np.arange(m, n)
-        doc, size, rows, docs, j = np.empty(n, np.int32), np.empty(n, np.int16), np.arange(m), np.arange(m), 0
-        while len(rows):
-            doc[rows], size[rows] = docs, j
-            rows = longer[rows]
-            docs, rows, j = docs[rows >= 0], rows[rows >= 0], j + 1
-        return doc, size, files.read("lcp", np.int16)
+                nxt[more] = column(j + 1)[live[more]]
+            new = {"bwt": nxt, "lcp": common[: len(own)], "order": own & ~low | moved(own & low), "owner": live.astype(np.int64) << 16 | (j + 1)}
+            for name, fresh in new.items():
+                s = b = 0
+                with files.writer(name) as out:
+                    for a in files.parts(name):
+                        end = s + len(a) == total
+                        e = len(goes) if end else np.searchsorted(goes, s + len(a))
+                        if name == "order":
+                            a = np.where(a >= 0, a & ~low | moved(a & low), a)
+                        elif name == "lcp":
+                            c, d = np.searchsorted(goes[ends], [s, s + len(a)])
+                            a = a.copy()
+                            a[goes[ends[c:d]] - s] = common[len(own) + c : len(own) + d]
+                        files.put(out, np.insert(a, goes[b:e] - s, fresh[b:e]))
+                        s, b = s + len(a), e
+                files.over(name)
+            at[live] = goes + np.arange(len(own))
+            total += len(own)
+        for owner, lcp in zip(files.parts("owner"), files.parts("lcp")):
+            yield (owner >> 16).astype(np.int32), (owner & 0xFFFF).astype(np.int32), lcp
     finally:
         files.close()
 
@@ -201,13 +282,13 @@ def _contexts(h: np.ndarray, begin: np.ndarray, end: np.ndarray, least: int):
     key, whole = np.empty(len(place), np.uint64), np.empty(len(place), np.uint64)
     offs = np.arange(size + 2 * side)
     with np.errstate(over="ignore"):
-        for part in np.array_split(np.arange(len(place)), len(place) // 20_000 + 1):
+        for part in np.array_split(np.arange(len(place)), len(place) * len(offs) // 1_500_000 + 1):
             w = mix(padded[place[part, None] + offs]) * powers
             inside = w[:, side : side + size].sum(1)
             w[offs < (side - a[part])[:, None]] = 0
             w[offs >= (side + size + b[part])[:, None]] = 0
             key[part] = mix(inside + left[part])
-            whole[part] = mix(w.sum(1) + (a[part] * 64 + b[part]).astype(np.uint64))
+            whole[part] = mix(w.sum(1) + (a[part] << 16 | b[part]).astype(np.uint64))
     return of, key, whole, place - begin[of], a, b
 
 
@@ -218,7 +299,7 @@ def _keys(least: int):
             names = batch["doc"].to_numpy()
             for rows, words, begin, end in _joined(batch):
                 of, key, whole, place, a, b = _contexts(hashes.of(words), begin, end, least)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(names[np.array(rows)][of]), pa.array(place.astype(np.int32)), pa.array((a << 8 | b).astype(np.int16))], ["key", "whole", "doc", "place", "sides"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(names[np.array(rows)][of]), pa.array(place.astype(np.int32)), pa.array((a << 16 | b).astype(np.int32))], ["key", "whole", "doc", "place", "sides"])
 
     return run
 
@@ -234,7 +315,7 @@ def _segments(least: int):
             for doc, text, wanted in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), batch["wanted"].to_pylist()):
                 h = hashes.of(text.split()).astype(np.uint32)
                 for x in wanted:
-                    p, a, b = x["place"], x["sides"] >> 8, x["sides"] & 255
+                    p, a, b = x["place"], x["sides"] >> 16, x["sides"] & 65535
                     for o, v in zip(out, (x["key"], x["whole"], doc, p - a, h[p - a : p].tobytes(), h[p + size : p + size + b].tobytes())):
                         o.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
@@ -243,6 +324,29 @@ def _segments(least: int):
     return run
 
 
+def _hits(suffixes: Iterator[tuple], width: int, lengths: np.ndarray, left: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, offset) of the windows that occur at more than one place: suffixes agree in `width` symbols, and hold the context. A run
+    of such suffixes that a part ends within is carried into the next."""
+    found, held = [], [np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int16)]
+
+    def settle(doc: np.ndarray, length: np.ndarray, lcp: np.ndarray) -> None:
+        off, start = lengths[doc] - length, np.flatnonzero(lcp < width)
+        run = np.cumsum(lcp < width) - 1
+        apart = np.minimum.reduceat(low[doc] + off, start) != np.maximum.reduceat(high[doc] + off, start)
+        hit = (length >= width) & (off <= left[doc]) & apart[run]
+        found.append((doc[hit], off[hit]))
+
+    for part in suffixes:
+        held = [np.concatenate(x) for x in zip(held, part)]
+        begins = np.flatnonzero(held[2] < width)
+        if len(begins) and begins[-1] > 0:
+            settle(*(x[: begins[-1]] for x in held))
+            held = [x[begins[-1] :] for x in held]
+    if len(held[0]):
+        settle(*held)
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (held[0], held[1])
+
+
 def _repeats(least: int, folder: str):
     """Of one collection of segments, the stretches of `least`-word windows that occur at more than one place.
 
@@ -277,15 +381,9 @@ def _repeats(least: int, folder: str):
         put(a, ids[: a.sum()], lengths - 1)
         put(b, ids[a.sum() :], b - 1)
         symbols[np.arange(m), b] = len(words) + np.unique(some["key"].to_numpy(), return_inverse=True)[1]
-        doc, length, lcp = collection_bwt(symbols, lengths, folder)
-        off = lengths[doc] - length
-        start = np.flatnonzero(lcp < side + 1)
-        run_of = np.cumsum(lcp < side + 1) - 1
-        least_spot, most_spot = np.minimum.reduceat(low[doc] + off, start), np.maximum.reduceat(high[doc] + off, start)
-        hit = (length >= side + 1) & (off <= a[doc]) & (least_spot != most_spot)[run_of]
-        if not hit.any():
+        d, o = _hits(collection_bwt(symbols, lengths, folder), side + 1, lengths, a, low, high)
+        if not len(d):
             return empty
-        d, o = doc[hit], off[hit]
         order = np.lexsort((o, d))
         d, o = d[order].astype(np.int64), o[order].astype(np.int64)
         new = np.concatenate([[True], d[1:] != d[:-1]])  # within a segment all windows overlap
@@ -298,41 +396,58 @@ def _repeats(least: int, folder: str):
     return run
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, per_collection: int = 30_000) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 50, per_collection: int = 30_000, hot_at: int = 100_000) -> DataFrame:
     """Rows (doc_id, start, length): the stretches of words, of `least` or more, of which every window of `least` words occurs elsewhere too.
 
     Words are runs without white space, and must agree exactly (by 64-bit hash); elsewhere is another place of any document, the same
     one included. Stretches that overlap or touch are joined.
 
     Two equal passages of `least` words choose an anchor alike, so they share its left or its right context, of 29 words if least is
-    50. Contexts that occur once are done with. Where all occurrences of a context agree in what surrounds it, all windows around it are
-    repeats. The other contexts are gathered, with the words beside them, into collections of about per_collection segments, for
-    column-wise construction of their BWT and common prefixes; as all windows in question hold a context whole, it is one symbol. Rounds
-    are as many as a segment has symbols, at any size of the corpus. Equal segments go in once. Beside 64-bit hashes of contexts, words
-    are compared by 32 bits there.
+    50. Contexts that occur once are done with. The others are gathered, with the words beside them, into collections of about
+    per_collection segments, for column-wise construction of their BWT and common prefixes; as all windows in question hold a context
+    whole, it is one symbol. Rounds are as many as a segment has symbols, at any size of the corpus. Equal segments go in once. Beside
+    64-bit hashes of contexts, words are compared by 32 bits there.
+
+    A context of over hot_at occurrences, going by one document in SAMPLED, would make one task of them all. The most frequent HOT_KEYS of
+    these are settled the other way, with the same result: all windows around them are hashed and counted, which combines before it
+    shuffles. No other context has more than one part in HOT_KEYS of all occurrences.
 
     Null, empty and short texts have no rows. Rows equal in id and text are one document. A null id is kept. Long texts are searched
     whole. Other columns are not used.
     """
-    if least < GRAM + 2:
-        raise ValueError(f"passages of fewer than {GRAM + 2} words are not supported")
+    if not GRAM + 2 <= least <= 30_000:
+        raise ValueError(f"passages of fewer than {GRAM + 2} or more than 30,000 words are not supported")
     spark = docs.sparkSession
     slim = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col)["a"].alias("doc"))
-    keys = slim.select("doc", "text").mapInArrow(_keys(least), "key bigint, whole bigint, doc bigint, place int, sides smallint")
-    w, spot = Window.partitionBy("key"), F.struct("doc", "place")
-    of_key = keys.select("key", "whole", "doc", "place", "sides", F.min(spot).over(w).alias("low"), F.max(spot).over(w).alias("high"), F.min("whole").over(w).alias("one"), F.max("whole").over(w).alias("other"))
-    again = save(of_key.where("low <> high").select("key", "whole", "doc", "place", "sides", (F.col("one") != F.col("other")).alias("mixed")), "again")
-    size, left, right = GRAM + (least - GRAM) // 2, F.shiftright("sides", 8), F.col("sides").bitwiseAND(255)
-    alike = again.where("not mixed").select("doc", (F.col("place") - left).cast("int").alias("start"), (F.col("place") + size + right).cast("int").alias("end"))
-    wanted = again.where("mixed").groupBy("doc").agg(F.collect_list(F.struct("key", "whole", "place", "sides")).alias("wanted"))
-    slots = F.broadcast(again.where("mixed").select(F.pmod(F.xxhash64("doc"), F.lit(SLOTS)).alias("slot")).distinct())
-    some = slim.withColumn("slot", F.pmod(F.xxhash64("doc"), F.lit(SLOTS))).join(slots, "slot", "left_semi").join(wanted, "doc").select("doc", "text", "wanted")
-    collections = again.where("mixed").count() // per_collection + 1
-    segments = some.mapInArrow(_segments(least), "key bigint, whole bigint, doc bigint, begin int, left binary, right binary").withColumn("collection", F.pmod(F.xxhash64("key"), F.lit(collections)))
-    folder = f"{shared_dir(spark)}/codeloom/collections"
-    mixed = segments.groupBy("collection").applyInArrow(_repeats(least, folder), "doc bigint, start int, end int")
-    found = save(alike.unionByName(mixed), "stretches")
+    keys_of = lambda x: x.select("doc", "text").mapInArrow(_keys(least), "key bigint, whole bigint, doc bigint, place int, sides int")
+    spot = F.struct("doc", "place")
+
+    def segments(again: DataFrame) -> DataFrame:
+        """Occurrences with the words beside them, which are read again from the texts that hold any."""
+        wanted = again.groupBy("doc").agg(F.collect_list(F.struct("key", "whole", "place", "sides")).alias("wanted"))
+        slots = F.broadcast(again.select(F.pmod(F.xxhash64("doc"), F.lit(SLOTS)).alias("slot")).distinct())
+        some = slim.withColumn("slot", F.pmod(F.xxhash64("doc"), F.lit(SLOTS))).join(slots, "slot", "left_semi").join(wanted, "doc").select("doc", "text", "wanted")
+        return some.mapInArrow(_segments(least), "key bigint, whole bigint, doc bigint, begin int, left binary, right binary")
+
+    sample = keys_of(slim.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLED)) == 0)).groupBy("key").count().where(F.col("count") * SAMPLED >= hot_at)
+    hot = [r.key for r in sample.orderBy(F.col("count").desc(), "key").limit(HOT_KEYS).collect()]
+    listed = spark.createDataFrame([(k,) for k in hot], "key bigint")
+    keys, w = keys_of(slim), Window.partitionBy("key")
+    cold = keys.join(F.broadcast(listed), "key", "left_anti") if hot else keys
+    again = save(cold.select("key", "whole", "doc", "place", "sides", F.min(spot).over(w).alias("low"), F.max(spot).over(w).alias("high")).where("low <> high").select("key", "whole", "doc", "place", "sides"), "again")
+    symbols = least - GRAM - (least - GRAM) // 2
+    collections = again.count() * (2 * symbols + 1) // (43 * per_collection) + 1
+    gathered = segments(again).withColumn("collection", F.pmod(F.xxhash64("key"), F.lit(collections)))
+    found = save(gathered.groupBy("collection").applyInArrow(_repeats(least, f"{run_dir(spark)}/collections"), "doc bigint, start int, end int"), "stretches")
     drop(again)
+    if hot:
+        more = save(keys.join(F.broadcast(listed), "key", "left_semi"), "hot")
+        windows = save(segments(more).mapInArrow(_windows(least), "window bigint, doc bigint, start int"), "windows")
+        place = F.struct("doc", "start")
+        twice = windows.groupBy("window").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("window")
+        found = found.unionByName(save(windows.join(twice, "window").select("doc", "start", (F.col("start") + least).alias("end")).distinct(), "stretches"))
+        drop(more)
+        drop(windows)
     by = Window.partitionBy("doc").orderBy("start", "end")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     joined = found.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(by)).groupBy("doc", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
