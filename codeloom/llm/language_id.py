@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.sampling import lowest
+from codeloom.llm.sampling import among_lowest
 
 ORDERS = (1, 2, 3)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -63,23 +64,46 @@ class NaiveBayes:
         return out
 
 
-def train(texts: list[str], langs: list[str], bits: int = 16, smooth: float = 0.1) -> NaiveBayes:
-    names = sorted(set(langs))
-    of_lang = np.searchsorted(names, langs) if names else np.zeros(0, np.int64)
-    counts = np.zeros((2**bits, max(1, len(names))))
+def count(texts: list[str], langs: list[str], bits: int) -> list[tuple[str, int, int]]:
+    """How often each bucket occurs in texts of each language, and as bucket -1 how many texts that language has."""
+    names, of_lang = np.unique(np.array(langs, object), return_inverse=True)
+    out = [(n, -1, c) for n, c in zip(names.tolist(), np.bincount(of_lang, minlength=len(names)).tolist())]
     for of, bucket in grams(texts, bits):
-        for k in range(len(names)):
-            counts[:, k] += np.bincount(bucket[of_lang[of] == k], minlength=2**bits)
-    counts += smooth
-    docs = np.bincount(of_lang, minlength=max(1, len(names))) + 1.0
+        key, times = np.unique(of_lang[of] << bits | bucket, return_counts=True)
+        out += zip(names[key >> bits].tolist(), (key & ((1 << bits) - 1)).tolist(), times.tolist())
+    return out
+
+
+def from_counts(rows: list[tuple[str, int, int]], bits: int, smooth: float) -> NaiveBayes:
+    names = sorted({r[0] for r in rows})
+    at = {n: k for k, n in enumerate(names)}
+    counts, docs = np.full((2**bits, max(1, len(names))), smooth), np.ones(max(1, len(names)))
+    for name, bucket, n in rows:
+        if bucket < 0:
+            docs[at[name]] += n
+        else:
+            counts[bucket, at[name]] += n
     return NaiveBayes(names, np.log(docs / docs.sum()), np.log(counts / counts.sum(0)).astype(np.float32))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 4000) -> NaiveBayes:
-    """Trains on at most max_docs labelled documents of up to 20,000 characters, those whose ids hash lowest."""
-    x = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("l is not null and t <> '' and length(t) <= 20000")
-    some = lowest(x, "id", max_docs).collect()
-    return train([r.t for r in some], [r.l for r in some])
+def train(texts: list[str], langs: list[str], bits: int = 16, smooth: float = 0.1) -> NaiveBayes:
+    return from_counts(count(texts, langs, bits), bits, smooth)
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 4000, bits: int = 16, smooth: float = 0.1) -> NaiveBayes:
+    """Trains on about max_docs labelled documents, those whose ids hash lowest, with all of their texts.
+
+    Texts are counted where they are; only sums by language and bucket come to the driver, 2**bits for each language at most. Rows
+    without an id, a label or any text are not used."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = count(batch["t"].to_pylist(), batch["l"].to_pylist(), bits)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 3, (pa.string(), pa.int64(), pa.int64()))], ["l", "bucket", "n"])
+
+    some = among_lowest(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("l is not null and t <> ''"), "id", max_docs)
+    sums = some.select("t", "l").mapInArrow(run, "l string, bucket bigint, n bigint").groupBy("l", "bucket").agg(F.sum("n").alias("n"))
+    return from_counts([tuple(r) for r in sums.collect()], bits, smooth)
 
 
 def identify(docs: DataFrame, model: NaiveBayes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 _SPAN = 1 << 24
 
 
-def lowest(rows: DataFrame, id_col: str, most: int) -> DataFrame:
-    """At most `most` rows, those whose ids hash lowest. A first cut by hash, from a count of the rows, leaves about twice as many in
-    all, so what tasks send to the driver doesn't grow with the input; the sample may fall short by the little that the cut misses."""
-    share = min(1.0, 2 * most / max(1, rows.count()))
-    h = F.pmod(F.xxhash64(id_col), F.lit(_SPAN))
-    return rows.where(h < int(share * _SPAN) + 1).orderBy(h, id_col, F.hash(*rows.columns)).limit(most)
+def among_lowest(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """The rows whose ids hash below a bound, about `most` of them: what follows is to be made small before it is ordered and cut.
+
+    Rows of one id stay or go together; those without an id are left out, as any number of rows may lack one."""
+    share = min(1.0, most / max(1, rows.where(F.col(id_col).isNotNull()).count()))
+    return rows.where(F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(_SPAN)) < int(share * _SPAN) + 1))
