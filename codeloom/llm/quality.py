@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NAMES = (
-    "log_chars log_words mean_word unique_words alpha digit upper punctuation pipes top_word repeats log_lines line_words "
-    "repeated_lines ended_lines symbol_words short_words capital_words ended_words bangs"
+    "log_chars log_words mean_word unique_words alpha digit upper punctuation mark_words top_word repeats log_lines line_words "
+    "repeated_lines ended_lines tailed_words short_words capital_words ended_words doubled_ends"
 ).split()
+_ENDS = frozenset(".!?,;:")
+_TAILS = frozenset("#$%&*+-/<=>@\\^_`|~")  # marks that prose has no use for at the end of a word
 _KIND = np.zeros(129, np.uint8)  # 0 white space, 1 lower, 2 upper, 3 digit, 4 other, 5 beyond ASCII
 _KIND[33:127] = 4
 _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[128] = 1, 2, 3, 5
@@ -31,13 +33,13 @@ def statistics(text: str | None) -> np.ndarray:
     solid, n = max(1, len(codes) - kinds[0]), len(words)
     counts = Counter(words)
     lines = [x for x in text.split("\n") if x and not x.isspace()]
-    symbols = sum(counts[w] for w in counts if w[-1] in "#$%&*")
+    tailed = sum(c for w, c in counts.items() if len(w) > 1 and w[-1] in _TAILS)
     out[:] = (
         np.log1p(len(codes)), np.log1p(n), solid / n, len(counts) / n, (kinds[1] + kinds[2] + kinds[5]) / solid, kinds[3] / solid, kinds[2] / solid, kinds[4] / solid,
-        counts["|"] / n, max(counts.values()) / n, sum(map(eq, words, words[1:])) / n, np.log1p(len(lines)), n / len(lines),
-        1 - len(set(lines)) / len(lines), sum(x.rstrip()[-1] in ".!?" for x in lines) / len(lines), symbols / n,
+        sum(c for w, c in counts.items() if not (w[0].isalnum() or any(map(str.isalnum, w)))) / n, max(counts.values()) / n, sum(map(eq, words, words[1:])) / n, np.log1p(len(lines)), n / len(lines),
+        1 - len(set(lines)) / len(lines), sum(x.rstrip()[-1] in ".!?" for x in lines) / len(lines), tailed / n,
         sum(c for w, c in counts.items() if len(w) <= 3) / n, sum(c for w, c in counts.items() if w.isupper() and len(w) > 3) / n,
-        sum(c for w, c in counts.items() if w[-1] in ".!?") / n, sum(c for w, c in counts.items() if w.endswith("!!")) / n,
+        sum(c for w, c in counts.items() if w[-1] in ".!?") / n, sum(c for w, c in counts.items() if len(w) > 2 and w[-1] == w[-2] in _ENDS) / n,
     )
     return out
 
