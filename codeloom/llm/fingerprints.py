@@ -46,7 +46,7 @@ def i_match(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", low
     large the corpus; up to broadcast_entries of them are broadcast, more go through a join.
     """
     seen = docs.select(terms(F.col(text_col)).alias("t"))
-    n = seen.where(F.size("t") > 0).count()
+    n = docs.where(F.col(text_col).rlike(r"[^ \t\n\r\f\x0B]")).count()
     band = seen.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") * math.exp(low) <= n) & (F.col("df") * math.exp(high) >= n)).select("term")
     found = [r.term.encode() for r in band.limit(broadcast_entries + 1).toLocalIterator()]
     kind = pa.struct([("n_terms", pa.int64()), *((f"fp{s}", pa.string()) for s in range(lexicons + 1))])
