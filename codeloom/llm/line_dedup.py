@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import BROADCAST_ENTRIES, row_key
+from codeloom.llm.common import BROADCAST_ENTRIES, columns, fresh, row_key
 
 
 def normalised(line: Column) -> Column:
@@ -42,19 +42,19 @@ def _in(hot: np.ndarray):
     return found
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 50, max_share: float = 1.0, broadcast_entries: int = BROADCAST_ENTRIES, copies_count: bool = True) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 50, broadcast_entries: int = BROADCAST_ENTRIES, copies_count: bool = True) -> DataFrame:
     """docs with text_col rewritten, and n_lines and n_dropped added.
 
     Lines are split at line feeds, normalised and hashed. A line that more than max_docs distinct documents hold is dropped
-    everywhere; the others stay, in their order and unaltered. A document in which such lines hold more than max_share of the
-    characters is left whole: it is a copy of another document, a matter for near-duplicate removal (1.0: no such exception).
+    everywhere; the others stay, in their order and unaltered.
 
     Without copies_count, documents of the same set of normalised lines count as one document, whatever their ids: a line counts as
     common only if that many differing documents hold it, so a text that is merely copied often keeps its lines.
 
     Null text stays null with 0 lines; empty text has one blank line. Blank lines are neither counted nor dropped. A line that
     repeats within a document counts once; rows with one id are one document, and so are all rows with a null id. A document
-    that loses all its lines keeps its row with an empty text. Columns of docs named n_lines or n_dropped are replaced.
+    that loses all its lines keeps its row with an empty text. Columns of docs named n_lines or n_dropped, in capitals or not, are
+    replaced; other columns stay, whatever their names.
 
     Only hashes are shuffled. The hashes over the threshold go to executors as a sorted array if there are at most
     broadcast_entries of them, else through a join by row.
@@ -64,25 +64,21 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seen = docs.select(doc.alias("d"), F.explode(lines).alias("h")).where("h is not null")
     hot = seen.groupBy("h").agg(F.count_distinct("d").alias("n")).where(F.col("n") > max_docs).select("h")
     found = [r.h for r in hot.limit(broadcast_entries + 1).toLocalIterator()]
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    wide = docs.select(*names, F.split(F.col(text_col), "\n").alias("__lines"), _hashes(F.col(text_col)).alias("__hashes"))
+    kept_names, (split, hashes, gone, key, some) = columns(docs, "n_lines", "n_dropped"), fresh(docs, "__lines", "__hashes", "__gone", "__key", "__set")
+    wide = docs.select(*kept_names, F.split(F.col(text_col), "\n").alias(split), _hashes(F.col(text_col)).alias(hashes))
     if len(found) <= broadcast_entries:
-        wide = wide.withColumn("__gone", _in(np.sort(np.array(found, np.int64)))("__hashes"))
+        wide = wide.withColumn(gone, _in(np.sort(np.array(found, np.int64)))(hashes))
     else:
-        keyed = docs.select(row_key(id_col, text_col).alias("__key"), F.explode(F.array_distinct(_hashes(F.col(text_col)))).alias("h")).where("h is not null")
-        per_row = keyed.join(hot, "h").groupBy("__key").agg(F.collect_set("h").alias("__set"))
-        wide = wide.withColumn("__key", row_key(id_col, text_col)).join(per_row, "__key", "left").withColumn("__gone", F.when(F.col("__set").isNotNull(), F.transform("__hashes", lambda h: F.coalesce(F.array_contains("__set", h), F.lit(False)))))
-    if max_share < 1.0:
-        gone_chars = F.aggregate(F.zip_with("__lines", "__gone", lambda x, g: F.when(g, F.length(x)).otherwise(0)), F.lit(0), lambda a, x: a + x)
-        all_chars = F.aggregate("__lines", F.lit(0), lambda a, x: a + F.length(x))
-        wide = wide.withColumn("__gone", F.when(gone_chars <= max_share * all_chars, F.col("__gone")))
-    kept = F.filter("__lines", lambda x, i: ~F.element_at("__gone", i + 1))
+        keyed = docs.select(row_key(id_col, text_col).alias(key), F.explode(F.array_distinct(_hashes(F.col(text_col)))).alias("h")).where("h is not null")
+        per_row = keyed.join(hot, "h").groupBy(key).agg(F.collect_set("h").alias(some))
+        wide = wide.withColumn(key, row_key(id_col, text_col)).join(per_row, key, "left").withColumn(gone, F.when(F.col(some).isNotNull(), F.transform(hashes, lambda h: F.coalesce(F.array_contains(some, h), F.lit(False)))))
+    kept = F.filter(split, lambda x, i: ~F.element_at(gone, i + 1))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias(text_col)
     return wide.select(
-        *[c for c in names if c != text_col],
-        F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias(text_col),
-        F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__lines") - F.size(kept)).cast("long").alias("n_dropped"),
-    ).select(*names, "n_lines", "n_dropped")
+        *[text if c.lower() == text_col.lower() else x for c, x in zip([c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")], kept_names)],
+        F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(split) - F.size(kept)).cast("long").alias("n_dropped"),
+    )
 
 
 def oracle(max_docs: int = 50) -> str:
