@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.llm.common import WordHashes, drop, mix, row_key, save, shingles
+from codeloom.llm.common import WordHashes, columns, drop, fresh, mix, row_key, save, shingles
 
 SLOTS = 1 << 20  # of the fixed-size filters that are broadcast
 BAG = 64
+SHORT, SHORT_PICKS = 28, 5  # texts of so many words have sketches of single words too, of so many each
 
 
 def order_minhash(h: np.ndarray, k: int, picks: int, sketches: int) -> np.ndarray:
@@ -75,7 +76,10 @@ def _sketched(k: int, picks: int, sketches: int):
                 n.append(len(h))
                 raw = h.tobytes()
                 same.append(xxhash.xxh3_128_digest(raw))
-                sk.append(order_minhash(h, k, picks, sketches).view(np.int64))
+                own = order_minhash(h, k, picks, sketches)
+                if len(h) <= SHORT:
+                    own = np.concatenate([own, order_minhash(h, 1, SHORT_PICKS, sketches)])
+                sk.append(own.view(np.int64))
                 bags.append(bag(h).tobytes())
             yield pa.RecordBatch.from_arrays([batch["id"], batch["key"], pa.array(n, pa.int32()), pa.array(same, pa.binary()), pa.array(sk, pa.list_(pa.int64())), pa.array(bags, pa.binary())], ["id", "key", "n", "same", "sketch", "bag"])
 
@@ -172,9 +176,9 @@ def _slot(c: Column) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(SLOTS))
 
 
-def _slots(keys: DataFrame, c: Column) -> DataFrame:
+def _slots(keys: DataFrame, c: Column, name: str = "__slot") -> DataFrame:
     """The slots that keys fall in: a filter of at most SLOTS rows whatever the input, so that it can be broadcast."""
-    return F.broadcast(keys.select(_slot(c).alias("__slot")).distinct())
+    return F.broadcast(keys.select(_slot(c).alias(name)).distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -193,7 +197,9 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
         if not labels.where("moved").limit(1).count():
             drop(both)
-            return labels.select("node", "label")
+            out = labels.select("node", "label")
+            out._saved_at = labels._saved_at
+            return out
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.85, k: int = 3, picks: int = 3, sketches: int = 32) -> DataFrame:
@@ -201,7 +207,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
 
     Documents are near-duplicates if the edit distance of their words is at most (1 - least) of the longer one's length; a group is
     what such pairs connect. Texts that are equal word for word are one node. Nodes that share any Order MinHash sketch are
-    candidates. In each bucket the least node is compared with all others, which joins most groups with one alignment per node; then
+    candidates; texts of up to SHORT words have as many sketches again over single words, since one edit takes most of their runs. In
+    each bucket the least node is compared with all others, which joins most groups with one alignment per node; then
     all pairs of a bucket that are still in different groups are compared too, so the groups are those of all candidate pairs. A pair
     is aligned unless its lengths or counts of words already show it to be too far apart.
 
@@ -224,7 +231,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
         return pairs.where(_may_be_close("bag_a", "bag_b", bound)).select("a", "b").distinct()
 
     # The words of candidates are read again from one row of each, rather than kept for all documents.
-    bags = save(made.select("same", "key", "bag").join(buckets.select("same").distinct(), "same").groupBy("same").agg(F.min(F.struct("key", "bag")).alias("of")).select("same", "of.*"), "bags")
+    kept_bags = bags = save(made.select("same", "key", "bag").join(buckets.select("same").distinct(), "same").groupBy("same").agg(F.min(F.struct("key", "bag")).alias("of")).select("same", "of.*"), "bags")
     again = slim.withColumn("__slot", _slot(F.col("key"))).join(_slots(bags, F.col("key")), "__slot", "left_semi").select("key", "text")
     tokens = save(again.mapInArrow(_words, "key struct<a:bigint,b:bigint>, tokens binary").join(bags.select("same", "key"), "key").select("same", "tokens").dropDuplicates(["same"]), "tokens")
     bags = bags.select("same", "bag")
@@ -242,14 +249,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     p, q = (split.select("bucket", F.col("same").alias(x), F.col("n").alias("n" + x), F.col("label").alias("label_" + x), F.col("bag").alias("bag_" + x)) for x in "ab")
     rest = may_be_close(p.join(q, "bucket").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & fits("na", "nb"))).join(star, ["a", "b"], "left_anti")
     second = close(rest)
-    labels = components(first.unionByName(second))
-    for x in (buckets, tokens, star, first, second):
-        drop(x)
+    earlier, labels = labels, components(first.unionByName(second))
     rows = made.select("id", "key", "same")
     copies = rows.groupBy("same").count().where("count > 1").select("same", F.lit(1).alias("copy"))
     joined = rows.join(copies, "same", "left").join(labels, rows.same == labels.node, "left").where("copy is not null or label is not null").withColumn("label", F.coalesce("label", "same"))
     w = Window.partitionBy("label")
-    return save(joined.select("id", "key", F.min("id").over(w).alias("group"), (F.row_number().over(w.orderBy(F.col("id").asc_nulls_last(), "key")) == 1).alias("keep")), "groups")
+    out = save(joined.select("id", "key", F.min("id").over(w).alias("group"), (F.row_number().over(w.orderBy(F.col("id").asc_nulls_last(), "key")) == 1).alias("keep")), "groups")
+    for x in (buckets, tokens, star, first, second, made, kept_bags, earlier, labels):
+        drop(x)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
@@ -258,16 +266,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """docs without all but one row of each group of near-duplicates, its columns as they were.
+    """docs without all but one row of each group of near-duplicates, its columns as they were, whatever their names.
 
     Rows pass a fixed-size filter by key first, so only those that may go are shuffled. Of rows equal in id and text one stays.
     """
     found = groups(docs, id_col, text_col, **params)
     marks = save(found.groupBy("key").agg(F.max("keep").alias("keep"), F.count("*").alias("times")).where("not keep or times > 1").select("key", "keep"), "marks")
-    keyed = docs.withColumn("__key", row_key(id_col, text_col)).withColumn("__slot", _slot(F.col("__key")))
-    slots = _slots(marks, F.col("key"))
-    sure = keyed.join(slots, "__slot", "left_anti")
-    maybe = keyed.join(slots, "__slot", "left_semi").join(marks.select(F.col("key").alias("__key"), F.col("keep").alias("__keep")), "__key", "left").where("__keep is null or __keep")
-    once = F.row_number().over(Window.partitionBy("__key").orderBy("__slot"))
-    maybe = maybe.withColumn("__nth", once).where("__keep is null or __nth = 1")
-    return sure.select(*docs.columns).unionByName(maybe.select(*docs.columns))
+    drop(found)
+    key, slot, keep, nth = fresh(docs, "__key", "__slot", "__keep", "__nth")
+    keyed = docs.withColumn(key, row_key(id_col, text_col)).withColumn(slot, _slot(F.col(key)))
+    slots = _slots(marks, F.col("key"), slot)
+    sure = keyed.join(slots, slot, "left_anti")
+    maybe = keyed.join(slots, slot, "left_semi").join(marks.select(F.col("key").alias(key), F.col("keep").alias(keep)), key, "left").where(F.col(keep).isNull() | F.col(keep))
+    maybe = maybe.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(slot))).where(F.col(keep).isNull() | (F.col(nth) == 1))
+    return sure.select(*columns(docs)).unionByName(maybe.select(*columns(docs)))
