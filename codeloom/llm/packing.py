@@ -39,7 +39,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def _packer(level: int, capacity: int, nearly: int):
-    """Packs the bins of one group (at level 0: its items), keeping the rows of items; nearly full bins are marked done."""
+    """Packs the rows of one part, that have the same bin together (at level 0 each by itself); nearly full bins are marked done."""
 
     def pack(t: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -69,9 +69,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
     Lengths are words (runs without white space) unless another column is given. A document longer than capacity gives pieces of
     capacity and a rest, so its whole text is packed. Items are spread over parts by hash and each part is packed best-fit, longest
-    first; bins filled to nearly_full are final. The underfull bins then go as items, fan_in parts together, through best-fit rounds
-    until one part is left. Before each round a bin leaves that could take not even the smallest bin left anywhere: nothing
-    could be added to it, so what rounds carry stays small.
+    first; bins filled to nearly_full are final. The underfull bins then go as items, up to fan_in parts together and no more than about
+    items_per_part bins to a task, through best-fit rounds until one part is left, or parts get no fewer: then almost no bins can be
+    merged, and those left are final. Before each round a bin leaves that could take not even the smallest bin left anywhere: nothing
+    could be added to it. Rounds carry bins, not items; items are joined with the bin that theirs went into at the end.
 
     Documents without words (null and empty texts too) take no place and have no row. Repeated rows are packed as often as they
     occur. A null id is kept. Ties go by id, then start. The result has id_col as its name for the id; other columns are ignored.
@@ -85,21 +86,40 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
         "items",
     )
     parts = max(1, -(-items.count() // items_per_part))
-    state = items.select(
-        F.pmod(F.xxhash64("id", "start"), F.lit(parts)).cast("long").alias("part"), F.lit(0).cast("long").alias("bin"), "id", "start", "length", F.lit(0).cast("long").alias("filled"), F.lit(False).alias("done")
-    )
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in state.schema])
-    level, finished = 0, None
+    marks = [F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("filled"), F.lit(False).alias("done")]
+    state = items.select(F.pmod(F.xxhash64("id", "start"), F.lit(parts)).cast("long").alias("part"), "id", "start", "length", *marks)
+    level, tables, nearly = 0, [], int(np.ceil(nearly_full * capacity))
+    went = None  # (first, bin): of a bin of level 0 that was not final there, the final one
     while True:
-        packed = save(state.groupBy("part").applyInArrow(_packer(level, capacity, int(np.ceil(nearly_full * capacity))), schema), f"packed{level}")
-        if level == 0:
+        schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in state.schema])
+        packed = save(state.groupBy("part").applyInArrow(_packer(level, capacity, nearly), schema), f"packed{level}")
+        if level:
+            drop(tables[-1]) if level > 1 else None
+        else:
             drop(items)
+        tables.append(packed)
         smallest = packed.where("not done").agg(F.min("filled")).first()[0]
-        closed = F.col("done") | (F.col("filled") + F.lit(smallest if smallest is not None else capacity + 1) > capacity) if parts > 1 else F.lit(True)
-        finished = packed.where(closed) if finished is None else finished.unionByName(packed.where(closed))
-        if parts == 1:
+        closed = F.col("done") | (F.col("filled") + F.lit(smallest if smallest is not None else capacity + 1) > capacity)
+        left = packed.where(~closed).agg(F.count_distinct("bin")).first()[0] if parts > 1 else 0
+        fewer = max(-(-parts // fan_in), -(-left // items_per_part))
+        last = parts == 1 or left == 0 or fewer >= parts
+        if last:
+            closed = F.lit(True)
+        if level == 0:
+            finished, open_rows = packed.where(closed), packed.where(~closed)
+            state = open_rows.groupBy("part", "bin").agg(F.sum("length").alias("length")).select("part", F.col("bin").alias("first"), "length", "bin")
+        else:
+            final = save(packed.where(closed).select("first", "bin"), "went")
+            went = final if went is None else went.unionByName(final)
+            state = packed.where(~closed).select("part", "first", "length", "bin")
+        if last:
             break
-        parts, level = -(-parts // fan_in), level + 1
-        state = packed.where(~closed).withColumn("part", F.floor(F.col("part") / fan_in))
+        state = state.withColumn("part", F.floor(F.col("part") * fewer / parts).cast("long")).select("part", "first", "length", "bin", *marks[1:])
+        parts, level = fewer, level + 1
+    rows = finished.select("id", "start", "length", "bin")
+    if went is not None:
+        rows = rows.unionByName(open_rows.select("id", "start", "length", F.col("bin").alias("first")).join(went, "first").select("id", "start", "length", "bin"))
+        if level:
+            drop(packed)
     by = Window.partitionBy("bin").orderBy(F.col("length").desc(), F.col("id").asc_nulls_first(), "start")
-    return finished.select(F.col("bin").alias("bin_id"), F.row_number().over(by).cast("long").alias("slot"), F.col("id").alias(id_col), "start", "length")
+    return rows.select(F.col("bin").alias("bin_id"), F.row_number().over(by).cast("long").alias("slot"), F.col("id").alias(id_col), "start", "length")

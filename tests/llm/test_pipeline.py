@@ -7,9 +7,9 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codeloom.llm import line_dedup
 from test_operators import DOCS, brute_groups, edited, junk, odd, prose  # noqa: E402
 
 KEY = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
@@ -71,16 +71,22 @@ def test_run_gives_what_the_stages_give(spark, corpus):
 
 def test_stages_on_odd_documents(spark, corpus):
     docs = odd(spark).select(*DOCS.replace(",", "").split()[::2])
+    extra = docs.select("*", *(F.lit(3).alias(c) for c in ("__key", "__lines", "N_LINES", "keep", "bin", "a.b")))
     for name, stage in corpus_pipeline.STAGES:
-        docs2 = stage(spark, docs, corpus)
-        docs2.count()
-        stage(spark, docs.limit(0), corpus).count()
-
-
-def test_shares(spark):
-    df = spark.createDataFrame([(i, "x y\nown " + str(i)) for i in range(4)] + [(9, "x y")], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in line_dedup.line_dedup(df, max_docs=3, max_share=0.5).collect()}
-    assert got[0] == "own 0" and got[9] == "x y"
+        for some in (docs, extra):
+            out = stage(spark, some, corpus)
+            rows = out.collect()
+            assert stage(spark, some.limit(0), corpus).collect() == []
+            if name == "best_fit_packing":
+                assert sum(r.length for r in rows if r.doc_id == 5) == 30_000
+            elif name == "line_dedup":
+                assert len(rows) == 9 and sorted(r.text or "" for r in rows) == sorted(r.text or "" for r in some.collect())
+            elif name == "minhash_near_dedup":
+                assert len(rows) == 8 and out.dtypes == some.dtypes
+            elif name == "secret_scans":
+                assert len(rows) == 9 and out.dtypes == some.dtypes and all((r.text is None) == (r.n_chars is None) for r in rows)
+            else:
+                assert out.dtypes == some.dtypes and all(r in some.collect() for r in rows)
 
 
 def test_common_lines_go_even_where_they_are_most_of_a_document(spark):
