@@ -408,9 +408,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     whole, it is one symbol. Rounds are as many as a segment has symbols, at any size of the corpus. Equal segments go in once. Beside
     64-bit hashes of contexts, words are compared by 32 bits there.
 
-    A context of over hot_at occurrences, going by one document in SAMPLED, would make one task of them all. The most frequent HOT_KEYS of
-    these are settled the other way, with the same result: all windows around them are hashed and counted, which combines before it
-    shuffles. No other context has more than one part in HOT_KEYS of all occurrences.
+    A context of over hot_at documents, going by one in SAMPLED, would make one task of them all. The most frequent HOT_KEYS of these
+    are settled the other way, with the same result: all windows around them are hashed and counted, which combines before it
+    shuffles. No other context has more than about one part in HOT_KEYS of all.
 
     Null, empty and short texts have no rows. Rows equal in id and text are one document. A null id is kept. Long texts are searched
     whole. Other columns are not used.
@@ -429,7 +429,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         some = slim.withColumn("slot", F.pmod(F.xxhash64("doc"), F.lit(SLOTS))).join(slots, "slot", "left_semi").join(wanted, "doc").select("doc", "text", "wanted")
         return some.mapInArrow(_segments(least), "key bigint, whole bigint, doc bigint, begin int, left binary, right binary")
 
-    sample = keys_of(slim.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLED)) == 0)).groupBy("key").count().where(F.col("count") * SAMPLED >= hot_at)
+    sample = keys_of(slim.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLED)) == 0)).groupBy("key").agg(F.count_distinct("doc").alias("count")).where(F.col("count") * SAMPLED >= hot_at)
     hot = [r.key for r in sample.orderBy(F.col("count").desc(), "key").limit(HOT_KEYS).collect()]
     listed = spark.createDataFrame([(k,) for k in hot], "key bigint")
     keys, w = keys_of(slim), Window.partitionBy("key")
