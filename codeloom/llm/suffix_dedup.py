@@ -145,7 +145,7 @@ def range_minima(parts: Iterator[np.ndarray], chunk: int, first: np.ndarray, las
     return out
 
 
-def collection_bwt(symbols: np.ndarray, lengths: np.ndarray, folder: str, chunk: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def collection_bwt(symbols: np.ndarray, lengths: np.ndarray, folder: str, chunk: int = 1 << 18, counted: int = 1 << 23) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Suffixes of all documents of a collection in order, in parts: (document, length of the suffix, LCP with the suffix before).
 
     symbols holds the documents back to front, one row each: column j is the j-th symbol from the end, a number from 0 up. The
@@ -154,7 +154,8 @@ def collection_bwt(symbols: np.ndarray, lengths: np.ndarray, folder: str, chunk:
     prefix with a neighbour cS' is one more than the least of those between S' and S. End marks sort before all symbols, by document.
 
     The BWT, the common prefixes, the places of rests and the owners of suffixes are files, read from front to end in parts of `chunk`
-    entries and written anew in order in every round. Memory holds some numbers for each document and a part of each file.
+    entries and written anew in order in every round. Memory holds some numbers for each document, a part of each file, and, for
+    collections of up to `counted` suffixes, a count for each place, which is looked up faster than it is searched for.
     """
     m, longest = symbols.shape
     files, low = Streams(folder, chunk), np.int64((1 << 32) - 1)
@@ -196,7 +197,11 @@ def collection_bwt(symbols: np.ndarray, lengths: np.ndarray, folder: str, chunk:
             common, same = np.zeros(len(here), np.int16), here >> 32 == there >> 32
             if same.any():
                 common[same] = 1 + range_minima(files.parts("lcp"), chunk, (there[same] & low) + 1, here[same] & low)
-            moved = lambda x: x + np.searchsorted(goes, x, "right")
+            if total <= counted:
+                fewer = np.cumsum(np.bincount(goes, minlength=total + 1)).astype(np.int32)  # new suffixes at or before a place
+                moved = lambda x: x + fewer[x]
+            else:
+                moved = lambda x: x + np.searchsorted(goes, x, "right")
             nxt = np.full(len(live), -1, np.int32)
             if j + 1 < longest:
                 more = lengths[live] > j + 1
@@ -209,7 +214,7 @@ def collection_bwt(symbols: np.ndarray, lengths: np.ndarray, folder: str, chunk:
                         end = s + len(a) == total
                         e = len(goes) if end else np.searchsorted(goes, s + len(a))
                         if name == "order":
-                            a = np.where(a >= 0, a & ~low | moved(a & low), a)
+                            a = np.where(a >= 0, a & ~low | moved(np.where(a >= 0, a & low, 0)), a)
                         elif name == "lcp":
                             c, d = np.searchsorted(goes[ends], [s, s + len(a)])
                             a = a.copy()

@@ -547,7 +547,7 @@ def test_collection_bwt(tmp_path, chunk):
         symbols = np.full((len(texts), max(1, lengths.max())), -1, np.int32)
         for i, t in enumerate(texts):
             symbols[i, : len(t)] = t[::-1]
-        parts = list(suffix_dedup.collection_bwt(symbols, lengths, f"file://{tmp_path}", chunk))
+        parts = list(suffix_dedup.collection_bwt(symbols, lengths, f"file://{tmp_path}", chunk, 0 if chunk == 1 else 20))
         assert max(len(p[0]) for p in parts) <= chunk
         doc, size, lcp = (np.concatenate(x) for x in zip(*parts))
         want = sorted(((t[len(t) - k :], i, k) for i, t in enumerate(texts) for k in range(len(t) + 1)), key=lambda z: [(x + 1, 0) for x in z[0]] + [(0, z[1])])
