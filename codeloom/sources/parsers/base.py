@@ -7,6 +7,7 @@ import json
 import re
 from bisect import bisect_right
 from dataclasses import dataclass
+from functools import cached_property
 
 SNIPPET = 500
 
@@ -78,6 +79,17 @@ class Lines:
         return k + 1, place - b if self.ascii else len(self.source[b:place].encode("utf-8", "replace"))
 
 
+class Closing(dict):
+    """Where brackets close. What is no bracket, or wasn't found, closes at the end."""
+
+    def __init__(self, end: int):
+        super().__init__()
+        self.end = end
+
+    def __missing__(self, k: int) -> int:
+        return self.end
+
+
 class Lexer:
     """Tokens of a language with braces; comments and white space are left out. It never fails: what it can't read is punctuation."""
 
@@ -178,7 +190,7 @@ class Lexer:
         i += 1
         while i < stop and self.s[i] != "`":
             i += 2 if self.s[i] == "\\" else 1
-        return i + 1
+        return min(stop, i + 1)
 
     def _regex_may_begin(self) -> bool:
         if not self.tokens:
@@ -188,7 +200,7 @@ class Lexer:
 
     def _brackets(self) -> dict[int, int]:
         """For each opening bracket the index of the one that closes it, the end if none does."""
-        out, open_ = {}, []
+        out, open_ = Closing(len(self.tokens) - 1), []
         pairs = {")": "(", "]": "[", "}": "{"}
         for k, t in enumerate(self.tokens):
             if t.kind != "punct":
@@ -229,19 +241,24 @@ class Walker:
     def code(self, first: int, last: int) -> str:
         return self.source[self.t[first].start : self.t[min(last, len(self.t) - 1)].end]
 
+    @cached_property
+    def angles(self) -> dict[int, int]:
+        """For each < the index of the > that closes it, where no statement or block ends between."""
+        out, open_ = {}, []
+        for k, t in enumerate(self.t):
+            if t.kind == "string":
+                continue
+            if t.text == "<":
+                open_.append(k)
+            elif t.text == ">" and open_:
+                out[open_.pop()] = k
+            elif t.text in (";", "{", "}"):
+                open_.clear()
+        return out
+
     def skip_angles(self, k: int) -> int:
         """The place after <...> that begins at k, or k if none does."""
-        if self.text(k) != "<":
-            return k
-        depth = 0
-        for i in range(k, min(len(self.t), k + 400)):
-            x = self.text(i)
-            depth += (x == "<") - (x == ">")
-            if not depth:
-                return i + 1
-            if x in (";", "{", "}"):
-                break
-        return k
+        return self.angles[k] + 1 if k in self.angles else k
 
     def find(self, k: int, wanted: str, stop: int | None = None) -> int:
         """The first of the wanted marks from k on, brackets jumped over; -1 if stop comes first."""

@@ -57,7 +57,7 @@ class Java(Walker):
                 at = i + 1 if x in ("extends", "implements") else None
                 i += 1
             else:
-                i = self.skip_angles(i) if x == "<" else i + 1
+                i = max(i + 1, self.skip_angles(i))
         self.members(body + 1, last, me, name)
         return last
 

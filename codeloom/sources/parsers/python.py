@@ -1,4 +1,4 @@
-"""Python, by the ast module. Files with syntax errors raise."""
+"""Python, by the ast module. In a file with syntax errors, the lines at fault are passed over."""
 
 from __future__ import annotations
 
@@ -11,13 +11,41 @@ EXTENSIONS = {".py"}
 LANGUAGE = "python"
 
 
+def _mended(lines: list[str]) -> ast.Module:
+    """The tree of some lines, those at fault being read as `pass`, or if that doesn't help as blank."""
+    lines, tries = list(lines), [0] * len(lines)
+    while True:
+        try:
+            return ast.parse("\n".join(lines))
+        except (SyntaxError, ValueError) as e:
+            k = min(max((getattr(e, "lineno", None) or 1) - 1, 0), len(lines) - 1)
+            while k and tries[k] == 2:
+                k -= 1
+            if tries[k] == 2:  # nothing before is left to give up
+                k = next((i for i, t in enumerate(tries) if t < 2), None)
+                if k is None:
+                    return ast.Module([], [])
+            lines[k] = re.match(r"\s*", lines[k])[0] + "pass" if not tries[k] else ""
+            tries[k] += 1
+
+
+def _trees(source: str) -> list[ast.Module]:
+    """One tree, or of a file with errors one for each of its outermost statements."""
+    try:
+        return [ast.parse(source)]
+    except (SyntaxError, ValueError):
+        lines = source.split("\n")
+    starts = [k for k, x in enumerate(lines) if re.match(r"[\w@]", x) and not re.match(r"(else|elif|except|finally)\b", x) and not (k and lines[k - 1].startswith("@"))]
+    return [ast.increment_lineno(_mended(lines[b:e]), b) for b, e in zip([0, *starts[1:]], [*starts[1:], len(lines)])]
+
+
 def _docstring(node: ast.AST, source_bytes: bytes, starts: list[int]) -> str | None:
     first = node.body[0] if node.body else None
     if not (isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str)):
         return None
     v = first.value
     raw = source_bytes[starts[v.lineno - 1] + v.col_offset : starts[v.end_lineno - 1] + v.end_col_offset].decode("utf-8", "replace")
-    for q in ('"' * 3, "'" * 3, '"', "'"):
+    for q in ('"""', "'''", '"', "'"):
         if raw.startswith(q) and raw.endswith(q):
             raw = raw[len(q) : -len(q)]
             break
@@ -26,7 +54,7 @@ def _docstring(node: ast.AST, source_bytes: bytes, starts: list[int]) -> str | N
 
 def parse(path: str, source: str) -> Graph:
     g = Graph(path, source, LANGUAGE)
-    tree = ast.parse(source)
+    trees = _trees(source)
     data = source.encode("utf-8", "replace")
     starts = [0, *(m.end() for m in re.finditer(rb"\n", data))]
 
@@ -39,7 +67,7 @@ def parse(path: str, source: str) -> Graph:
     def from_names(n: ast.ImportFrom) -> list[tuple[str, int, int]]:
         return [(a.name, a.lineno, a.col_offset) for a in n.names if a.name != "*"]
 
-    todo: list[tuple[ast.AST, str]] = [(tree, g.file_id)]
+    todo: list[tuple[ast.AST, str]] = [(t, g.file_id) for t in reversed(trees)]
     while todo:
         n, parent = todo.pop()
         inner = parent

@@ -20,7 +20,7 @@ FILES = {
     "utils/__init__.py": "",
     "utils/helpers.py": 'from main import main\n\ndef greet(name):\n    """Greets somebody."""\n    return add(name, 1)\n\ndef add(a, b):\n    return add(a, b)\n\ndef unused():\n    pass\n',
     "node_modules/x/skip.js": "function skipped() {}",
-    "bad.py": "def (:\n",
+    "bad.py": "x = " + "-" * 200_000 + "1\n",  # too deep for any parser
     "gen/out.py": "def generated(): pass\n",
     ".gitignore": "gen/\n",
 }
