@@ -59,9 +59,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Only hashes are shuffled. The hashes over the threshold go to executors as a sorted array if there are at most
     broadcast_entries of them, else through a join by row.
     """
-    lines = F.array_distinct(_hashes(F.col(text_col)))
-    doc = F.coalesce(F.col(id_col).cast("string"), F.lit("\0null")) if copies_count else F.xxhash64(F.array_sort(lines))
-    seen = docs.select(doc.alias("d"), F.explode(lines).alias("h")).where("h is not null")
+    doc = F.coalesce(F.col(id_col).cast("string"), F.lit("\0null")) if copies_count else F.lit(None)
+    own = docs.select(doc.alias("d"), F.array_distinct(_hashes(F.col(text_col))).alias("lines"))
+    if not copies_count:  # below the explode, so that it is made once a document and not once a line
+        own = own.select(F.xxhash64(F.sort_array("lines")).alias("d"), "lines")
+    seen = own.select("d", F.explode("lines").alias("h")).where("h is not null")
     hot = seen.groupBy("h").agg(F.count_distinct("d").alias("n")).where(F.col("n") > max_docs).select("h")
     found = [r.h for r in hot.limit(broadcast_entries + 1).toLocalIterator()]
     kept_names, (split, hashes, gone, key, some) = columns(docs, "n_lines", "n_dropped"), fresh(docs, "__lines", "__hashes", "__gone", "__key", "__set")
