@@ -51,13 +51,13 @@ class CodeGraph:
         return traverse.save(search.pick_symbol(self.nodes, name), "pick")
 
     def node(self, node_id: str) -> DataFrame:
-        return self.nodes.where(F.col("id") == node_id)
+        return search.by_id(self.nodes, node_id)
 
     def by_name(self, name: str, kind: str | None = None) -> DataFrame:
-        return search.filtered(self.nodes, kind).where(F.col("name") == name).orderBy("file_path", F.col("line_start").asc_nulls_first(), "seq", "id")
+        return search.by_name(self.nodes, name, kind)
 
     def in_file(self, path: str) -> DataFrame:
-        return self.nodes.where(F.col("file_path") == path).orderBy(F.col("line_start").asc_nulls_first(), "seq", "id")
+        return search.in_file(self.nodes, path)
 
     def context(self, node_id: str, depth: int = 1) -> dict[str, DataFrame]:
         return traverse.context(node_id, self.nodes, self.edges, depth)
@@ -134,7 +134,7 @@ class CodeGraph:
         return analysis.hotspots(self.nodes, self.refs, limit, min_references)
 
     def metrics(self, name: str) -> DataFrame:
-        return analysis.symbol_metrics(self.nodes, self.edges, self.refs, name)
+        return analysis.symbol_metrics(self.nodes, self.edges, self.refs, name, self.out)
 
     def cycles(self) -> DataFrame:
         return cycles.import_cycles(self.table("file_imports"))
@@ -150,8 +150,7 @@ class CodeGraph:
         return out | {"store_bytes": self.store.size()}
 
     def languages(self) -> DataFrame:
-        """(language, files, nodes)."""
-        return self.nodes.groupBy("language").agg(F.count_distinct("file_path").alias("files"), F.count("*").alias("nodes")).orderBy(F.col("nodes").desc(), "language")
+        return analysis.languages(self.nodes)
 
     def diff(self, root: str, ref: str) -> DataFrame:
         """Symbols added and removed in a working tree since ref; the store isn't used."""
@@ -168,4 +167,4 @@ class CodeGraph:
         return {"dot": export.to_dot, "json": export.to_json, "html": export.to_html}[form](n, e)
 
     def architecture(self) -> str:
-        return export.architecture_mermaid(self.nodes, self.edges, self.refs)
+        return export.architecture_mermaid(self.nodes, self.edges, self.refs, self.table("sites"))

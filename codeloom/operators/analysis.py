@@ -34,20 +34,22 @@ def hotspots(nodes: DataFrame, refs: DataFrame, limit: int | None = 20, min_refe
     return out if limit is None else out.orderBy(F.col("references").desc(), "name", "file_path", F.col("line_start").asc_nulls_first(), "id").limit(limit)
 
 
-def fan_out(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, fan_out) of nodes with outgoing calls or base types: distinct definitions that these resolve to."""
-    return resolved_out(nodes, edges).groupBy(F.col("source_id").alias("id")).agg(F.count_distinct("resolved_id").alias("fan_out"))
+def fan_out(nodes: DataFrame, edges: DataFrame, out: DataFrame | None = None) -> DataFrame:
+    """(id, fan_out) of nodes with outgoing calls or base types: distinct definitions that these resolve to. out: resolved_out, if made."""
+    return (resolved_out(nodes, edges) if out is None else out).groupBy(F.col("source_id").alias("id")).agg(F.count_distinct("resolved_id").alias("fan_out"))
 
 
-def symbol_metrics(nodes: DataFrame, edges: DataFrame, refs: DataFrame, name: str | None = None) -> DataFrame:
+def symbol_metrics(nodes: DataFrame, edges: DataFrame, refs: DataFrame, name: str | None = None, out: DataFrame | None = None) -> DataFrame:
     """(id, name, kind, file_path, fan_in, fan_out, loc) of definitions, or of those with one exact name. loc is null without lines."""
     d = definitions(nodes)
     if name is not None:
         d = d.where(F.col("name") == name)
         refs = refs.join(d.select(F.col("id").alias("node_id")), "node_id", "left_semi")
-    some = edges if name is None else edges.join(d.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+    if name is not None:
+        own = d.select(F.col("id").alias("source_id"))
+        edges, out = edges.join(own, "source_id", "left_semi"), out if out is None else out.join(own, "source_id", "left_semi")
     ins = refs.groupBy(F.col("node_id").alias("id")).agg(F.count_distinct("referrer_id").alias("fan_in"))
-    return d.join(ins, "id", "left").join(fan_out(nodes, some), "id", "left").select(
+    return d.join(ins, "id", "left").join(fan_out(nodes, edges, out), "id", "left").select(
         "id", "name", "kind", "file_path", F.coalesce("fan_in", F.lit(0)).alias("fan_in"), F.coalesce("fan_out", F.lit(0)).alias("fan_out"), (F.col("line_end") - F.col("line_start") + 1).alias("loc")
     )
 
@@ -65,22 +67,28 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def languages(nodes: DataFrame) -> DataFrame:
+    """(language, files, nodes), the most nodes first."""
+    return nodes.groupBy("language").agg(F.count_distinct("file_path").alias("files"), F.count("*").alias("nodes")).orderBy(F.col("nodes").desc(), "language")
+
+
 def stats_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     """(metric, key, delta) of two tables of statistics, where they differ."""
     j = before.withColumnRenamed("value", "was").join(after, ["metric", "key"], "full")
     return j.select("metric", "key", (F.coalesce("value", F.lit(0)) - F.coalesce("was", F.lit(0))).alias("delta")).where("delta <> 0")
 
 
-def component_deps(nodes: DataFrame, refs: DataFrame) -> DataFrame:
+def component_deps(nodes: DataFrame, refs: DataFrame, sites: DataFrame | None = None) -> DataFrame:
     """(src_file, dst_file, kinds) between different architecture files: references to any definition or stub, and calls that resolve
-    into another file even if nothing makes them."""
+    into another file even if nothing makes them. sites: resolved_sites, if made."""
     places = nodes.where(is_architecture_file(F.col("file_path"))).select("id", "file_path", "kind", "name")
     targets = places.where(F.col("kind").isin(*DEFINITION_KINDS)).select(F.col("id").alias("node_id"), F.col("file_path").alias("dst_file"))
     sources = places.select(F.col("id").alias("referrer_id"), F.col("file_path").alias("src_file"))
     by_ref = refs.select("node_id", "referrer_id", "kind").join(targets, "node_id").join(sources, "referrer_id").select("src_file", "dst_file", "kind")
     calls = places.where("kind = 'call'").select(F.col("file_path").alias("ref_file"), "name").distinct()
     files = definitions(nodes).where(is_architecture_file(F.col("file_path"))).select(F.col("id").alias("def_id"), F.col("file_path").alias("dst_file"))
-    by_call = resolve_sites(calls, nodes).join(files, "def_id").select(F.col("ref_file").alias("src_file"), "dst_file", F.lit("calls").alias("kind"))
+    found = resolve_sites(calls, nodes) if sites is None else sites.join(calls, ["ref_file", "name"], "left_semi")
+    by_call = found.join(files, "def_id").select(F.col("ref_file").alias("src_file"), "dst_file", F.lit("calls").alias("kind"))
     return by_ref.unionByName(by_call).where("src_file <> dst_file").groupBy("src_file", "dst_file").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from codeloom.sources.tables import save
 
+#: Graphs of up to so many edges are settled in the driver, with the same result.
+LOCAL_EDGES = 200_000
+
 
 def trim(edges: DataFrame) -> DataFrame:
     """edges (src, dst) without those at vertices that nothing enters or nothing leaves, over and over: these are in no cycle."""
@@ -32,12 +35,55 @@ def _labels(edges: DataFrame, vertices: DataFrame) -> DataFrame:
         labels = new.select("v", "label")
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def _components(edges: list[tuple[str, str]]) -> dict[str, str]:
+    """The vertices on cycles, each with the least of its component: Tarjan's algorithm with a stack of its own."""
+    of: dict[str, list[str]] = {}
+    for a, b in edges:
+        of.setdefault(a, []).append(b)
+    order, low, stack, on, found = {}, {}, [], set(), {}
+    for root in of:
+        if root in order:
+            continue
+        work = [(root, iter(of[root]))]
+        order[root] = low[root] = len(order)
+        stack.append(root)
+        on.add(root)
+        while work:
+            v, rest = work[-1]
+            for w in rest:
+                if w not in order:
+                    order[w] = low[w] = len(order)
+                    stack.append(w)
+                    on.add(w)
+                    work.append((w, iter(of.get(w, ()))))
+                    break
+                if w in on:
+                    low[v] = min(low[v], order[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == order[v]:
+                    part = []
+                    while not part or part[-1] != v:
+                        part.append(stack.pop())
+                        on.discard(part[-1])
+                    if len(part) > 1 or v in of.get(v, ()):
+                        found |= dict.fromkeys(part, min(part))
+    return found
+
+
+def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(v, component): the vertices on cycles, each with the least vertex of its strongly connected component. Self-loops count.
 
-    In each round the least vertex that reaches each vertex is found forwards; the vertices that reach it back, within its colour, are
-    its component. These go, the rest is trimmed, and the next round begins.
+    Up to local_edges edges are gathered and settled at once. Beyond that, in each round the least vertex that reaches each vertex is
+    found forwards; the vertices that reach it back, within its colour, are its component. These go, the rest is trimmed, and the next
+    round begins.
     """
+    edges = edges.select("src", "dst").distinct()
+    some = edges.limit(local_edges + 1).collect()
+    if len(some) <= local_edges:
+        return edges.sparkSession.createDataFrame(sorted(_components([(r.src, r.dst) for r in some]).items()), "v string, component string")
     loops = edges.where("src = dst").select(F.col("src").alias("v")).distinct()
     left, done = trim(edges.where("src <> dst")), None
     while left.limit(1).count():
@@ -64,43 +110,49 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 
 def witness(members: list[str], edges: dict[str, list[str]]) -> list[str]:
-    """A cycle through the least member of a component, back to where it began: the first by depth-first search, neighbours in order."""
+    """The shortest cycle through the least member of a component, back to where it began; of several, the first in order of names."""
     inside, start = set(members), min(members)
-    path, iters, seen = [start], [iter(sorted(x for x in edges.get(start, []) if x in inside))], {start}
-    while path:
-        for nxt in iters[-1]:
-            if nxt == start:
-                return [*path, start]
-            if nxt not in seen:
-                seen.add(nxt)
-                path.append(nxt)
-                iters.append(iter(sorted(x for x in edges.get(nxt, []) if x in inside)))
-                break
-        else:
-            path.pop()
-            iters.pop()
+    level, seen = {start: (start,)}, {start}
+    while level:
+        back = [p for v, p in level.items() if start in edges.get(v, ())]
+        if back:
+            return [*min(back), start]
+        further: dict[str, tuple] = {}
+        for v, p in level.items():
+            for w in edges.get(v, ()):
+                if w in inside and w not in seen:
+                    further[w] = min(further.get(w, (*p, w)), (*p, w))
+        seen |= further.keys()
+        level = further
     return []
 
 
-def import_cycles(file_imports: DataFrame) -> DataFrame:
-    """(component, size, files, cycle), greatest first: groups of files that import each other, and one cycle in each."""
+def _witnesses(inside: DataFrame, local_edges: int) -> DataFrame:
+    """(component, cycle) for the edges (component, src, dst) within components, all components a level at a time."""
+    spark, out = inside.sparkSession, "component string, cycle array<string>"
+    some = inside.limit(local_edges + 1).collect()
+    if len(some) <= local_edges:
+        of: dict[str, dict[str, list[str]]] = {}
+        for r in some:
+            of.setdefault(r.component, {}).setdefault(r.src, []).append(r.dst)
+        return spark.createDataFrame([(c, witness(list(e), e)) for c, e in sorted(of.items())], out)
+    level = inside.select("component", F.col("component").alias("at"), F.array("component").alias("path")).distinct()
+    seen, found = level.select("component", "at"), spark.createDataFrame([], out)
+    while True:
+        steps = save(level.join(inside.select("component", F.col("src").alias("at"), "dst"), ["component", "at"]).groupBy("component", "dst").agg(F.min(F.concat("path", F.array("dst"))).alias("path")), "cycles")
+        found = found.unionByName(steps.where("dst = component").select("component", F.col("path").alias("cycle")))
+        on = steps.join(steps.where("dst = component").select("component"), "component", "left_anti").withColumnRenamed("dst", "at").join(seen, ["component", "at"], "left_anti")
+        level = save(on.select("component", "at", "path"), "cycles")
+        if not level.limit(1).count():
+            return found
+        seen = seen.unionByName(level.select("component", "at"))
+
+
+def import_cycles(file_imports: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(component, size, files, cycle), greatest first: groups of files that import each other, and one shortest cycle in each."""
     e = save(file_imports.select(F.col("src_file").alias("src"), F.col("dst_file").alias("dst")), "imports")
-    members = save(strong_components(e), "components")
-    inside = e.join(members.select(F.col("v").alias("src"), "component"), "src").join(members.select(F.col("v").alias("dst"), F.col("component").alias("c2")), "dst").where("component = c2")
-    edges = inside.groupBy("component").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
-    files = members.groupBy("component").agg(F.sort_array(F.collect_list("v")).alias("files"))
-
-    def with_cycle(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            cycles = []
-            for fs, es in zip(pdf["files"], pdf["edges"]):
-                of: dict[str, list[str]] = {}
-                for x in es:
-                    of.setdefault(x["src"], []).append(x["dst"])
-                cycles.append(witness(list(fs), of))
-            yield pd.DataFrame({"component": pdf["component"], "size": [len(f) for f in pdf["files"]], "files": pdf["files"], "cycle": cycles})
-
-    out = files.join(edges, "component").select("component", "files", "edges").mapInPandas(with_cycle, "component string, size bigint, files array<string>, cycle array<string>")
+    members = save(strong_components(e, local_edges), "components")
+    inside = save(e.join(members.select(F.col("v").alias("src"), "component"), "src").join(members.select(F.col("v").alias("dst"), F.col("component").alias("c2")), "dst").where("component = c2").select("component", "src", "dst"), "inside")
+    files = members.groupBy("component").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("v")).alias("files"))
+    out = files.join(_witnesses(inside, local_edges), "component").select("component", "size", "files", "cycle")
     return out.orderBy(F.col("size").desc(), F.col("files")[0])

@@ -16,6 +16,7 @@ from codeloom.functions.names import LAYER_LABELS, component_role, is_architectu
 from codeloom.operators.analysis import component_deps, layer_top, stats
 from codeloom.operators.search import filtered
 from codeloom.schema import Maybe
+from codeloom.sources.tables import save
 
 LAYER_ORDER = "entrypoints queries graph parsers indexer static other".split()
 
@@ -68,17 +69,23 @@ def to_dot(nodes: DataFrame, edges: DataFrame) -> str:
     return "\n".join([*head, *_lines(n, F.col("line"), "seq", "id"), *_lines(e, F.col("line"), "seq", "source_id", "target_id"), "}"])
 
 
-def to_mermaid(nodes: DataFrame, edges: DataFrame, diagram_type: str = "flowchart") -> str:
+def mermaid_lines(nodes: DataFrame, edges: DataFrame, diagram_type: str = "flowchart") -> tuple[DataFrame, DataFrame]:
+    """The same for Mermaid; of a class diagram, a block for each class, method and function."""
     if diagram_type == "classDiagram":
         arrow = _per_kind({"contains": "*--", "inherits": "--|>"} | dict.fromkeys(("imports", "calls"), "..>"), "-->")
         shown = nodes.where(F.col("kind").isin("class", "method", "function")).withColumn("at", _per_kind({"class": "0", "method": "1"}, "2"))
         block = F.concat(F.lit("  class "), _id("id", "n"), F.lit(" {\n    %% "), F.col("name"), F.when(F.col("kind") == "class", "").otherwise("()"), F.lit("\n  }"))
         link = F.concat(F.lit("  "), _id("source_id", "n"), F.lit(" "), arrow, F.lit(" "), _id("target_id", "n"))
-        return "\n".join(["classDiagram", *_lines(shown, block, "at", "seq", "id"), *_lines(edges, link, "seq", "source_id", "target_id")])
+        return shown.select("at", "seq", "id", block.alias("line")), edges.select("seq", "source_id", "target_id", link.alias("line"))
     left, right = _per_kind({"class": "[[", "function": "(", "method": ">"}, "{"), _per_kind({"class": "]]", "function": ")", "method": "]"}, "}")
     box = F.concat(F.lit("  "), _id("id", "n"), left, F.lit('"'), F.replace(F.col("name"), F.lit('"'), F.lit("'")), F.lit('"'), right)
     link = F.concat(F.lit("  "), _id("source_id", "n"), F.lit(" -->|"), F.col("kind"), F.lit("| "), _id("target_id", "n"))
-    return "\n".join(["flowchart LR", *_lines(nodes, box, "seq", "id"), *_lines(edges, link, "seq", "source_id", "target_id")])
+    return nodes.select(F.lit("0").alias("at"), "seq", "id", box.alias("line")), edges.select("seq", "source_id", "target_id", link.alias("line"))
+
+
+def to_mermaid(nodes: DataFrame, edges: DataFrame, diagram_type: str = "flowchart") -> str:
+    n, e = mermaid_lines(nodes, edges, diagram_type)
+    return "\n".join(["classDiagram" if diagram_type == "classDiagram" else "flowchart LR", *_lines(n, F.col("line"), "at", "seq", "id"), *_lines(e, F.col("line"), "seq", "source_id", "target_id")])
 
 
 NODE_FIELDS = ("id", "name", "kind", "file_path", "language", "line_start", "line_end", "docstring")
@@ -97,12 +104,18 @@ def to_json(nodes: DataFrame, edges: DataFrame) -> str:
     return json.dumps(data, indent=2)
 
 
-def html_payload(nodes: DataFrame, edges: DataFrame) -> str:
-    """The graph as JSON that can stand inside a script element."""
+def html_lines(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """JSON of each node, val being its degree, and of each link."""
     sized = nodes.join(degrees(nodes, edges).withColumnRenamed("degree", "val"), "id")
     options = {"ignoreNullFields": "false"}
-    n = _lines(sized, F.to_json(F.struct(*NODE_FIELDS, "val"), options), "seq", "id")
-    e = _lines(edges, F.to_json(F.struct(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "kind"), options), "seq", "source_id", "target_id")
+    n = sized.select("seq", "id", F.to_json(F.struct(*NODE_FIELDS, "val"), options).alias("line"))
+    return n, edges.select("seq", "source_id", "target_id", F.to_json(F.struct(F.col("source_id").alias("source"), F.col("target_id").alias("target"), "kind"), options).alias("line"))
+
+
+def html_payload(nodes: DataFrame, edges: DataFrame) -> str:
+    """The graph as JSON that can stand inside a script element."""
+    of_nodes, of_links = html_lines(nodes, edges)
+    n, e = _lines(of_nodes, F.col("line"), "seq", "id"), _lines(of_links, F.col("line"), "seq", "source_id", "target_id")
     return f'{{"nodes": [{", ".join(n)}], "links": [{", ".join(e)}]}}'.replace("</", "<\\/")
 
 
@@ -127,7 +140,15 @@ def _component_id(path: str, prefix: str) -> str:
     return "comp_" + re.sub(r"src[\\/]", "", rel).translate(str.maketrans("\\/.-", "____"))
 
 
-def architecture_mermaid(nodes: DataFrame, edges: DataFrame, refs: DataFrame) -> str:
+def architecture(nodes: DataFrame, refs: DataFrame, sites: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The components to show, with their layer, place, role, stem, symbols and degree, and the dependencies between them."""
+    deps = save(component_deps(nodes, refs, sites), "deps")
+    top = save(layer_top(nodes, deps).withColumns({"role": component_role(F.col("file_path")), "stem": stem(F.col("file_path"))}), "top")
+    chosen = top.select("file_path")  # some components of each layer
+    return top, deps.join(chosen.withColumnRenamed("file_path", "src_file"), "src_file", "left_semi").join(chosen.withColumnRenamed("file_path", "dst_file"), "dst_file", "left_semi").select("src_file", "dst_file", "kinds").orderBy("src_file", "dst_file")
+
+
+def architecture_mermaid(nodes: DataFrame, edges: DataFrame, refs: DataFrame, sites: DataFrame | None = None) -> str:
     """Layers with their main components, what these depend on, and totals."""
     if not nodes.limit(1).count():
         return "graph TD\n  empty[The graph is empty: run init]"
@@ -136,11 +157,7 @@ def architecture_mermaid(nodes: DataFrame, edges: DataFrame, refs: DataFrame) ->
     if ends["a"] is None:
         return "graph TD\n  empty[There is no component to show]"
     prefix = common_prefix([ends["a"], ends["z"]])  # what the least and the greatest path share, all share
-    deps = component_deps(nodes, refs).cache()
-    top = layer_top(nodes, deps).withColumns({"role": component_role(F.col("file_path")), "stem": stem(F.col("file_path"))}).collect()
-    chosen = nodes.sparkSession.createDataFrame([(r.file_path,) for r in top], "f string")
-    shown = deps.join(chosen.withColumnRenamed("f", "src_file"), "src_file", "left_semi").join(chosen.withColumnRenamed("f", "dst_file"), "dst_file", "left_semi").orderBy("src_file", "dst_file").collect()
-    deps.unpersist()
+    top, shown = (x.collect() for x in architecture(nodes, refs, sites))
     out = ["graph TD", *(f"  classDef {name}Class fill:{fill},stroke:#445" for name, fill in (("layer", "#dce9fb"), ("component", "#eef7ee"), ("stats", "#fbf3da")))]
     for name in LAYER_ORDER:
         rows = sorted((r for r in top if r.layer == name), key=lambda r: r.place)

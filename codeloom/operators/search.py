@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.names import substring_like
 from codeloom.schema import Maybe
+from codeloom.sources.tables import save
 
 _RANKS = ("function", "method", "class", "call", "import", "file")
 K1, B = 1.2, 0.75
@@ -31,6 +32,18 @@ def filtered(nodes: DataFrame, kind: Maybe = None, language: Maybe = None) -> Da
     return nodes.where(F.col("language") == language) if language else nodes
 
 
+def by_id(nodes: DataFrame, node_id: str) -> DataFrame:
+    return nodes.where(F.col("id") == node_id)
+
+
+def by_name(nodes: DataFrame, name: str, kind: Maybe = None) -> DataFrame:
+    return filtered(nodes, kind).where(F.col("name") == name).orderBy("file_path", F.col("line_start").asc_nulls_first(), "seq", "id")
+
+
+def in_file(nodes: DataFrame, path: str) -> DataFrame:
+    return nodes.where(F.col("file_path") == path).orderBy(F.col("line_start").asc_nulls_first(), "seq", "id")
+
+
 def search_nodes(nodes: DataFrame, text: str, kind: Maybe = None, language: Maybe = None, limit: int = 50) -> DataFrame:
     """Nodes whose name holds text: an exact name first, then by kind, name, and place."""
     hits = filtered(nodes, kind, language).where(substring_like(F.col("name"), text))
@@ -181,13 +194,14 @@ def full_text(rows: DataFrame, query: str, id_col: str = "id", columns: tuple[st
 
     A phrase has to stand within one column. Scores are Okapi BM25 (k1 1.2, b 0.75) over phrases: each counts with its own frequency in
     the row and number of rows, and idf is 1e-6 at least; lengths are summed over columns. Statistics are taken over all rows, so
-    filter results, not rows. Everything is one pass over the tokens and one row of statistics.
+    filter results, not rows. Everything is one pass over the tokens, whose counts are saved, and one row of statistics.
     """
     q = parse_query(query)
     units = phrases(q)
     words = postings(rows, id_col, columns)
     total = lambda f: F.aggregate(F.transform("cols", f), F.lit(0), lambda a, x: a + x)
     freq = words.select("id", total(lambda w: F.size(w)).alias("len"), *(total(_counter(p)).alias(f"f{i}") for i, p in enumerate(units)))
+    freq = save(freq, "counts")
     stats = freq.agg(F.count("*").alias("rows"), F.avg("len").alias("avg"), *(F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(units))))
     number = iter(range(len(units)))
 

@@ -61,25 +61,20 @@ def shortest_path(start: DataFrame, nodes: DataFrame, resolved_out: DataFrame, t
     if first is None:
         return None
     step = resolved_out.select(F.col("source_id").alias("src"), F.col("resolved_id").alias("dst"), F.when(F.col("kind") == "calls", 0).otherwise(1).alias("k"), "seq")
-    seen = start.select("id", F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("place"))
-    frontier = seen
+    frontier = start.select("id", F.array("id").alias("path"), F.lit(0).cast("long").alias("place"))
+    seen = start.select("id")
     for _ in range(max_depth):
-        reached = frontier.join(step, frontier.id == step.src).select(F.col("dst").alias("id"), F.struct("place", "k", "seq", "src").alias("how")).groupBy("id").agg(F.min("how").alias("how"))
-        fresh = reached.join(seen.select("id"), "id", "left_anti").join(nodes.select("id", "name"), "id")
+        reached = frontier.join(step, frontier.id == step.src).select(F.col("dst").alias("id"), F.struct("place", "k", "seq", "src", "path").alias("how")).groupBy("id").agg(F.min("how").alias("how"))
+        fresh = reached.join(seen, "id", "left_anti").join(nodes.select("id", "name"), "id")
         # Places within a level are dense only per partition of the sort; their order is all that matters.
-        fresh = save(fresh.select("id", F.col("how.src").alias("parent"), "name", "how"), "why")
-        hit = fresh.where(F.col("name") == target_name).orderBy("how", "id").select("id", "parent").first()
+        fresh = save(fresh.select("id", F.concat("how.path", F.array("id")).alias("path"), "name", "how"), "why")
+        hit = fresh.where(F.col("name") == target_name).orderBy("how", "id").select("path").first()
         if hit is not None:
-            path, parent = [hit["id"]], hit["parent"]
-            while parent is not None:
-                path.append(parent)
-                parent = seen.where(F.col("id") == parent).select("parent").first()["parent"]
-            return path[::-1]
+            return list(hit["path"])
         if fresh.limit(1).count() == 0:
             return None
-        ranked = fresh.orderBy("how", "id").select("id", "parent", F.monotonically_increasing_id().alias("place"))
-        frontier = save(ranked, "why")
-        seen = save(seen.unionByName(frontier), "seen")
+        frontier = save(fresh.orderBy("how", "id").select("id", "path", F.monotonically_increasing_id().alias("place")), "why")
+        seen = seen.unionByName(frontier.select("id"))
     return None
 
 
@@ -131,6 +126,17 @@ def impact(root: DataFrame, refs: DataFrame, edges: DataFrame, max_depth: int =
     return expand(first["id"], 0)
 
 
+def edges_at(edges: DataFrame, node_id: str, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The edges into a node and out of it, of one kind if given."""
+    some = edges if kind is None else edges.where(F.col("kind") == kind)
+    return some.where(F.col("target_id") == node_id), some.where(F.col("source_id") == node_id)
+
+
+def path_counts(paths: DataFrame) -> DataFrame:
+    """(depth, paths, cycles) of a trace."""
+    return paths.groupBy("depth").agg(F.count("*").alias("paths"), F.count_if("cycle").alias("cycles"))
+
+
 def tree_size(tree: list[dict], key: str = "dependents") -> tuple[int, int]:
     """How many nodes a tree has, and its greatest depth."""
     count, deepest, todo = 0, 0, list(tree)
@@ -144,7 +150,7 @@ def tree_size(tree: list[dict], key: str = "dependents") -> tuple[int, int]:
 def context(node_id: str, nodes: DataFrame, edges: DataFrame, depth: int = 1) -> dict[str, DataFrame]:
     """The node, its edges in and out and the nodes of its file; with a greater depth also the edges of its neighbours, one ring."""
     me = nodes.where(F.col("id") == node_id)
-    into, out = edges.where(F.col("target_id") == node_id), edges.where(F.col("source_id") == node_id)
+    into, out = edges_at(edges, node_id)
     found = {"node": me, "incoming": into, "outgoing": out, "file_nodes": nodes.join(me.select("file_path"), "file_path", "left_semi").orderBy(F.col("line_start").asc_nulls_first(), "seq", "id")}
     if depth > 1:
         ring = into.select(F.col("source_id").alias("n")).unionByName(out.select(F.col("target_id").alias("n"))).where(F.col("n") != node_id).distinct()

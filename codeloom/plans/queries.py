@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions.names import component_role, import_symbol, import_tail, layer, stem
+from codeloom.functions.names import component_role, import_symbol, import_tail, is_architecture_file, layer, stem
 from codeloom.operators import analysis, cycles, diff, export, search, spine, traverse
 from codeloom.plans.relational import DUCKDB, graph
+from codeloom.schema import last_wins
 from codeloom.sources.tables import save
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,7 +82,7 @@ cand as (select s.ref_file, s.name, d_.id as def_id, d_.file_path, coalesce(d_.l
 cw as (select *, count(*) over w as n, sum(same) over w as n_same, sum(brought) over w as n_imp, row_number() over (partition by ref_file, name order by file_path, line, seq, def_id) as rn from cand window w as (partition by ref_file, name)),
 res as (select ref_file, name, def_id, case when n = 1 then 'only' when n_same = 1 then 'same_file' when n_imp = 1 then 'imported' else 'first' end as branch from cw
     where case when n = 1 then true when n_same = 1 then same = 1 when n_imp = 1 then brought = 1 else rn = 1 end),
-rn_ as (select nodes.id, nodes.kind, nodes.external, res.def_id from nodes join res on res.ref_file = nodes.file_path and res.name = nodes.name where nodes.kind = 'call' or nodes.external),
+rn_ as materialized (select nodes.id, nodes.kind, nodes.external, res.def_id from nodes join res on res.ref_file = nodes.file_path and res.name = nodes.name where nodes.kind = 'call' or nodes.external),
 refs0 as (
     select target_id as node_id, source_id as referrer_id, kind, 'a' as path from edges where kind in ('calls', 'imports', 'inherits')
     union all select rn_.def_id, e.source_id, 'calls', 'b' from rn_ join edges e on e.target_id = rn_.id and e.kind = 'calls' where rn_.kind = 'call'
@@ -89,15 +90,18 @@ refs0 as (
     union all select nodes.id, e.source_id, 'imports', 'd' from imp join edges e on e.target_id = imp.id and e.kind = 'imports' join nodes on nodes.name = imp.symbol and """
     + _STEM.format("nodes.file_path")
     + r""" = imp.tail),
-refs as (select node_id, referrer_id, kind, min(path) as path from refs0 group by node_id, referrer_id, kind),
-out_ as (select e.source_id, e.kind, e.target_id, e.seq, t.kind as target_kind, coalesce(res.def_id, e.target_id) as resolved_id from edges e join nodes t on t.id = e.target_id left join res on res.ref_file = t.file_path and res.name = t.name where e.kind in ('calls', 'inherits')),
-fi as (select distinct imp.file_path as src_file, f.file_path as dst_file from imp join nodes f on f.kind = 'file' and """
+refs as materialized (select node_id, referrer_id, kind, min(path) as path from refs0 group by node_id, referrer_id, kind),
+out_ as materialized (select e.source_id, e.kind, e.target_id, e.seq, t.kind as target_kind, coalesce(res.def_id, e.target_id) as resolved_id from edges e join nodes t on t.id = e.target_id left join res on res.ref_file = t.file_path and res.name = t.name where e.kind in ('calls', 'inherits')),
+fi as materialized (select distinct imp.file_path as src_file, f.file_path as dst_file from imp join nodes f on f.kind = 'file' and """
     + _STEM.format("f.file_path")
     + r""" = imp.tail where imp.file_path <> f.file_path)
 """
 )
 _RANK = "coalesce(list_position(string_split('function/method/class/call/import/file', '/'), kind), 7)"
 _ORDER = "file_path, line_start nulls first, seq, id"
+_ARCH = "not (contains(lower({0}), '/tests/') or starts_with(lower({0}), 'tests/') or contains(lower({0}), '/static/vendor/') or ends_with(lower({0}), '/__init__.py') or contains(lower({0}), '/__pycache__/'))"
+_ROLE = """case when contains(p, '/cli.py') then 'command line' when contains(p, '/__main__.py') then 'entry point' when contains(p, '/mcp/server.py') then 'tool server' when contains(p, '/indexer.py') then 'indexing'
+when contains(p, '/graph/store.py') then 'graph storage' when contains(p, '/queries/search.py') then 'symbol search' else 'component' end"""
 _LAYER = "case when contains(p, '/cli.py') or contains(p, '/__main__.py') or contains(p, '/mcp/server.py') then 'entrypoints' when contains(p, '/queries/') then 'queries' when contains(p, '/parser/') then 'parsers' when contains(p, '/graph/') then 'graph' when contains(p, '/indexer.py') then 'indexer' when contains(p, '/static/') then 'static' else 'other' end"
 
 
@@ -132,13 +136,12 @@ def symbol_pick(g: Graph) -> DataFrame:
 
 @query("select id, name, file_path, line_start from nodes where name = 'red_gear'")
 def nodes_by_name(g: Graph) -> DataFrame:
-    return g.nodes.where(F.col("name") == "red_gear").select("id", "name", "file_path", "line_start")
+    return search.by_name(g.nodes, "red_gear").select("id", "name", "file_path", "line_start")
 
 
 @query("select id, name, kind, line_start from nodes where file_path in (select min(file_path) from nodes)")
 def nodes_by_file(g: Graph) -> DataFrame:
-    first = g.nodes.agg(F.min("file_path").alias("file_path"))
-    return g.nodes.join(first, "file_path", "left_semi").orderBy(F.col("line_start").asc_nulls_first(), "seq", "id").select("id", "name", "kind", "line_start")
+    return search.in_file(g.nodes, g.nodes.agg(F.min("file_path").alias("p")).first()["p"]).select("id", "name", "kind", "line_start")
 
 
 @query("select target_id, kind, count(*) as n from edges group by target_id, kind having count(*) > 1 or kind = 'inherits'")
@@ -156,9 +159,20 @@ def import_names(g: Graph) -> DataFrame:
     return g.nodes.where("kind = 'import'").select("id", import_symbol(F.col("name")).alias("symbol"), import_tail(F.col("name")).alias("tail"))
 
 
-@query(f"select distinct file_path, {_STEM.format('file_path')} as stem, {_LAYER.replace('p,', 'lower(file_path),')} as layer, 'component' as role from nodes")
+@query(f"select file_path, {_STEM.format('file_path')} as stem, {_LAYER} as layer, {_ROLE} as role, {_ARCH.format('p')} as shown from (select distinct file_path, lower(file_path) as p from nodes)")
 def file_layers(g: Graph) -> DataFrame:
-    return g.nodes.select("file_path").distinct().select("file_path", stem(F.col("file_path")).alias("stem"), layer(F.col("file_path")).alias("layer"), component_role(F.col("file_path")).alias("role"))
+    p = F.col("file_path")
+    return g.nodes.select("file_path").distinct().select("file_path", stem(p).alias("stem"), layer(p).alias("layer"), component_role(p).alias("role"), is_architecture_file(p).alias("shown"))
+
+
+@query("select language, count(distinct file_path) as files, count(*) as nodes from nodes group by language")
+def languages(g: Graph) -> DataFrame:
+    return analysis.languages(g.nodes)
+
+
+@query("select name, id, kind, file_path from (select *, row_number() over (partition by name order by seq desc) as place from nodes where kind in ('function', 'method', 'class') and not external) where place = 1")
+def last_of_name(g: Graph) -> DataFrame:
+    return last_wins(spine.definitions(g.nodes), ["name"]).select("name", "id", "kind", "file_path")
 
 
 # The spine
@@ -209,28 +223,60 @@ def fan_in(g: Graph) -> DataFrame:
 
 @query("select source_id as id, count(distinct resolved_id) as fan_out from out_ group by source_id")
 def fan_out(g: Graph) -> DataFrame:
-    return analysis.fan_out(g.nodes, g.edges)
+    return analysis.fan_out(g.nodes, g.edges, g.out)
 
 
 @query("""select id, name, kind, file_path, coalesce(i.n, 0) as fan_in, coalesce(o.n, 0) as fan_out, line_end - line_start + 1 as loc from d_
 left join (select node_id, count(distinct referrer_id) as n from refs group by node_id) i on i.node_id = d_.id left join (select source_id, count(distinct resolved_id) as n from out_ group by source_id) o on o.source_id = d_.id""")
 def symbol_metrics(g: Graph) -> DataFrame:
-    return analysis.symbol_metrics(g.nodes, g.edges, g.refs)
+    return analysis.symbol_metrics(g.nodes, g.edges, g.refs, out=g.out)
+
+
+@query("select id, name, kind, file_path, line_start from d_ where not list_contains(string_split('__main__/app/cli/create_app/handle/main/run/serve/setup/teardown', '/'), name) and id not in (select node_id from refs) order by file_path, line_start nulls first, id limit 100")
+def dead_code_first(g: Graph) -> DataFrame:
+    return analysis.dead_code(g.nodes, g.refs)
 
 
-_DEPS = """, deps as (select s.file_path as src_file, t.file_path as dst_file, refs.kind from refs join nodes t on t.id = refs.node_id and t.kind in ('function', 'method', 'class') join nodes s on s.id = refs.referrer_id where s.file_path <> t.file_path
-union select c.file_path, t.file_path, 'calls' from rn_ join nodes c on c.id = rn_.id and c.kind = 'call' join nodes t on t.id = rn_.def_id where c.file_path <> t.file_path)"""
+_FACTS = """select 'total_nodes' as metric, '' as key, count(*) as value from {n} union all select 'total_edges', '', count(*) from {e} union all select 'total_files', '', count(distinct file_path) from {n}
+union all select 'language', language, count(*) from {n} group by language union all select 'kind', kind, count(*) from {n} group by kind union all select 'edge_kind', kind, count(*) from {e} group by kind"""
+
+
+@query(f""", n2 as (select * from nodes where file_path not like '%/n4/%'), e2 as (select * from edges where file_path not like '%/n4/%'), before_ as ({_FACTS.format(n='n2', e='e2')}), after_ as ({_FACTS.format(n='nodes', e='edges')})
+select metric, key, coalesce(after_.value, 0) - coalesce(before_.value, 0) as delta from before_ full join after_ using (metric, key) where coalesce(after_.value, 0) <> coalesce(before_.value, 0)""")
+def stats_growth(g: Graph) -> DataFrame:
+    some = lambda x: x.where("file_path not like '%/n4/%'")
+    return analysis.stats_delta(analysis.stats(some(g.nodes), some(g.edges)), analysis.stats(g.nodes, g.edges)).withColumn("delta", F.col("delta").cast("long"))
+
+
+_DEPS = f""", t_ as materialized (select id, file_path as dst_file from nodes where kind in ('function', 'method', 'class')),
+by_ref as materialized (select refs.referrer_id, t_.dst_file, refs.kind from refs join t_ on t_.id = refs.node_id), by_call as materialized (select rn_.id, t_.dst_file from rn_ join t_ on t_.id = rn_.def_id where rn_.kind = 'call'),
+deps0 as materialized (select s.file_path as src_file, dst_file, by_ref.kind from by_ref join nodes s on s.id = by_ref.referrer_id union select c.file_path, dst_file, 'calls' from by_call join nodes c on c.id = by_call.id),
+deps as materialized (select * from deps0 where src_file <> dst_file and {_ARCH.format('src_file')} and {_ARCH.format('dst_file')})"""
 
 
 @query(_DEPS + "select src_file, dst_file, string_agg(distinct kind, ',' order by kind) as kinds from deps group by src_file, dst_file")
 def component_deps(g: Graph) -> DataFrame:
-    return analysis.component_deps(g.nodes, g.refs).withColumn("kinds", F.array_join("kinds", ","))
+    return analysis.component_deps(g.nodes, g.refs, g.sites).withColumn("kinds", F.array_join("kinds", ","))
+
+
+_TOP = f""", deg as (select file_path, count(*) as degree from (select src_file as file_path from deps union all select dst_file from deps) group by 1), fs as (select file_path, lower(file_path) as p, count(*) as symbols from nodes where {_ARCH.format('file_path')} group by 1, 2),
+r as (select *, row_number() over (partition by layer order by degree desc, symbols desc, file_path) as place from (select {_LAYER} as layer, {_ROLE} as role, {_STEM.format('fs.file_path')} as stem, fs.file_path, coalesce(degree, 0) as degree, symbols from fs left join deg using (file_path))),
+top as (select * from r where place <= case when layer in ('static', 'other') then 3 else 6 end)"""
 
 
-@query(_DEPS + """, deg as (select file_path, count(*) as degree from (select src_file as file_path from deps union all select dst_file from deps) group by 1), fs as (select file_path, count(*) as symbols from nodes group by 1),
-r as (select 'other' as layer, fs.file_path, coalesce(degree, 0) as degree, symbols, row_number() over (order by coalesce(degree, 0) desc, symbols desc, fs.file_path) as place from fs left join deg using (file_path)) select layer, place, file_path, degree, symbols from r where place <= 3""")
+@query(_DEPS + _TOP + "select layer, place, file_path, degree, symbols from top")
 def layer_top(g: Graph) -> DataFrame:
-    return analysis.layer_top(g.nodes, analysis.component_deps(g.nodes, g.refs)).withColumn("place", F.col("place").cast("long"))
+    return analysis.layer_top(g.nodes, analysis.component_deps(g.nodes, g.refs, g.sites)).withColumn("place", F.col("place").cast("long"))
+
+
+@query(_DEPS + _TOP + "select layer, place, file_path, role, stem, degree, symbols from top")
+def architecture_components(g: Graph) -> DataFrame:
+    return export.architecture(g.nodes, g.refs, g.sites)[0].select("layer", F.col("place").cast("long").alias("place"), "file_path", "role", "stem", "degree", "symbols")
+
+
+@query(_DEPS + _TOP + "select src_file, dst_file, string_agg(distinct kind, ',' order by kind) as kinds from deps where src_file in (select file_path from top) and dst_file in (select file_path from top) group by src_file, dst_file")
+def architecture_links(g: Graph) -> DataFrame:
+    return export.architecture(g.nodes, g.refs, g.sites)[1].withColumn("kinds", F.array_join("kinds", ","))
 
 
 # Traversal. The root is the definition with the least id among those that something calls and that call something.
@@ -244,15 +290,36 @@ def _root(g: Graph) -> DataFrame:
     return save(d.join(callers, "id", "left_semi").join(called, "id", "left_semi").agg(F.min("id").alias("id")), "root")
 
 
-def _trace_sql(steps: str, depth: int) -> str:
+@query(_ROOT + " select nodes.id, name, kind, file_path, language, line_start, line_end, docstring, code_snippet from nodes join root on nodes.id = root.id")
+def node_by_id(g: Graph) -> DataFrame:
+    return search.by_id(g.nodes, _root(g).first()["id"]).select("id", "name", "kind", "file_path", "language", "line_start", "line_end", "docstring", "code_snippet")
+
+
+@query(_ROOT + " select 'in' as way, source_id, target_id, kind from edges where target_id in (select id from root) union all select 'out', source_id, target_id, kind from edges where source_id in (select id from root) and kind = 'calls'")
+def edges_of_node(g: Graph) -> DataFrame:
+    root = _root(g).first()["id"]
+    into, out = traverse.edges_at(g.edges, root)[0], traverse.edges_at(g.edges, root, "calls")[1]
+    return into.withColumn("way", F.lit("in")).unionByName(out.withColumn("way", F.lit("out"))).select("way", "source_id", "target_id", "kind")
+
+
+_WALKED = "select array_to_string(path, '>') as path, node_id, depth, cycle from walk where depth > 0"
+_CALLS = "select distinct source_id as src, case when target_kind = 'call' then resolved_id else target_id end as dst from out_ where kind = 'calls'"
+
+
+def _trace_sql(steps: str, depth: int, last: str = _WALKED) -> str:
     return f"""{_ROOT}, steps as ({steps}), walk as (select id as node_id, [id] as path, 0 as depth, false as cycle from root
 union all select s.dst, list_append(w.path, s.dst), w.depth + 1, list_contains(w.path[1 : len(w.path) - 1], s.dst) from walk w join steps s on s.src = w.node_id where w.depth < {depth} and not w.cycle)
-select array_to_string(path, '>') as path, node_id, depth, cycle from walk where depth > 0"""
+{last}"""
 
 
-@query(_trace_sql("select distinct source_id as src, case when target_kind = 'call' then resolved_id else target_id end as dst from out_ where kind = 'calls'", 2))
+@query(_trace_sql(_CALLS, 3, "select depth, count(*) as paths, count(*) filter (where cycle) as cycles from walk where depth > 0 group by depth"))
+def trace_counts(g: Graph) -> DataFrame:
+    return traverse.path_counts(traverse.trace(_root(g), traverse.call_edges(g.out), 3))
+
+
+@query(_trace_sql(_CALLS, 3))
 def trace_out(g: Graph) -> DataFrame:
-    return traverse.trace(_root(g), traverse.call_edges(g.out), 2).select(F.array_join("path", ">").alias("path"), "node_id", "depth", "cycle")
+    return traverse.trace(_root(g), traverse.call_edges(g.out), 3).select(F.array_join("path", ">").alias("path"), "node_id", "depth", "cycle")
 
 
 @query(_trace_sql("select distinct node_id as src, referrer_id as dst from refs where kind = 'calls'", 2))
@@ -306,6 +373,20 @@ def import_components(g: Graph) -> DataFrame:
     return cycles.strong_components(g.files.select(F.col("src_file").alias("src"), F.col("dst_file").alias("dst")))
 
 
+@query(""", walk as (select src_file as a, dst_file as b from fi union select w.a, f.dst_file from walk w join fi f on f.src_file = w.b), comp as (select x.a as v, min(x.b) as component from walk x join walk y on x.a = y.b and x.b = y.a group by x.a),
+size_ as (select component, count(*) as size, string_agg(v, ' ' order by v) as files from comp group by component),
+steps as (select a.component, src_file, dst_file from fi join comp a on a.v = src_file join comp b on b.v = dst_file and a.component = b.component),
+hops as (select distinct component, component as spot, 0 as n from comp union select hops.component, s.dst_file, n + 1 from hops join steps s on s.component = hops.component and s.src_file = hops.spot where n < 40),
+best as (select component, min(n) as steps from hops where n > 0 and spot = component group by component) select component, size, files, steps, true as real from size_ join best using (component)""")
+def import_cycles(g: Graph) -> DataFrame:
+    """With the number of steps of each cycle, and whether they all are imports and lead back to where they began."""
+    found = cycles.import_cycles(g.files)
+    pairs = F.transform(F.sequence(F.lit(1), F.size("cycle") - 1), lambda i: F.struct(F.element_at("cycle", i).alias("src_file"), F.element_at("cycle", i + 1).alias("dst_file")))
+    steps = found.select("component", F.explode(pairs).alias("p")).select("component", "p.*").join(g.files.withColumn("there", F.lit(1)), ["src_file", "dst_file"], "left").groupBy("component").agg(F.count("*").alias("steps"), F.count("there").alias("there"))
+    back = (F.element_at("cycle", 1) == F.col("component")) & (F.element_at("cycle", -1) == F.col("component"))
+    return found.join(steps, "component").select("component", "size", F.array_join("files", " ").alias("files"), "steps", (back & (F.col("steps") == F.col("there"))).alias("real"))
+
+
 # Export
 
 
@@ -314,6 +395,40 @@ def subgraph_edges(g: Graph) -> DataFrame:
     return export.subgraph(g.nodes, g.edges, kind="class")[1].select("source_id", "target_id", "kind")
 
 
+@query("select source_id, target_id, kind from edges where kind in ('inherits', 'imports')")
+def subgraph_edge_kinds(g: Graph) -> DataFrame:
+    return export.subgraph(g.nodes, g.edges, edge_kinds=["inherits", "imports"])[1].select("source_id", "target_id", "kind")
+
+
+def _both(tables: tuple[DataFrame, DataFrame]) -> DataFrame:
+    return tables[0].select("line").unionByName(tables[1].select("line"))
+
+
+@query("""select concat('  n', id, case kind when 'class' then '[["' when 'function' then '("' when 'method' then '>"' else '{"' end, name, case kind when 'class' then '"]]' when 'function' then '")' when 'method' then '"]' else '"}' end) as line from nodes
+union all select concat('  n', source_id, ' -->|', kind, '| n', target_id) from edges""")
+def export_mermaid(g: Graph) -> DataFrame:
+    return _both(export.mermaid_lines(g.nodes, g.edges))
+
+
+@query("""select concat('  class n', id, ' {', chr(10), '    %% ', name, case when kind = 'class' then '' else '()' end, chr(10), '  }') as line from nodes where kind in ('function', 'method', 'class')
+union all select concat('  n', source_id, ' ', case kind when 'contains' then '*--' when 'inherits' then '--|>' else '..>' end, ' n', target_id) from edges""")
+def export_class_diagram(g: Graph) -> DataFrame:
+    return _both(export.mermaid_lines(g.nodes, g.edges, "classDiagram"))
+
+
+_JSON = "'id': nodes.id, 'name': name, 'kind': kind, 'file_path': file_path, 'language': language, 'line_start': line_start, 'line_end': line_end, 'docstring': docstring"
+
+
+@query("select to_json({" + _JSON + "})::varchar as line from nodes union all select to_json({'source_id': source_id, 'target_id': target_id, 'kind': kind})::varchar from edges")
+def export_json(g: Graph) -> DataFrame:
+    return _both(export.json_lines(g.nodes, g.edges))
+
+
+@query(", deg as (select x as id, count(*) as n from (select source_id as x from edges union all select target_id from edges) group by x) select to_json({" + _JSON + ", 'val': coalesce(n, 0)})::varchar as line from nodes left join deg on deg.id = nodes.id union all select to_json({'source': source_id, 'target': target_id, 'kind': kind})::varchar from edges")
+def export_html(g: Graph) -> DataFrame:
+    return _both(export.html_lines(g.nodes, g.edges))
+
+
 @query("select id, coalesce(n, 0) as degree from nodes left join (select x, count(*) as n from (select source_id as x from edges union all select target_id from edges) group by x) on x = id")
 def degree(g: Graph) -> DataFrame:
     return export.degrees(g.nodes, g.edges)
@@ -329,14 +444,19 @@ def export_dot(g: Graph) -> DataFrame:
 # Full text
 
 
-def _fts_sql(source: str, key: str, cols: list[str], phrase: list[str], prefix: bool = False) -> str:
+def _fts_sql(source: str, key: str, cols: list[str], phrase: list[str], prefix: bool = False, last: str = "") -> str:
     tok = " union all ".join(f"select {key} as id, {k} as col, unnest(string_split_regex(lower(strip_accents(coalesce({c}, ''))), '[^\\p{{L}}\\p{{N}}]+')) as tok, generate_subscripts(string_split_regex(lower(strip_accents(coalesce({c}, ''))), '[^\\p{{L}}\\p{{N}}]+'), 1) as raw from {source}" for k, c in enumerate(cols))
     joins = " ".join(f"join t p{k} on p{k}.id = p0.id and p{k}.col = p0.col and p{k}.pos = p0.pos + {k}" for k in range(1, len(phrase)))
     conds = " and ".join(f"starts_with(p{k}.tok, '{w}')" if prefix and k == len(phrase) - 1 else f"p{k}.tok = '{w}'" for k, w in enumerate(phrase))
     return f""", t0 as ({tok}), t as (select id, col, tok, row_number() over (partition by id, col order by raw) as pos from t0 where tok <> ''),
 len_ as (select s.{key} as id, count(t.tok) as len from {source} s left join t on t.id = s.{key} group by s.{key}),
-hits as (select p0.id, count(*) as f from t p0 {joins} where {conds} group by p0.id), st as (select (select count(*) from len_) as rows_, (select avg(len) from len_) as avg_, (select count(*) from hits) as n)
-select hits.id as {key}, round(-greatest(ln((rows_ - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avg_)), 9) as score from hits join len_ using (id) cross join st"""
+hits as (select p0.id, count(*) as f from t p0 {joins} where {conds} group by p0.id), st as (select (select count(*) from len_) as rows_, (select avg(len) from len_) as avg_, (select count(*) from hits) as n),
+found as (select hits.id, (-greatest(ln((rows_ - n + 0.5) / (n + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avg_))) as score from hits join len_ using (id) cross join st) {last or f"select id as {key}, round(score, 9) as score from found"}"""
+
+
+@query(_fts_sql("nodes", "id", ["name", "docstring", "code_snippet"], ["red"], last="select n.id, n.name, round(score, 9) as score from found join nodes n on n.id = found.id where n.kind = 'function' order by found.score, n.id limit 50"))
+def fts_top(g: Graph) -> DataFrame:
+    return search.search_full_text(g.nodes, "red", "function").select("id", "name", F.round("score", 9).alias("score"))
 
 
 @query(_fts_sql("nodes", "id", ["name", "docstring", "code_snippet"], ["red"]))
@@ -398,6 +518,13 @@ def cascade_delete(g: Graph) -> DataFrame:
     return diff.delete_files(g.nodes, g.edges, files)[1].select("source_id", "target_id", "kind")
 
 
+@query("""select coalesce(o.file_path, n.file_path) as file_path, case when o.file_path is null then 'created' when n.file_path is null then 'removed' else 'unchanged' end as change
+from (select file_path from nodes where kind = 'file' and seq % 5 <> 0) o full join (select file_path from nodes where kind = 'file' and seq % 4 <> 0) n on o.file_path = n.file_path where n.file_path is not null or starts_with(o.file_path, 'src/r1/')""")
+def removed_under_root(g: Graph) -> DataFrame:
+    f = g.nodes.where("kind = 'file'").select("file_path", F.col("id").alias("content_hash"), "seq")
+    return diff.file_changes(f.where("seq % 5 <> 0"), f.where("seq % 4 <> 0"), "src/r1")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -1,6 +1,8 @@
 """A graph made from relational tables, in SQL that Spark and DuckDB both run: a source of graphs of any size for checks and benchmarks.
 
-Suppliers are files, parts definitions, line items calls and imports; parts of one kind in three are classes with a base type.
+Suppliers are files, in every layer and also where architecture doesn't look; parts are definitions, some named like entry points; line
+items are calls and, the first of each order, imports; parts of one kind in three are classes with a base type. Files import the homes of
+definitions in lower files, and files close by in a ring of ten, so that there are cycles in some rings and none between them.
 """
 
 from __future__ import annotations
@@ -13,9 +15,13 @@ TABLES = ("nation", "supplier", "part", "lineitem")
 _SQL = """
 n_supp as (select count(*) as n from supplier),
 n_part as (select count(*) as n from part),
-f as (select s_suppkey as file_key, concat('src/r', cast(n_regionkey as string), '/n', cast(s_nationkey as string), '/s', cast(s_suppkey as string), '.py') as file_path from supplier join nation on s_nationkey = n_nationkey),
+f0 as (select s_suppkey as file_key, concat('s', cast(s_suppkey as string)) as module, concat('r', cast(n_regionkey as string), '/n', cast(s_nationkey as string), '/') as place from supplier join nation on s_nationkey = n_nationkey),
+f as (select file_key, concat(case when file_key % 16 = 10 then 'tests/' else 'src/' end, place, case file_key % 16 when 1 then concat('queries/', module, '.py') when 2 then concat('parser/', module, '.py')
+    when 3 then concat('graph/', module, '.py') when 4 then concat('static/', module, '.js') when 5 then concat(module, '/cli.py') when 6 then concat(module, '/indexer.py') when 7 then concat('tests/', module, '.py')
+    when 8 then concat('static/vendor/', module, '.js') when 9 then concat(module, '/__init__.py') when 11 then concat(upper(module), '/Queries/Search.py') when 12 then concat(module, '/mcp/server.py')
+    when 13 then concat(module, '/graph/store.py') when 14 then concat(module, '/__main__.py') when 15 then concat('__pycache__/', module, '.py') else concat(module, '.py') end) as file_path from f0),
 defs as (select p_partkey as def_key, f.file_path,
-    case when p_partkey % 5 = 0 then concat(replace(p_name, ' ', '_'), '_', cast(p_partkey as string)) else replace(p_name, ' ', '_') end as name,
+    case when p_partkey % 211 = 7 then 'main' when p_partkey % 223 = 9 then 'setup' when p_partkey % 5 = 0 then concat(replace(p_name, ' ', '_'), '_', cast(p_partkey as string)) else replace(p_name, ' ', '_') end as name,
     case p_partkey % 3 when 0 then 'function' when 1 then 'method' else 'class' end as kind, p_size as line, p_partkey as col, p_brand, p_type
     from part cross join n_supp join f on p_partkey % n_supp.n = f.file_key),
 d as (select *, {id}(concat(file_path, ':', name, ':', cast(line as string), ':', cast(col as string))) as id from defs),
@@ -24,8 +30,8 @@ c0 as (select f.file_path, case when l_orderkey % 97 = 0 then concat('ext_', cas
     l_suppkey + n_supp.n * (l_orderkey % cast(floor(n_part.n / n_supp.n) as bigint)) as caller_key, l_orderkey * 16 + l_linenumber as ord
     from li cross join n_supp cross join n_part join d on l_partkey = d.def_key join f on l_suppkey = f.file_key),
 c as (select *, {id}(concat(file_path, ':call:', name, ':', cast(line as string), ':', cast(col as string))) as id from c0),
-i0 as (select distinct f.file_path, case when l_orderkey % 50 = 0 then concat('s', cast(l_partkey % n_supp.n as string), '.', d.name) else concat('s', cast(l_partkey % n_supp.n as string)) end as name, l_orderkey as line
-    from li cross join n_supp join d on l_partkey = d.def_key join f on l_suppkey = f.file_key where l_linenumber = 1 and l_orderkey % 50 < 2),
+i0 as (select distinct f.file_path, case when l_partkey % n_supp.n <= l_suppkey then concat('s', cast(l_partkey % n_supp.n as string), '.', d.name) else concat('s', cast(l_suppkey - l_suppkey % 10 + (l_suppkey % 10 + 1 + l_partkey % 4) % 10 as string)) end as name, l_orderkey as line
+    from li cross join n_supp join d on l_partkey = d.def_key join f on l_suppkey = f.file_key where l_linenumber = 1),
 i as (select *, {id}(concat(file_path, ':import:', name, ':', cast(line as string), ':0')) as id from i0),
 b0 as (select d.file_path, x.name, d.line, d.col + 100000 as col, d.id as child from d cross join n_part join d x on (d.def_key * 7 + 3) % n_part.n = x.def_key where d.kind = 'class'),
 b as (select *, {id}(concat(file_path, ':', name, ':', cast(line as string), ':', cast(col as string))) as id from b0),
@@ -42,6 +48,8 @@ edges as (
     union all select files.id, i.id, 'imports', i.file_path, cast(500000000 + i.line as bigint) from i join files on i.file_path = files.file_path
     union all select child, id, 'inherits', file_path, cast(700000000 + col as bigint) from b)
 """
+
+
 def _with_ids(sql: str, form: str) -> str:
     """Replaces {id}(...) by form, finding the bracket that closes each."""
     out, at = [], 0
@@ -56,7 +64,7 @@ def _with_ids(sql: str, form: str) -> str:
     return "".join(out) + sql[at:]
 
 
-DUCKDB = _with_ids(_SQL, "substr(sha256({0}), 1, 16)")
+DUCKDB = _with_ids(_SQL, "substr(sha256({0}), 1, 16)").replace("nodes as (", "nodes as materialized (").replace("edges as (", "edges as materialized (")
 SPARK = _with_ids(_SQL, "substr(sha2({0}, 256), 1, 16)")
 
 

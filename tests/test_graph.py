@@ -153,8 +153,8 @@ def test_traces(spark):
         adj = {}
         for a, b in pairs:
             adj.setdefault(a, []).append(b)
-        got = [(tuple(x.path), x.depth, x.cycle) for x in traverse.trace(roots(spark, "a"), steps(spark, pairs), 4).collect()]
-        assert sorted(got) == sorted(brute_trace(adj, ["a"], 4))
+        got = [(tuple(x.path), x.depth, x.cycle) for x in traverse.trace(roots(spark, "a"), steps(spark, pairs)).collect()]
+        assert sorted(got) == sorted(brute_trace(adj, ["a"], 5))
     with pytest.raises(traverse.TooManyPaths):
         traverse.trace(roots(spark, "a"), steps(spark, [("a", "b"), ("a", "c")]), 2, max_rows=1)
 
@@ -203,7 +203,8 @@ def test_components(spark):
     cases = [[("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], [("a", "b"), ("b", "c")], [("a", "a"), ("a", "b")], [("a", "b"), ("b", "a"), ("c", "d"), ("d", "c"), ("b", "c")], []]
     cases += [sorted({(r.choice("abcdefghij"), r.choice("abcdefghij")) for _ in range(13)}) for _ in range(2)]
     for pairs in cases:
-        assert {x.v: x.component for x in cycles.strong_components(steps(spark, pairs)).collect()} == brute_components(pairs), pairs
+        for local in (0, cycles.LOCAL_EDGES):
+            assert {x.v: x.component for x in cycles.strong_components(steps(spark, pairs), local).collect()} == brute_components(pairs), pairs
 
 
 def test_import_cycles(spark):
@@ -211,9 +212,13 @@ def test_import_cycles(spark):
     n, _ = graph(spark, nodes, [])
     f = spine.file_imports(n)
     assert {(x.src_file, x.dst_file) for x in f.collect()} == {("a.py", "b.py"), ("b.py", "c.py"), ("c.py", "a.py"), ("d.py", "a.py")}
-    rows = cycles.import_cycles(f).collect()
     ring = "a.py b.py c.py".split()
-    assert [(x["size"], x.files, x.cycle) for x in rows] == [(3, ring, [*ring, "a.py"])]
+    for local in (0, cycles.LOCAL_EDGES):
+        assert [(x["size"], x.files, x.cycle) for x in cycles.import_cycles(f, local).collect()] == [(3, ring, [*ring, "a.py"])]
+    pairs = [("a", "d"), ("d", "c"), ("c", "a"), ("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("c", "x")]
+    for local in (0, cycles.LOCAL_EDGES):
+        got = cycles.import_cycles(spark.createDataFrame(pairs, "src_file string, dst_file string"), local).collect()
+        assert [(x["size"], x.cycle) for x in got] == [(4, ["a", "b", "c", "a"]), (2, ["x", "y", "x"])]
     chain = [str(k) for k in range(3000)]
     assert cycles.witness(chain, {a: [b] for a, b in zip(chain, [*chain[1:], chain[0]])})[0] == "0"
 
