@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import line_dedup, near_dedup, packing, quality, secrets
-from codeloom.llm.common import save, table
+from codeloom.llm.common import columns, fresh, save, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +20,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of over 50 documents go everywhere; copies count as one document, so what is only copied stays for the next stage."""
-    out = line_dedup.line_dedup(docs, copies_count=False)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    counts = [c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")]  # of docs itself; the operator has columns called so
+    kept = dict(zip(counts, fresh(docs, *(f"__{c.lower()}" for c in counts))))
+    out = line_dedup.line_dedup(docs.withColumnsRenamed(kept), copies_count=False).drop("n_lines", "n_dropped").withColumnsRenamed({v: k for k, v in kept.items()})
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*columns(docs))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
