@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from codeloom.sources.tables import save
 
 #: Graphs of up to so many edges are settled in the driver, with the same result.
 LOCAL_EDGES = 200_000
+#: Those of up to so many are settled as arrays in one task, at about 20 bytes an edge, with the same result.
+TASK_EDGES = 50_000_000
 
 
 def trim(edges: DataFrame) -> DataFrame:
@@ -73,17 +79,84 @@ def _components(edges: list[tuple[str, str]]) -> dict[str, str]:
     return found
 
 
-def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def _numbered(batches: Iterator[pa.RecordBatch]) -> tuple[list[str], np.ndarray]:
+    """The vertices, and the edges (src, dst) as numbers of vertices, both in one integer."""
+    number: dict[str, int] = {}
+    keys = []
+    for b in batches:
+        ends = []
+        for c in (b.column(0), b.column(1)):
+            c = c.dictionary_encode()
+            of = np.array([number.setdefault(v, len(number)) for v in c.dictionary.to_pylist()], np.int64)
+            ends.append(of[c.indices.to_numpy()] if len(of) else np.empty(0, np.int64))
+        keys.append(ends[0] << 32 | ends[1])
+    return list(number), np.concatenate(keys) if keys else np.empty(0, np.int64)
+
+
+def _components_of_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_components over arrays: the vertices on cycles, each with the least of its component. Edges may repeat."""
+    names, keys = _numbered(batches)
+    keys.sort()
+    to = (keys & 0xFFFFFFFF).astype(np.int32)
+    keys >>= 32
+    at = np.searchsorted(keys, np.arange(len(names) + 1)).tolist()
+    del keys
+    low, order, on = [0] * len(names), [-1] * len(names), bytearray(len(names))
+    stack, met = [], 0
+    v_out, c_out = [], []
+    for root in range(len(names)):
+        if order[root] >= 0:
+            continue
+        work = [(root, iter(to[at[root] : at[root + 1]].tolist()))]
+        order[root] = low[root] = met
+        met += 1
+        stack.append(root)
+        on[root] = 1
+        while work:
+            v, rest = work[-1]
+            for w in rest:
+                if order[w] < 0:
+                    order[w] = low[w] = met
+                    met += 1
+                    stack.append(w)
+                    on[w] = 1
+                    work.append((w, iter(to[at[w] : at[w + 1]].tolist())))
+                    break
+                if on[w] and order[w] < low[v]:
+                    low[v] = order[w]
+            else:
+                work.pop()
+                if work and low[v] < low[work[-1][0]]:
+                    low[work[-1][0]] = low[v]
+                if low[v] == order[v]:
+                    k = len(stack) - 1
+                    while stack[k] != v:
+                        k -= 1
+                    part = stack[k:]
+                    del stack[k:]
+                    for x in part:
+                        on[x] = 0
+                    if len(part) > 1 or (to[at[v] : at[v + 1]] == v).any():
+                        part = [names[x] for x in part]
+                        v_out += part
+                        c_out += [min(part)] * len(part)
+    for k in range(0, len(v_out), 50_000):
+        yield pa.RecordBatch.from_pydict({"v": v_out[k : k + 50_000], "component": c_out[k : k + 50_000]}, pa.schema([("v", pa.string()), ("component", pa.string())]))
+
+
+def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES, task_edges: int = TASK_EDGES) -> DataFrame:
     """(v, component): the vertices on cycles, each with the least vertex of its strongly connected component. Self-loops count.
 
-    Up to local_edges edges are gathered and settled at once. Beyond that, in each round the least vertex that reaches each vertex is
-    found forwards; the vertices that reach it back, within its colour, are its component. These go, the rest is trimmed, and the next
-    round begins.
+    Up to local_edges edges are gathered and settled at once, up to task_edges as arrays in one task. Beyond that, in each round the
+    least vertex that reaches each vertex is found forwards; the vertices that reach it back, within its colour, are its component.
+    These go, the rest is trimmed, and the next round begins; how many rounds, depends on how deep the graph is.
     """
-    edges = edges.select("src", "dst").distinct()
-    some = edges.limit(local_edges + 1).collect()
-    if len(some) <= local_edges:
-        return edges.sparkSession.createDataFrame(sorted(_components([(r.src, r.dst) for r in some]).items()), "v string, component string")
+    edges = save(edges.select("src", "dst").distinct(), "edges")
+    n = edges.count()
+    if n <= local_edges:
+        return edges.sparkSession.createDataFrame(sorted(_components([(r.src, r.dst) for r in edges.collect()]).items()), "v string, component string")
+    if n <= task_edges:
+        return save(edges.coalesce(1).mapInArrow(_components_of_arrays, "v string, component string"), "components")
     loops = edges.where("src = dst").select(F.col("src").alias("v")).distinct()
     left, done = trim(edges.where("src <> dst")), None
     while left.limit(1).count():
@@ -127,17 +200,37 @@ def witness(members: list[str], edges: dict[str, list[str]]) -> list[str]:
     return []
 
 
+_CYCLE = "component string, cycle array<string>"
+
+
+def _witness_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(component, cycle) of edges (component, src, dst) that come in order of components."""
+    schema = pa.schema([("component", pa.string()), ("cycle", pa.list_(pa.string()))])
+    now, of, out = None, {}, []
+    for b in batches:
+        for c, src, dst in zip(*(x.to_pylist() for x in b.columns)):
+            if c != now:
+                if of:
+                    out.append({"component": now, "cycle": witness(list(of), of)})
+                now, of = c, {}
+            of.setdefault(src, []).append(dst)
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+            out = []
+    if of:
+        yield pa.RecordBatch.from_pylist([{"component": now, "cycle": witness(list(of), of)}], schema)
+
+
 def _witnesses(inside: DataFrame, local_edges: int) -> DataFrame:
-    """(component, cycle) for the edges (component, src, dst) within components, all components a level at a time."""
-    spark, out = inside.sparkSession, "component string, cycle array<string>"
-    some = inside.limit(local_edges + 1).collect()
-    if len(some) <= local_edges:
-        of: dict[str, dict[str, list[str]]] = {}
-        for r in some:
-            of.setdefault(r.component, {}).setdefault(r.src, []).append(r.dst)
-        return spark.createDataFrame([(c, witness(list(e), e)) for c, e in sorted(of.items())], out)
+    """(component, cycle) for the edges (component, src, dst) within components: many components a task, and those of over local_edges edges together, a level at a time."""
+    large = [r.component for r in inside.groupBy("component").count().where(F.col("count") > local_edges).select("component").collect()]
+    some = inside.where(~F.col("component").isin(large)) if large else inside
+    small = save(some.select("component", "src", "dst").repartition("component").sortWithinPartitions("component").mapInArrow(_witness_each, _CYCLE), "cycles")
+    if not large:
+        return small
+    inside = inside.where(F.col("component").isin(large))
     level = inside.select("component", F.col("component").alias("at"), F.array("component").alias("path")).distinct()
-    seen, found = level.select("component", "at"), spark.createDataFrame([], out)
+    seen, found = level.select("component", "at"), small
     while True:
         steps = save(level.join(inside.select("component", F.col("src").alias("at"), "dst"), ["component", "at"]).groupBy("component", "dst").agg(F.min(F.concat("path", F.array("dst"))).alias("path")), "cycles")
         found = found.unionByName(steps.where("dst = component").select("component", F.col("path").alias("cycle")))
@@ -148,10 +241,10 @@ def _witnesses(inside: DataFrame, local_edges: int) -> DataFrame:
         seen = seen.unionByName(level.select("component", "at"))
 
 
-def import_cycles(file_imports: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def import_cycles(file_imports: DataFrame, local_edges: int = LOCAL_EDGES, task_edges: int = TASK_EDGES) -> DataFrame:
     """(component, size, files, cycle), greatest first: groups of files that import each other, and one shortest cycle in each."""
     e = save(file_imports.select(F.col("src_file").alias("src"), F.col("dst_file").alias("dst")), "imports")
-    members = save(strong_components(e, local_edges), "components")
+    members = save(strong_components(e, local_edges, task_edges), "components")
     inside = save(e.join(members.select(F.col("v").alias("src"), "component"), "src").join(members.select(F.col("v").alias("dst"), F.col("component").alias("c2")), "dst").where("component = c2").select("component", "src", "dst"), "inside")
     files = members.groupBy("component").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("v")).alias("files"))
     out = files.join(_witnesses(inside, local_edges), "component").select("component", "size", "files", "cycle")

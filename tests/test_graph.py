@@ -223,6 +223,23 @@ def test_import_cycles(spark):
     assert cycles.witness(chain, {a: [b] for a, b in zip(chain, [*chain[1:], chain[0]])})[0] == "0"
 
 
+def test_cycles_of_large_graphs(spark):
+    """Each way gives the same, and a graph as deep as it has vertices takes no round of Spark for each level."""
+    r = random.Random(9)
+    pairs = sorted({(r.choice("abcdefghij"), r.choice("abcdefghij")) for _ in range(15)})
+    for ways in ((0, 0), (0, 100), (100, 0)):
+        assert {x.v: x.component for x in cycles.strong_components(steps(spark, pairs), *ways).collect()} == brute_components(pairs), ways
+    ring = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "x"), ("x", "y"), ("y", "x")]
+    for ways in ((0, 0), (4, 0), (0, 100)):
+        got = cycles.import_cycles(spark.createDataFrame(ring, "src_file string, dst_file string"), *ways).collect()
+        assert [x.cycle for x in got] == [["a", "b", "c", "a"], ["x", "y", "x"]], ways
+    deep = [(f"{k:04}", f"{k + 1:04}") for k in range(2000)] + [(f"{k:04}", f"{k - 3:04}") for k in range(3, 2000, 100)]
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    got = cycles.strong_components(steps(spark, deep), 0).collect()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - len(before) < 20
+    assert len(got) == 80 and len({x.component for x in got}) == 20
+
+
 def test_exports(spark):
     n, e = graph(spark, [("dog", "class", "a.py", 'D"og</script>'), ("animal", "class", "a.py"), ("speak", "method", "a.py"), ("main", "function", "a.py")], [("dog", "animal", "inherits"), ("main", "dog", "calls"), ("dog", "speak", "contains"), ("main", "gone", "calls")])
     sub = export.subgraph(n, e)
