@@ -140,9 +140,9 @@ def _component_id(path: str, prefix: str) -> str:
     return "comp_" + re.sub(r"src[\\/]", "", rel).translate(str.maketrans("\\/.-", "____"))
 
 
-def architecture(nodes: DataFrame, refs: DataFrame, sites: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def architecture(nodes: DataFrame, refs: DataFrame, sites: DataFrame | None = None, ends: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The components to show, with their layer, place, role, stem, symbols and degree, and the dependencies between them."""
-    deps = save(component_deps(nodes, refs, sites), "deps")
+    deps = save(component_deps(nodes, refs, sites, ends), "deps")
     top = save(layer_top(nodes, deps).withColumns({"role": component_role(F.col("file_path")), "stem": stem(F.col("file_path"))}), "top")
     chosen = top.select("file_path")  # some components of each layer
     return top, deps.join(chosen.withColumnRenamed("file_path", "src_file"), "src_file", "left_semi").join(chosen.withColumnRenamed("file_path", "dst_file"), "dst_file", "left_semi").select("src_file", "dst_file", "kinds").orderBy("src_file", "dst_file")

@@ -297,3 +297,6 @@ def test_graph_of_tables(spark, tmp_path):
     for one in (g.nodes, g.edges, g.links.where("kind in ('calls', 'imports')")):
         plan = one._jdf.queryExecution().sparkPlan().toString()
         assert plan.count("Join") <= 1 and "Aggregate" not in plan
+    deps = [analysis.component_deps(g.nodes, g.def_refs, g.sites, ends) for ends in (None, g.ends)]
+    rows = [sorted(map(repr, x.collect())) for x in deps]
+    assert rows[0] == rows[1] and rows[0]
