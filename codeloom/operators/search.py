@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from dataclasses import dataclass, field
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -65,14 +67,42 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
 
 
+@cache
+def _letters() -> tuple[str, str, str, str]:
+    """For translate(): characters that fold() makes one other character, what they become, and those it drops; and a class of all that it
+    makes several, and that Python doesn't know, as the JVM may. It takes each character for itself, except that lower() minds where a
+    sigma stands."""
+    one, to, gone, several = [], [], [], []
+    for c in map(chr, [*range(128, 0xD800), *range(0xE000, sys.maxunicode + 1)]):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(plain) > 1 or unicodedata.category(c) == "Cn":
+            several.append(c)
+        elif not plain:
+            gone.append(c)
+        elif plain.lower() != c:
+            one.append(c)
+            to.append(plain.lower() if len(plain.lower()) == 1 and plain != "\u03a3" else plain)
+    runs = []
+    for k in map(ord, several):
+        if runs and runs[-1][1] == k - 1:
+            runs[-1][1] = k
+        else:
+            runs.append([k, k])
+    # What most texts consist of is ruled out first: the class has hundreds of ranges.
+    return "".join(one), "".join(to), "".join(gone), r"(?![\x{0}-\x{bb}\x{bf}-\x{131}])[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
+
+
 def folded(text: Column) -> Column:
-    """Plain ASCII is folded by lower(); only other texts go through Python, for their accents."""
+    """fold(). Only texts with a character that becomes several or is unknown go to Python; in place of the others go nulls."""
 
     @F.arrow_udf("string")
     def f(a: pa.Array) -> pa.Array:
         return pa.array([None if t is None else fold(t) for t in a.to_pylist()], pa.string())
 
-    return F.when(F.regexp_like(text, F.lit(r"^\p{ASCII}*$")), F.lower(text)).otherwise(f(text))
+    one, to, gone, several = _letters()
+    ascii_, hard = F.regexp_like(text, F.lit(r"^\p{ASCII}*$")), F.regexp_like(text, F.lit(several))
+    plain = F.when(ascii_, F.lower(text)).when(~hard, F.lower(F.translate(text, one + gone, to)))
+    return F.coalesce(plain, f(F.when(~ascii_ & hard, text)))
 
 
 def tokens(text: Column) -> Column:
