@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import defaultdict
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,9 @@ SPACE = "▁"
 _MASK = (1 << 64) - 1
 _LITERAL = "\0" + SPACE  # a U+2581 of the text itself, which no piece may take for a space
 _NONE = 1 << 60
+_PLACE, _NO_PAIR, _FREE = 5, np.int32((1 << 31) - 1), np.int64(-1 << 62)
 _K1, _K2, _K3, _K4 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9))
+_K123 = np.uint64(int(_K1) + int(_K2) + int(_K3) & _MASK)
 
 
 def _hash(base: int, a: int, b: int, c: int) -> int:
@@ -43,6 +47,8 @@ class Pieces:
             if sp.is_byte(i):
                 b = int(sp.id_to_piece(i)[3:-1], 16)
                 self.byte_ids[b], self.bytes[i] = i, bytes([b])
+        self.all_bytes, self.n_bytes = np.frombuffer(b"".join(self.bytes), np.uint8), np.array([len(x) for x in self.bytes], np.int64)
+        self.bytes_at = np.cumsum(self.n_bytes) - self.n_bytes
         # Where no piece can reach across a mark, words on either side are merged apart, which lets them be remembered.
         self.breaks_at_newline = not any("\n" in p and len(p) > 1 for p in self.ids)
         self._tables()
@@ -51,6 +57,9 @@ class Pieces:
 
     def units(self, text: str) -> list[str]:
         """The text cut where no merge can pass, each run of spaces going with what follows it; a space goes before the text."""
+        if "  " not in text and text[:1] != " " and "\0" not in text:  # the same, faster
+            text = f" {text}".replace(" ", "\0 ")
+            return list(filter(None, (text.replace("\n", "\0\n\0") if self.breaks_at_newline else text).split("\0")))
         return (_UNITS_AND_LINES if self.breaks_at_newline else _UNITS).findall(" " + text)
 
     def merge(self, unit: str, drop: float = 0.0, key: int = 0) -> list[int]:
@@ -70,95 +79,101 @@ class Pieces:
         return out
 
     def _tables(self) -> None:
-        """For merging many units at once: symbols of characters by code point, and all pairs of symbols that merge, by key."""
-        n = len(self.bytes)
-        symbol = dict(self.ids)
-        for c in sorted({c for p in self.ids for c in p} - set(self.ids)):
-            symbol[c] = n + len(symbol)
-        self.char = np.full(0x110000, -1, np.int64)
-        for c, i in symbol.items():
+        """For merging many units at once: symbols of characters by code point, and all pairs of symbols that merge, by a perfect hash: the
+        key of a pair has a group, whose factor sends it to a slot of its own."""
+        self.char = np.full(0x110000, -1, np.int32)
+        for c, i in self.ids.items():
             if len(c) == 1:
-                self.char[ord(c)] = i if c in self.ids else -1
-        found = {}
+                self.char[ord(c)] = i
+        self.char[ord(" ")], self.char[ord(SPACE)] = self.char[ord(SPACE)], -1
+        self.by_rank = np.fromiter(self.ids.values(), np.int32, len(self.ids))
+        found, get = {}, self.ids.get
         for p, rank in self.ranks.items():
             for k in range(1, len(p)):
-                a, b = symbol.get(p[:k]), symbol.get(p[k:])
+                a, b = get(p[:k]), get(p[k:])
                 if a is not None and b is not None:
-                    found[a << 20 | b] = rank << 20 | self.ids[p]
-        self.bits = max(4, (8 * len(found)).bit_length())  # an open table, mostly empty
-        self.slots, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
-        for k, v in found.items():
-            at = (k * int(_K1) & _MASK) >> (64 - self.bits)
-            while self.slots[at] != -1:
-                at = (at + 1) & ((1 << self.bits) - 1)
-            self.slots[at], self.values[at] = k, v
+                    found[a << 20 | b] = rank << _PLACE
+        bits = max(4, (2 * len(found)).bit_length())
+        self.to_group, self.to_slot = np.uint64(66 - bits), np.uint64(64 - bits)
+        self.factors = np.full(1 << bits - 2, _K2, np.uint64)
+        self.slots, self.values = np.full(1 << bits, _FREE, np.int64), np.full(1 << bits, _NO_PAIR, np.int32)
+        groups: dict[int, list[int]] = {}
+        for key in found:
+            groups.setdefault((key * int(_K1) & _MASK) >> int(self.to_group), []).append(key)
+        taken = bytearray(1 << bits)
+        for g, keys in sorted(groups.items(), key=lambda x: (-len(x[1]), x[0])):
+            factor = int(_K2)
+            while len(at := {(key * factor & _MASK) >> int(self.to_slot) for key in keys}) < len(keys) or any(taken[i] for i in at):
+                factor = factor * int(_K4) + 2 & _MASK | 1
+            self.factors[g] = factor
+            for key in keys:
+                i = (key * factor & _MASK) >> int(self.to_slot)
+                taken[i], self.slots[i], self.values[i] = 1, key, found[key]
 
     def _look(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Rank and symbol of what pairs merge to, as one number; _NONE for pairs that don't."""
-        key = a << 20 | b
-        with np.errstate(over="ignore"):
-            slot = (key.astype(np.uint64) * _K1 >> np.uint64(64 - self.bits)).astype(np.int64)
-        out, todo = np.full(len(key), _NONE), np.arange(len(key))
-        while len(todo):
-            there = self.slots[slot]
-            hit = there == key[todo]
-            out[todo[hit]] = self.values[slot[hit]]
-            on = ~hit & (there != -1)
-            todo, slot = todo[on], (slot[on] + 1) & (len(self.slots) - 1)
-        return out
+        """Ranks, times 2^_PLACE, of what pairs merge to; _NO_PAIR for pairs that don't."""
+        pairs = a.astype(np.int64) << 20 | b
+        keys = pairs.view(np.uint64)
+        slot = (keys * self.factors[(keys * _K1 >> self.to_group).view(np.int64)] >> self.to_slot).view(np.int64)
+        return np.where(self.slots[slot] == pairs, self.values[slot], _NO_PAIR)
+
+    def _codes(self, units: list[str]) -> np.ndarray:
+        """The symbols of the characters of units; -1 for characters without a piece."""
+        return self.char[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
 
     def known(self, units: list[str]) -> np.ndarray:
         """Which units have a piece for each character."""
-        codes = np.frombuffer("".join(units).replace(SPACE, _LITERAL).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32)
-        bad = np.zeros(len(units), bool)
-        lengths = np.array([len(u) + u.count(SPACE) for u in units], np.int64)
-        bad[np.searchsorted(np.cumsum(lengths), np.flatnonzero(self.char[codes] < 0), "right")] = True
-        return ~bad & (lengths == [len(u) for u in units])
+        ends, known = np.cumsum(np.fromiter(map(len, units), np.int64, len(units))), np.ones(len(units), bool)
+        known[np.searchsorted(ends, np.flatnonzero(self._codes(units) < 0), "right")] = False
+        return known
 
-    def replay(self, units: list[str], skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def replay(self, units: list[str], skips: np.ndarray | None = None, bases: np.ndarray | None = None, under: np.uint64 = np.uint64(0)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The agendas of many short units of known characters, side by side: in each step every one of them takes its best pair, or
-        skips it if skips has the bit of that step. Numbers of the pairs offered after the last skip, their places as factors of the
-        hash, numbers of ids, ids."""
-        flat = "".join(units)
-        codes = self.char[np.frombuffer(flat.replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        n = np.array([len(u) for u in units], np.int64)
-        starts, w = np.cumsum(n) - n, int(n.max())
-        col = np.arange(w + 1)
-        s = np.where(col < n[:, None], codes[np.minimum(starts[:, None] + col, len(codes) - 1)], -1)
-        following, before = np.broadcast_to(col + 1, s.shape).copy(), np.broadcast_to(col - 1, s.shape).copy()
-        rank = np.full((len(units), w), _NONE, np.int64)
-        r, c = np.nonzero(col[:w] + 1 < n[:, None])
-        rank[r, c] = self._look(s[r, c], s[r, c + 1])
-        live, step, rows, factors = np.arange(len(units)), 0, [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        while len(live):
-            i = rank[live].argmin(1)
-            best = rank[live, i]
-            go = best != _NONE
-            live, i, best = live[go], i[go], best[go]
-            if not len(live):
-                break
-            j = following[live, i]
-            rest = skips[live] >> step
+        skips it if skips has the bit of that step or, where bases are given, if the hash with them falls below under. Numbers of the
+        pairs offered after the last skip, their places as factors of the hash (neither with bases), numbers of ids, ids."""
+        m, n = len(units), np.fromiter(map(len, units), np.int64, len(units))
+        bits, w = (m - 1).bit_length(), int(n.max()) + 2
+        wide = 1 << bits  # a symbol of unit u at place p is number (p + 1 << bits) + u; on either side is one that merges with none
+        unit, codes = np.repeat(np.arange(m), n), self._codes(units)
+        at = (np.arange(1, len(codes) + 1) - np.repeat(np.cumsum(n) - n, n) << bits) + unit
+        s, rank = np.full(w << bits, -1, np.int32), np.full(w << bits, _NO_PAIR, np.int32)
+        s[at] = codes
+        at = at[at >> bits < n[unit]]
+        rank[at] = self._look(s[at], s[at + wide]) | at >> bits
+        table, following, before = rank.reshape(w, wide), np.arange(wide, w + 1 << bits), np.arange(-wide, w - 1 << bits)
+        step, skipping = 0, int(skips.max()).bit_length() if skips is not None else 0
+        rows, factors = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        while len(go := np.flatnonzero((best := table.min(0)) != _NO_PAIR)):
+            best = best[go]
+            i = ((best & (1 << _PLACE) - 1).astype(np.int64) << bits) + go
+            j = following[i]
+            k = following[j]
+            factor = (i >> bits).view(np.uint64) * _K1 + (j >> bits).view(np.uint64) * _K2 + (k >> bits).view(np.uint64) * _K3 - _K123
+            skip = None
+            if bases is not None:
+                x = bases[go] * factor
+                skip = (x ^ x >> np.uint64(29)) * _K4 < under
+            elif step < skipping:
+                rest = skips[go] >> step
+                last, skip = rest == 0, rest & 1 == 1
+                rows.append(go[last])
+                factors.append(factor[last])
+            else:
+                rows.append(go)
+                factors.append(factor)
             step += 1
-            last = rest == 0
-            with np.errstate(over="ignore"):
-                factors.append(i[last].astype(np.uint64) * _K1 + j[last].astype(np.uint64) * _K2 + following[live[last], j[last]].astype(np.uint64) * _K3)
-            rows.append(live[last])
-            skip = rest & 1 == 1
-            rank[live[skip], i[skip]] = _NONE
-            m, i, j, best = live[~skip], i[~skip], j[~skip], best[~skip]
-            k = following[m, j]
-            s[m, i], s[m, j] = best & 0xFFFFF, -1
-            following[m, i], before[m, k] = k, i
-            rank[m, np.minimum(j, w - 1)] = _NONE
-            right = k < n[m]
-            rank[m, i] = _NONE
-            rank[m[right], i[right]] = self._look(s[m[right], i[right]], s[m[right], k[right]])
-            left = i > 0
-            p = before[m[left], i[left]]
-            rank[m[left], p] = self._look(s[m[left], p], s[m[left], i[left]])
+            if skip is not None and skip.any():
+                rank[i[skip]] = _NO_PAIR
+                on = ~skip
+                i, j, k, best = i[on], j[on], k[on], best[on]
+            p, new = before[i], self.by_rank[best >> _PLACE]
+            s[i], s[j], rank[j] = new, -1, _NO_PAIR
+            following[i], before[k] = k, i
+            at = np.concatenate([p, i])
+            rank[at] = self._look(np.concatenate([s[p], new]), np.concatenate([new, s[k]])) | at >> bits
+        s = s.reshape(w, wide).T[:m]
         kept, row = s >= 0, np.concatenate(rows)
-        return np.bincount(row, minlength=len(units)), np.concatenate(factors)[np.argsort(row, kind="stable")], kept.sum(1), s[kept].astype(np.int32)
+        return np.bincount(row, minlength=m), np.concatenate(factors)[np.argsort(row, kind="stable")], kept.sum(1), s[kept]
 
     def _short(self, s: list[str], under: int, base: int) -> list[str]:
         """The agenda as a list of the ranks of adjacent pairs."""
@@ -208,9 +223,19 @@ class Pieces:
         text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "surrogatepass")
         return text[1:] if text[:1] == " " else text
 
+    def lossless(self, texts: list[str | None], ids: list[np.ndarray]) -> list[bool | None]:
+        """Whether the ids of each text decode to it; None for null."""
+        flat, ends = np.concatenate(ids), np.cumsum([0, *map(len, ids)])
+        n = self.n_bytes[flat]
+        found, ends = self.all_bytes[_runs(self.bytes_at[flat], n)].tobytes(), np.concatenate([[0], np.cumsum(n)])[ends].tolist()
+        out: list[bool | None] = []
+        for t, b, e in zip(texts, ends, ends[1:]):
+            out.append(None if t is None else found[b + (found[b : b + 1] == b" " and b < e) : e] == t.encode("utf-8", "surrogatepass"))
+        return out
+
 
 _UNITS, _UNITS_AND_LINES = re.compile(r" +[^ ]*|[^ ]+"), re.compile(r" +[^ \n]*|\n|[^ \n]+")
-_LONGEST = 20  # a unit of so many characters is offered at most 3 * 19 pairs, so the steps skipped fit a number
+_LONGEST = 20  # a unit of so many characters is offered at most 3 * 19 pairs, so the steps skipped fit a number; places are of _PLACE bits
 
 
 class Column:
@@ -231,20 +256,40 @@ def _runs(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
 
 
+def _by_length(units: list[str], at_once: int = 4096) -> list[np.ndarray]:
+    """The numbers of the units, shortest first, in parts."""
+    order = np.argsort(np.fromiter(map(len, units), np.int64, len(units)), kind="stable")
+    return np.split(order, range(at_once, len(order), at_once))
+
+
+_APART, _ONCE, _NEVER = -1, -2, -3
+
+
 class Ways:
     """The ways to cut units. A way is a unit and the steps of its agenda skipped so far; it has the pairs offered from there on, each
-    with the way that skipping it leads to (-1: not made yet), and the ids that come out if none of them is skipped. What occurrences
-    share is only what follows from the merges that they skip, so remembering changes no result."""
+    with the way that skipping it leads to, and the ids that come out if none of them is skipped. What occurrences share is only what
+    follows from the merges that they skip, so remembering changes no result. A way is made when it is asked for again (_ONCE: asked for
+    once); before that, an occurrence that comes to it has its agenda run by itself, at once to its end."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.clear()
 
     def clear(self) -> None:
-        self.roots: dict[str, int] = {}
+        self.numbers: defaultdict[str, int] = defaultdict(count().__next__)
+        self.names: list[str] = []  # by number
+        self.chars = 0  # of the names
         self.units: list[str] = []
         self.skips, self.at, self.n, self.ids_at, self.n_ids = (Column(np.int64) for _ in range(5))
-        self.factors, self.to, self.ids = Column(np.uint64), Column(np.int32), Column(np.int32)
+        self.roots, self.factors, self.to, self.ids = Column(np.int32), Column(np.uint64), Column(np.int32), Column(np.int32)
+
+    def forget_rare(self) -> None:
+        """Forgets the units without a way."""
+        kept = np.flatnonzero(self.roots.a[: self.roots.n] >= 0)
+        roots, self.names, self.roots = self.roots.a[kept], [self.names[i] for i in kept.tolist()], Column(np.int32)
+        self.numbers = defaultdict(count(len(kept)).__next__, zip(self.names, range(len(kept))))
+        self.roots.add(roots)
+        self.chars = sum(map(len, self.names))
 
     def _add(self, units: list[str], skips: np.ndarray, n: np.ndarray, factors: np.ndarray, n_ids: np.ndarray, ids: np.ndarray) -> np.ndarray:
         first = len(self.units)
@@ -255,94 +300,135 @@ class Ways:
         self.ids_at.add(self.ids.n + np.cumsum(n_ids) - n_ids)
         self.n_ids.add(n_ids)
         self.factors.add(factors)
-        self.to.add(np.full(len(factors), -1, np.int32))
+        self.to.add(np.full(len(factors), _NEVER, np.int32))
         self.ids.add(ids)
         return np.arange(first, first + len(units))
 
-    def make(self, units: list[str], skips: np.ndarray, at_once: int = 3000) -> np.ndarray:
-        out, order = np.zeros(len(units), np.int64), np.argsort([len(u) for u in units], kind="stable")
-        for some in np.split(order, range(at_once, len(order), at_once)):
+    def make(self, units: list[str], skips: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(units), np.int64)
+        for some in _by_length(units):
             part = [units[i] for i in some.tolist()]
             out[some] = self._add(part, skips[some], *self.pieces.replay(part, skips[some]))
         return out
 
-    def start(self, units: list[str]) -> np.ndarray:
-        """The ways that skip nothing; -1 for units that are long or hold characters without a piece."""
-        if None in (got := list(map(self.roots.get, units))):
-            new = list({u: None for u, g in zip(units, got) if g is None})
-            short = [u for u in new if len(u) <= _LONGEST]
-            known = self.pieces.known(short)
-            short = [u for u, k in zip(short, known.tolist()) if k]
-            self.roots.update((u, -1) for u in new if len(u) < 64)
-            if short:
-                self.roots.update(zip(short, self.make(short, np.zeros(len(short), np.int64)).tolist()))
-            got = [self.roots.get(u, -1) if g is None else g for u, g in zip(units, got)]
-        return np.array(got, np.int64)
-
-    def follow(self, way: np.ndarray, keys: np.ndarray, drop: float) -> None:
-        """Moves each occurrence, in place, to the way that its key leads to."""
-        under, todo = np.uint64(min(int(drop * (1 << 64)), _MASK)), np.flatnonzero(way >= 0)
-        base = keys | np.uint64(1)
+    def number(self, texts: list[str | None]) -> tuple[np.ndarray, list[int]]:
+        """The numbers of the units of all texts, and how many each text has. Units without a number get one."""
+        out, lengths, get = [], [], self.numbers.__getitem__
+        for text in texts:
+            had = len(out)
+            if text:
+                out += map(get, self.pieces.units(text))  # a text at a time, while it is near at hand
+            lengths.append(len(out) - had)
+        self.names += (new := list(islice(reversed(self.numbers), len(self.numbers) - len(self.names)))[::-1])
+        self.chars += sum(map(len, new))
+        return np.array(out, np.int64), lengths
+
+    def start(self, number: np.ndarray) -> np.ndarray:
+        """The ways that skip nothing; _APART for units that are long or hold characters without a piece, _ONCE for those met once."""
+        first = self.roots.n
+        if new := self.names[first:]:
+            short = np.fromiter(map(len, new), np.int64, len(new)) <= _LONGEST
+            known = self.pieces.known(tried := [u for u, k in zip(new, short.tolist()) if k])
+            roots = np.full(len(new), _APART, np.int32)
+            roots[np.flatnonzero(short)[known]] = _ONCE
+            for u in [u for u, k in zip(tried, known.tolist()) if not k and len(u) == 1]:  # bytes, whatever the key
+                ids = np.array(self.pieces.merge(u), np.int32)
+                roots[self.numbers[u] - first] = self._add([u], np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint64), np.array([len(ids)]), ids)[0]
+            self.roots.add(roots)
+        times = np.bincount(number, minlength=self.roots.n)
+        times[:first] *= 2
+        due = np.flatnonzero((times > 1) & (self.roots.a[: self.roots.n] == _ONCE))
+        if len(due):
+            self.roots.a[due] = self.make([self.names[i] for i in due.tolist()], np.zeros(len(due), np.int64))
+        return self.roots.a[number].astype(np.int64)
+
+    def follow(self, way: np.ndarray, bases: np.ndarray, under: np.uint64) -> None:
+        """Moves each occurrence, in place, to the way that its key leads to; _ONCE where that is to be made yet."""
+        todo = np.flatnonzero(way >= 0)
         while len(todo):
             w = way[todo]
             n = self.n.a[w]
             at = _runs(self.at.a[w], n)
-            with np.errstate(over="ignore"):
-                x = np.repeat(base[todo], n) * self.factors.a[at]
-                hit = np.flatnonzero((x ^ (x >> np.uint64(29))) * _K4 < under)
+            x = np.repeat(bases[todo], n) * self.factors.a[at]
+            hit = np.flatnonzero((x ^ (x >> np.uint64(29))) * _K4 < under)
             owner = np.searchsorted(np.cumsum(n), hit, "right")
             first = np.diff(owner, prepend=-1) > 0
             owner, pair = owner[first], at[hit[first]]
             todo, w = todo[owner], w[owner]
-            new, some = np.unique(pair[self.to.a[pair] < 0], return_index=True)
+            open_ = np.flatnonzero(self.to.a[pair] < 0)
+            new, some, times = np.unique(pair[open_], return_index=True, return_counts=True)
             if len(new):
-                w = w[self.to.a[pair] < 0][some]
-                skips = self.skips.a[w]
-                step = np.array([x.bit_length() for x in skips.tolist()]) + new - self.at.a[w]
-                self.to.a[new] = self.make([self.units[i] for i in w.tolist()], skips | np.int64(1) << step)
+                due = (self.to.a[new] == _ONCE) | (times > 1)
+                self.to.a[new] = _ONCE
+                if len(new := new[due]):
+                    w = w[open_[some[due]]]
+                    skips = self.skips.a[w]
+                    step = np.array([x.bit_length() for x in skips.tolist()]) + new - self.at.a[w]
+                    self.to.a[new] = self.make([self.units[i] for i in w.tolist()], skips | np.int64(1) << step)
             way[todo] = self.to.a[pair]
+            todo = todo[way[todo] >= 0]
 
-    def join(self, way: np.ndarray, others: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of ids, and ids, of all occurrences; others: those of the ways -1."""
+    def alone(self, units: list[str], bases: np.ndarray, under: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids, and ids, of occurrences whose agendas are run by themselves."""
+        n, parts, order = np.zeros(len(units), np.int64), [], _by_length(units)
+        if not units:
+            return n, np.zeros(0, np.int32)
+        for some in order:
+            _, _, n[some], ids = self.pieces.replay([units[i] for i in some.tolist()], bases=bases[some], under=under)
+            parts.append(ids)
+        order, ids = np.concatenate(order), np.concatenate(parts)
+        at = np.zeros(len(units), np.int64)
+        at[order] = np.cumsum(n[order]) - n[order]
+        return n, ids[_runs(at, n)]
+
+    def join(self, way: np.ndarray, apart: list[list[int]], alone: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids, and ids, of all occurrences; apart and alone: those of the ways _APART and _ONCE."""
         n, kept = np.zeros(len(way), np.int64), way >= 0
-        n[kept], n[~kept] = self.n_ids.a[way[kept]], [len(x) for x in others]
-        out, apart = np.zeros(n.sum(), np.int32), np.repeat(~kept, n)
-        out[~apart] = self.ids.a[_runs(self.ids_at.a[way[kept]], n[kept])]
-        out[apart] = [i for x in others for i in x]
+        n[kept], n[way == _APART], n[way == _ONCE] = self.n_ids.a[way[kept]], [len(x) for x in apart], alone[0]
+        out, of = np.zeros(n.sum(), np.int32), np.repeat(np.minimum(way, 0), n)
+        out[of == 0] = self.ids.a[_runs(self.ids_at.a[way[kept]], n[kept])]
+        out[of == _APART] = [i for x in apart for i in x]
+        out[of == _ONCE] = alone[1]
         return n, out
 
 
 class Encoder:
     """Encodes texts. Each unit of a text has a key of its own, a hash of the seed, the document and its place, so each occurrence of a
-    word has its own skips, the same in every run. Ways are forgotten once there are more than `most`, which changes no result."""
+    word has its own skips, the same in every run. Units without a way are forgotten once there are more than `most` units, and all once
+    there are more than `most` ways, which changes no result."""
 
     def __init__(self, pieces: Pieces, drop: float = 0.1, seed: int = 1, most: int = 800_000):
         self.pieces, self.drop, self.seed, self.most, self.ways = pieces, drop, seed, most, Ways(pieces)
 
     def keys(self, n: int, doc_key: int) -> np.ndarray:
         """The keys of the first n units of a document."""
-        with np.errstate(over="ignore"):
-            return mix(np.arange(n, dtype=np.uint64) * _K1 + np.uint64((doc_key ^ self.seed * 0xD6E8FEB86659FD93) & _MASK))
+        return self._keys([n], [doc_key])
+
+    def _keys(self, lengths: list[int], doc_keys: list[int]) -> np.ndarray:
+        n, of = np.array(lengths, np.int64), np.array([(k ^ self.seed * 0xD6E8FEB86659FD93) & _MASK for k in doc_keys], np.uint64)
+        return mix(_runs(np.zeros(len(n), np.int64), n).view(np.uint64) * _K1 + np.repeat(of, n))
 
     def encode(self, text: str | None, doc_key: int = 0) -> np.ndarray:
         return self.encode_many([text], [doc_key])[0]
 
     def encode_many(self, texts: list[str | None], doc_keys: list[int]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.ways.units) > self.most or len(self.ways.roots) > self.most:
-            self.ways.clear()
-        units, lengths = [], []
-        for text in texts:
-            lengths.append(len(u := self.pieces.units(text) if text else []))
-            units += u
-        if not units:
+        ways = self.ways
+        if full := len(ways.names) > self.most or ways.chars > 16 * self.most:
+            ways.forget_rare()
+        if len(ways.units) > self.most or full and len(ways.names) > self.most // 2:
+            ways.clear()
+        number, lengths = ways.number(texts)
+        if not len(number):
             return [np.zeros(0, np.int32) for _ in texts]
-        keys = np.concatenate([self.keys(n, k) for n, k in zip(lengths, doc_keys)])
-        way = self.ways.start(units)
+        keys = self._keys(lengths, doc_keys)
+        bases, under = keys | np.uint64(1), np.uint64(min(int(self.drop * (1 << 64)), _MASK))
+        way = ways.start(number)
         if self.drop:
-            self.ways.follow(way, keys, self.drop)
-        others = [self.pieces.merge(units[i], self.drop, int(keys[i])) for i in np.flatnonzero(way < 0).tolist()]
-        n, ids = self.ways.join(way, others)
+            ways.follow(way, bases, under)
+        apart, once = np.flatnonzero(way == _APART), np.flatnonzero(way == _ONCE)
+        others = [self.pieces.merge(ways.names[i], self.drop, k) for i, k in zip(number[apart].tolist(), keys[apart].tolist())]
+        n, ids = ways.join(way, others, ways.alone([ways.names[i] for i in number[once].tolist()], bases[once], under))
         ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *lengths])]
         return [ids[b:e] for b, e in zip(ends[:-1], ends[1:])]
 
@@ -371,10 +457,9 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
         for i, t in enumerate(texts):
             chars += len(t or "")
             if chars >= 1_000_000 or i + 1 == len(texts):
-                flat += e.encode_many(texts[b : i + 1], keys[b : i + 1])
+                flat += (ids := e.encode_many(texts[b : i + 1], keys[b : i + 1]))
+                exact += e.pieces.lossless(texts[b : i + 1], ids)
                 b, chars = i + 1, 0
-        for t, ids in zip(texts, flat):
-            exact.append(None if t is None else e.pieces.decode(ids.tolist()) == t)
         null, offsets = [t is None for t in texts], np.cumsum([0, *map(len, flat)])
         values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array(null, pa.bool_()))

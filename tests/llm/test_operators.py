@@ -238,6 +238,39 @@ def test_each_occurrence_has_its_own_skips():
         assert ids.tolist() == small.encode(t, k).tolist() == [i for u, x in zip(p.units(t), small.keys(len(p.units(t)), k).tolist()) for i in p.merge(u, 0.3, x)]
 
 
+def test_units_met_once_are_merged_once():
+    p, done, r = pieces.Pieces(MODEL), [], random.Random(4)
+    replay = p.replay
+    p.replay = lambda units, *a, **k: done.extend(units) or replay(units, *a, **k)
+    words = sorted({"".join(r.choice("abtheoning") for _ in range(r.randrange(4, 15))) for _ in range(3000)})
+    e = pieces.Encoder(p, 0.3)
+    once = e.encode(" ".join(words), 1)
+    assert len(done) == len(words)
+    assert once.tolist() == [i for w, k in zip(words, e.keys(len(words), 1).tolist()) for i in p.merge(" " + w, 0.3, k)]
+    plain = pieces.Encoder(p, 0.0, most=4000)
+    plain.encode_many([" ".join(words[:500])] * 2, [1, 2])
+    plain.encode_many([" ".join("".join(r.choice("rstuvwxyz") for _ in range(12)) for _ in range(3600))], [3])  # met once: forgotten, and no others
+    done.clear()
+    plain.encode_many([" ".join(words[:500])], [4])
+    assert not done and len(plain.ways.names) == 500
+
+
+def test_pairs_lossless_and_units_are_those_of_the_plain_ways():
+    import numpy as np
+
+    p, r = pieces.Pieces(MODEL), random.Random(5)
+    pairs = {(p.ids[w[:k]], p.ids[w[k:]]): n for w, n in p.ranks.items() for k in range(1, len(w)) if w[:k] in p.ids and w[k:] in p.ids}
+    a, b = np.array(list(pairs), np.int32).T
+    assert (p._look(a, b) >> pieces._PLACE).tolist() == list(pairs.values())
+    assert (p._look(b, a) == pieces._NO_PAIR).tolist() == [x[::-1] not in pairs for x in pairs]
+    assert (p._look(np.full(3, -1, np.int32), np.array([-1, 0, 5], np.int32)) == pieces._NO_PAIR).all()
+    texts = ["".join(r.choice(["a", "the", " ", "  ", "\n", "\0", "é", "▁", "中", "x" * 25]) for _ in range(r.randrange(9))) for _ in range(2000)]
+    assert [p.units(t) for t in texts] == [pieces._UNITS_AND_LINES.findall(" " + t) for t in texts]
+    ids = pieces.Encoder(p, 0.3).encode_many(texts, list(range(2000)))
+    assert p.lossless(texts, ids) == [p.decode(x.tolist()) == t for t, x in zip(texts, ids)] == [True] * 2000
+    assert p.lossless(["the", None, "", "a b"], [ids[0][:0], ids[0][:0], ids[0][:0], pieces.Encoder(p, 0.0).encode("a c")]) == [False, None, True, False]
+
+
 def test_pieces_odd(spark):
     got = pieces.encode(odd(spark), MODEL)
     assert [x.lossless for x in got.collect() if x.ids is not None] == [True] * 7 and got.where("ids is null and n_ids is null").count() == 2
